@@ -1,0 +1,5 @@
+"""No stream operator exists here on purpose: the masked studies are batch jobs.
+
+Row-local masks (`veilframe.functions.masks`) and `MaskingPolicy.apply` keep no
+state, so they accept a streaming DataFrame as they are.
+"""
