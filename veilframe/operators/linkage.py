@@ -12,6 +12,10 @@ QUASI_IDENTIFIERS = ("age", "education", "sex", "race")
 BROADCAST_ROWS = 100_000
 
 
+_RATES = ("match_rate", "unique_match_rate", "false_match_rate")
+_COUNTS = ("total_records", "matched", "unique_matched", "false_matched")
+
+
 def _null_safe_match(columns: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for c in columns:
@@ -23,126 +27,137 @@ def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns])
 
 
-def linkage_attack(
+def linkage_sweep(
     external: DataFrame,
-    target: DataFrame,
-    name: str,
+    targets: Mapping[str, DataFrame],
     quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
     ident: str = "id",
     external_rows: int | None = None,
 ) -> DataFrame:
-    """One row of counts and rates for one target.
+    """One row of counts and rates per target.
 
     matched: the own id is among the rows with equal quasi-identifiers;
     unique_matched: it is the only such row; false_matched: the only such row is
-    somebody else. Rates are over the external rows.
+    somebody else. Rates are over the external rows. A target without the needed
+    columns reports zeros and its error.
 
     External and target rows are never paired within a group: both sides are summed
     per quasi-identifier combination first, and the own ids are matched by id, so a
-    huge group costs one counter. `external_rows` is a proven upper bound of the
-    external size (a sample of that many); if small enough, the external side is
-    broadcast and the target is filtered in place instead of being shuffled.
+    huge group costs one counter. All targets go through the same joins together.
+    `external_rows` is a proven upper bound of the external size (a sample of that
+    many); if small enough, the external side is broadcast and the targets are
+    filtered in place instead of being shuffled.
     """
     qis = list(quasi_identifiers)
-    missing = sorted({ident, *qis} - set(target.columns))
-    if missing:
-        raise ValueError(f"target {name} lacks {missing}")
-    narrow_target = target.select(ident, *qis)
-    narrow_external = external.select(ident, *qis)
-    small = external_rows is not None and external_rows <= BROADCAST_ROWS
-
-    people = _prefixed(narrow_external, [ident, *qis], "_p_")
-    candidates = narrow_target
-    if small:
-        people = F.broadcast(people)
-        combinations = _prefixed(narrow_external.select(*qis).distinct(), qis, "_e_")
-        candidates = narrow_target.join(
+    wanted = [ident, *qis]
+    failed, narrow = {}, None
+    for name, target in targets.items():
+        missing = sorted(set(wanted) - set(target.columns))
+        if missing:
+            failed[name] = f"target {name} lacks {missing}"
+            continue
+        rows = target.select(F.lit(name).alias("_target"), *_as_text(target, ident, qis))
+        narrow = rows if narrow is None else narrow.unionByName(rows)
+    results = []
+    if narrow is not None:
+        names = [n for n in targets if n not in failed]
+        people = external.select(*_as_text(external, ident, qis))
+        results.append(_attack(people, narrow, names, qis, ident, external_rows))
+    for name, problem in failed.items():
+        results.append(_failure(external, name, problem))
+    if not results:
+        raise ValueError("no targets")
+    whole = results[0]
+    for more in results[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _as_text(df: DataFrame, ident: str, qis: Sequence[str]) -> list[Column]:
+    """Identifier as it is, quasi-identifiers as text, so that masked columns of another
+    type can be compared and simply do not match."""
+    return [F.col(ident), *[F.col(q).cast("string").alias(q) for q in qis]]
+
+
+def _attack(
+    people: DataFrame,
+    targets: DataFrame,
+    names: Sequence[str],
+    qis: Sequence[str],
+    ident: str,
+    external_rows: int | None,
+) -> DataFrame:
+    known = _prefixed(people, [ident, *qis], "_p_")
+    candidates = targets
+    if external_rows is not None and external_rows <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+        combinations = _prefixed(people.select(*qis).distinct(), qis, "_e_")
+        candidates = targets.join(
             F.broadcast(combinations), _null_safe_match(qis, "_e_"), "left_semi"
         )
     found = (
-        candidates.join(people, F.col(ident) == F.col(f"_p_{ident}"))
+        candidates.join(known, F.col(ident) == F.col(f"_p_{ident}"))
         .where(_null_safe_match(qis, "_p_"))
-        .select(ident, *qis)
+        .select("_target", ident, *qis)
         .distinct()
     )
-
-    def tally(df: DataFrame, external_n: int, target_n: int, hit_n: int) -> DataFrame:
-        return df.groupBy(*qis).agg(
-            F.sum(F.lit(external_n)).alias("external"),
-            F.sum(F.lit(target_n)).alias("target"),
-            F.sum(F.lit(hit_n)).alias("hits"),
+    zero, one = F.lit(0).cast("bigint"), F.count(F.lit(1))
+    per_target = F.explode(F.array(*[F.lit(n) for n in names])).alias("_target")
+    external_sizes = people.groupBy(*qis).agg(one.alias("external"))
+    sizes = (
+        external_sizes.select(
+            per_target, *qis, "external", zero.alias("rows"), zero.alias("hits")
         )
-
-    per_group = (
-        tally(narrow_external, 1, 0, 0)
-        .unionByName(tally(candidates, 0, 1, 0))
-        .unionByName(tally(found, 0, 0, 1))
-        .groupBy(*qis)
-        .agg(
-            F.sum("external").alias("external"),
-            F.sum("target").alias("target"),
-            F.sum("hits").alias("hits"),
+        .unionByName(
+            candidates.groupBy("_target", *qis)
+            .agg(one.alias("rows"))
+            .select("_target", *qis, zero.alias("external"), "rows", zero.alias("hits"))
         )
+        .unionByName(
+            found.groupBy("_target", *qis)
+            .agg(one.alias("hits"))
+            .select("_target", *qis, zero.alias("external"), zero.alias("rows"), "hits")
+        )
+        .groupBy("_target", *qis)
+        .agg(*[F.sum(c).alias(c) for c in ("external", "rows", "hits")])
     )
-    alone = F.col("target") == 1
-    zero = F.lit(0).cast("bigint")
-    totals = per_group.agg(
-        F.coalesce(F.sum("external"), zero).alias("total_records"),
-        F.coalesce(F.sum("hits"), zero).alias("matched"),
-        F.coalesce(F.sum(F.when(alone, F.col("hits"))), zero).alias("unique_matched"),
-        F.coalesce(F.sum(F.when(alone, F.col("external") - F.col("hits"))), zero).alias(
+    alone = F.col("rows") == 1
+    totals = sizes.groupBy("_target").agg(
+        F.sum("external").alias("total_records"),
+        F.sum("hits").alias("matched"),
+        F.sum(F.when(alone, F.col("hits")).otherwise(zero)).alias("unique_matched"),
+        F.sum(F.when(alone, F.col("external") - F.col("hits")).otherwise(zero)).alias(
             "false_matched"
         ),
     )
-
-    def rate(column: str) -> Column:
-        return F.coalesce(
-            F.try_divide(F.col(column).cast("double"), F.col("total_records")), F.lit(0.0)
-        )
-
+    rates = [
+        F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("total_records")), F.lit(0.0))
+        for c in _COUNTS[1:]
+    ]
     return totals.select(
-        F.lit(name).alias("masking_method"),
-        rate("matched").alias("match_rate"),
-        rate("unique_matched").alias("unique_match_rate"),
-        rate("false_matched").alias("false_match_rate"),
-        "total_records",
-        "matched",
-        "unique_matched",
-        "false_matched",
+        F.col("_target").alias("masking_method"),
+        *[rate.alias(name) for rate, name in zip(rates, _RATES)],
+        *_COUNTS,
         F.lit(None).cast("string").alias("error"),
     )
 
 
-def failed_attack(spark_df: DataFrame, name: str, error: str) -> DataFrame:
-    """The row of a target that cannot be attacked."""
-    return spark_df.sparkSession.range(1).select(
+def _failure(external: DataFrame, name: str, problem: str) -> DataFrame:
+    return external.sparkSession.range(1).select(
         F.lit(name).alias("masking_method"),
-        F.lit(0.0).alias("match_rate"),
-        F.lit(0.0).alias("unique_match_rate"),
-        F.lit(0.0).alias("false_match_rate"),
-        F.lit(0).cast("bigint").alias("total_records"),
-        F.lit(0).cast("bigint").alias("matched"),
-        F.lit(0).cast("bigint").alias("unique_matched"),
-        F.lit(0).cast("bigint").alias("false_matched"),
-        F.lit(error).alias("error"),
+        *[F.lit(0.0).alias(c) for c in _RATES],
+        *[F.lit(0).cast("bigint").alias(c) for c in _COUNTS],
+        F.lit(problem).alias("error"),
     )
 
 
-def linkage_sweep(
+def linkage_attack(
     external: DataFrame,
-    targets: Mapping[str, DataFrame],
+    target: DataFrame,
+    name: str,
     quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
     ident: str = "id",
     external_rows: int | None = None,
 ) -> DataFrame:
-    """One attack row per target; a target without the needed columns reports its error."""
-    result = None
-    for name, target in targets.items():
-        try:
-            row = linkage_attack(external, target, name, quasi_identifiers, ident, external_rows)
-        except ValueError as problem:
-            row = failed_attack(external, name, str(problem))
-        result = row if result is None else result.unionByName(row)
-    if result is None:
-        raise ValueError("no targets")
-    return result
+    """The sweep's row for a single target; see `linkage_sweep`."""
+    return linkage_sweep(external, {name: target}, quasi_identifiers, ident, external_rows)
