@@ -252,9 +252,10 @@ def projection(columns: Sequence[str], changed: dict[str, str]) -> str:
 # --- masks in SQL ---------------------------------------------------------------------------
 
 
-def sql_uniform(key: str, label: str, ident: str) -> str:
+def sql_uniform(key: str, label: str, ident: str, part: int = 0) -> str:
     seed = f"sha256({text(f'{key}|{label}|')} || CAST({ident} AS VARCHAR))"
-    return f"(CAST(CAST('0x' || substr({seed}, 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496::DOUBLE)"
+    digits = f"'0x' || substr({seed}, {1 + 13 * part}, 13)"
+    return f"(CAST(CAST({digits} AS BIGINT) AS DOUBLE) / 4503599627370496::DOUBLE)"
 
 
 def sql_index(draw: str, size: int | str) -> str:
@@ -272,8 +273,8 @@ def sql_laplace(draw: str, scale: str) -> str:
 
 
 def sql_normal(key: str, label: str, ident: str) -> str:
-    radius = f"greatest({sql_uniform(key, label + '.r', ident)}, 1e-15::DOUBLE)"
-    angle = sql_uniform(key, label + ".a", ident)
+    radius = f"greatest({sql_uniform(key, label, ident)}, 1e-15::DOUBLE)"
+    angle = sql_uniform(key, label, ident, 1)
     return f"(sqrt(-2.0::DOUBLE * ln({radius})) * cos(2.0::DOUBLE * pi() * {angle}))"
 
 
@@ -304,15 +305,15 @@ def sql_taxonomy(tree: Taxonomy, value: str) -> str:
 
 def sql_company(key: str, column: str, ident: str) -> str:
     return (
-        sql_pick(fakes.COMPANY_WORDS, sql_uniform(key, column + ".word", ident))
+        sql_pick(fakes.COMPANY_WORDS, sql_uniform(key, column, ident))
         + " || ' ' || "
-        + sql_pick(fakes.COMPANY_FORMS, sql_uniform(key, column + ".form", ident))
+        + sql_pick(fakes.COMPANY_FORMS, sql_uniform(key, column, ident, 1))
     )
 
 
 def sql_full_name(key: str, column: str, ident: str) -> str:
     return (
-        sql_pick(fakes.FIRST_NAMES, sql_uniform(key, column + ".first", ident))
+        sql_pick(fakes.FIRST_NAMES, sql_uniform(key, column, ident))
         + " || ' ' || "
-        + sql_pick(fakes.LAST_NAMES, sql_uniform(key, column + ".last", ident))
+        + sql_pick(fakes.LAST_NAMES, sql_uniform(key, column, ident, 1))
     )

@@ -54,8 +54,8 @@ def _moved_number(column: str, integral: bool) -> str:
 def _replaced(column: str) -> str:
     values = f"(SELECT list_sort(list(DISTINCT {column})) FROM base)"
     size = f"(SELECT COUNT(DISTINCT {column}) FROM base)"
-    pick = sql_index(sql_uniform(SYNTH_KEY, column + ".pick", "_row"), size)
-    chance = sql_uniform(SYNTH_KEY, column + ".if", "_row")
+    pick = sql_index(sql_uniform(SYNTH_KEY, column, "_row", 1), size)
+    chance = sql_uniform(SYNTH_KEY, column, "_row")
     return f"CASE WHEN {chance} < 0.05::DOUBLE THEN ({values})[{pick}] ELSE {column} END"
 
 
@@ -114,12 +114,12 @@ def synthetic_scale_down(spark, sf_dir):
 # --- generated tables, one row per given id -----------------------------------------------------------
 
 
-def _g(label: str, ident: str) -> str:
-    return sql_uniform("gen-key", label, ident)
+def _g(label: str, ident: str, part: int = 0) -> str:
+    return sql_uniform("gen-key", label, ident, part)
 
 
-def _whole(label: str, ident: str, low: int, count: int) -> str:
-    return f"CAST({low - 1} + {sql_index(_g(label, ident), count)} AS INTEGER)"
+def _whole(label: str, ident: str, low: int, count: int, part: int = 0) -> str:
+    return f"CAST({low - 1} + {sql_index(_g(label, ident, part), count)} AS INTEGER)"
 
 
 @register(
@@ -149,16 +149,16 @@ _CODE = "sha256('gen-key|uuid|' || CAST(c_custkey AS VARCHAR))"
     "AS uuid, "
     "CAST(TIMESTAMP '2025-11-05 12:00:00' - to_seconds("
     f"{_whole('time', 'c_custkey', 0, 730 * 86400 + 1)}) AS VARCHAR) AS timestamp, "
-    f"lower({sql_pick(fakes.FIRST_NAMES, _g('first', 'c_custkey'))}) || '.' || "
-    f"lower({sql_pick(fakes.LAST_NAMES, _g('last', 'c_custkey'))}) || "
-    f"CAST({_whole('mailbox', 'c_custkey', 0, 1000000)} AS VARCHAR) || '@' || "
-    f"{sql_pick(generators.MAIL_DOMAINS, _g('domain', 'c_custkey'))} AS email, "
-    f"CAST({_whole('ip0', 'c_custkey', 1, 223)} AS VARCHAR) || '.' || "
-    f"CAST({_whole('ip1', 'c_custkey', 0, 256)} AS VARCHAR) || '.' || "
-    f"CAST({_whole('ip2', 'c_custkey', 0, 256)} AS VARCHAR) || '.' || "
-    f"CAST({_whole('ip3', 'c_custkey', 0, 256)} AS VARCHAR) AS ip_address, "
-    f"'Mozilla/5.0 (' || {sql_pick(generators.PLATFORMS, _g('platform', 'c_custkey'))} || ') ' || "
-    f"{sql_pick(generators.BROWSERS, _g('browser', 'c_custkey'))} AS user_agent, "
+    f"lower({sql_pick(fakes.FIRST_NAMES, _g('email', 'c_custkey'))}) || '.' || "
+    f"lower({sql_pick(fakes.LAST_NAMES, _g('email', 'c_custkey', 1))}) || "
+    f"CAST({_whole('email', 'c_custkey', 0, 1000000, 2)} AS VARCHAR) || '@' || "
+    f"{sql_pick(generators.MAIL_DOMAINS, _g('email', 'c_custkey', 3))} AS email, "
+    f"CAST({_whole('ip', 'c_custkey', 1, 223, 0)} AS VARCHAR) || '.' || "
+    f"CAST({_whole('ip', 'c_custkey', 0, 256, 1)} AS VARCHAR) || '.' || "
+    f"CAST({_whole('ip', 'c_custkey', 0, 256, 2)} AS VARCHAR) || '.' || "
+    f"CAST({_whole('ip', 'c_custkey', 0, 256, 3)} AS VARCHAR) AS ip_address, "
+    f"'Mozilla/5.0 (' || {sql_pick(generators.PLATFORMS, _g('agent', 'c_custkey'))} || ') ' || "
+    f"{sql_pick(generators.BROWSERS, _g('agent', 'c_custkey', 1))} AS user_agent, "
     "sha256('gen-key|session|' || CAST(c_custkey AS VARCHAR)) AS session_id, "
     f"{_whole('value', 'c_custkey', 1, 10000)} AS value FROM customer",
 )

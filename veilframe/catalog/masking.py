@@ -33,6 +33,7 @@ from veilframe.operators.surrogate import apply_mapping, clashes, extend_mapping
 from veilframe.plans import policy, workloads
 from veilframe.plans.variants import masking_variant
 from veilframe.session import fresh_path
+from veilframe.sources.files import write_parquet
 
 KEY = "mask-key"
 DIGITS = 6
@@ -42,8 +43,8 @@ def _draw(label: str, ident: str = "id") -> str:
     return sql_uniform(KEY, label, ident)
 
 
-def _u(label: str, ident: str = "id"):
-    return prf.uniform(KEY, label, F.col(ident))
+def _u(label: str, ident: str = "id", part: int = 0):
+    return prf.uniform(KEY, label, F.col(ident), part)
 
 
 # --- row-local masks ------------------------------------------------------------------------
@@ -281,9 +282,9 @@ def mask_fake_list(spark, sf_dir):
 def mask_fake_name(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        masks.fake_full_name(
-            _u("c_name.first", "c_custkey"), _u("c_name.last", "c_custkey")
-        ).alias("c_name"),
+        masks.fake_full_name(_u("c_name", "c_custkey"), _u("c_name", "c_custkey", 1)).alias(
+            "c_name"
+        ),
     )
 
 
@@ -344,8 +345,13 @@ def _surrogate(column: str, key: str) -> str:
 def mask_surrogate(spark, sf_dir):
     """A mapping made earlier under another key stays in force when a column is added."""
     people = adult(spark, sf_dir).select("id", "occupation", "native_country")
-    earlier = extend_mapping(people, ["occupation"], key="old-key")
-    mapping = extend_mapping(people, ["occupation", "native_country"], earlier)
+    earlier = write_parquet(
+        extend_mapping(people, ["occupation"], key="old-key"), fresh_path(spark, "surrogates")
+    )
+    mapping = write_parquet(
+        extend_mapping(people, ["occupation", "native_country"], earlier),
+        fresh_path(spark, "surrogates"),
+    )
     return apply_mapping(people, ["occupation", "native_country"], mapping)
 
 
@@ -355,7 +361,8 @@ def mask_surrogate(spark, sf_dir):
 )
 def surrogate_names(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return apply_mapping(people, ["c_name"], extend_mapping(people, ["c_name"]))
+    mapping = write_parquet(extend_mapping(people, ["c_name"]), fresh_path(spark, "surrogates"))
+    return apply_mapping(people, ["c_name"], mapping)
 
 
 @register(

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # 13 hex digits of the digest are 52 bits, all of which a double holds exactly.
 _HEX_DIGITS = 13
 _RANGE = float(2**52)
+# Draws that fit into the digest's 64 hex digits.
+PARTS = 4
 # Smallest argument given to a logarithm.
 _LOG_FLOOR = 1e-15
 
@@ -26,16 +28,22 @@ def digest(key: str, label: str, ident: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{key}|{label}|"), text), 256)
 
 
-def uniform(key: str, label: str, ident: Column) -> Column:
-    """Uniform double in [0, 1)."""
-    head = F.substring(digest(key, label, ident), 1, _HEX_DIGITS)
-    return F.conv(head, 16, 10).cast("bigint") / F.lit(_RANGE)
+def uniform(key: str, label: str, ident: Column, part: int = 0) -> Column:
+    """Uniform double in [0, 1).
+
+    One digest gives PARTS independent draws; Spark computes a digest that several
+    parts share only once.
+    """
+    if not 0 <= part < PARTS:
+        raise ValueError(f"a digest has {PARTS} parts")
+    digits = F.substring(digest(key, label, ident), 1 + part * _HEX_DIGITS, _HEX_DIGITS)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(_RANGE)
 
 
 def normal(key: str, label: str, ident: Column) -> Column:
     """Standard normal from two uniforms (Box-Muller)."""
-    radius = F.greatest(uniform(key, f"{label}.r", ident), F.lit(_LOG_FLOOR))
-    angle = uniform(key, f"{label}.a", ident)
+    radius = F.greatest(uniform(key, label, ident, 0), F.lit(_LOG_FLOOR))
+    angle = uniform(key, label, ident, 1)
     return F.sqrt(F.lit(-2.0) * F.log(radius)) * F.cos(F.lit(2.0) * F.pi() * angle)
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds at least 1/HOT_KEYS of all rows, so there can be no
 # more than HOT_KEYS of them: that bounds what is broadcast.
-HOT_KEYS = 1_000
-_SPREAD = 4_096
+HOT_KEYS = 100_000
 
 
 def lookup_join(
@@ -19,35 +18,30 @@ def lookup_join(
     """Add `payload` of the matching `table` row, or NULL; null keys never match.
 
     `table` has unique keys and in `weight` the number of `rows` carrying the key.
-    Hot keys are answered by a broadcast of at most HOT_KEYS rows. Their rows, and
-    rows with a null key, then take part in the shuffled join under a spread number
-    that matches nothing, so no task receives a whole hot group.
+    Hot keys are answered by a broadcast of at most HOT_KEYS rows, in place: their
+    rows are not shuffled at all, nor are those with a null key. Only the remaining
+    rows go through a shuffled join, and there no key holds more than 1/HOT_KEYS of
+    them. `rows` is read twice for this, which for wide rows costs less than
+    shuffling them.
     """
     total = table.agg(F.sum(weight).alias("n")).scalar()
     is_hot = F.col(weight) * F.lit(HOT_KEYS) >= total
     hot = table.where(is_hot).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.col(payload).alias("_hot_payload"),
+        F.col(payload).alias(payload),
         F.lit(True).alias("_is_hot"),
     )
-    cold = table.where(~is_hot).select(
-        *[F.col(k).alias(f"_cold_{k}") for k in keys],
-        F.col(payload).alias("_cold_payload"),
-        F.lit(0).alias("_cold_spread"),
-    )
+    cold = table.where(~is_hot).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], payload)
     columns = rows.columns
-    answered = rows.join(
+    marked = rows.join(
         F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left"
     )
-    no_key = F.lit(False)
+    in_place = F.col("_is_hot").isNotNull()
     for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    spread = F.pmod(F.xxhash64(*columns), F.lit(_SPREAD)).cast("int") + 1
-    answered = answered.withColumn(
-        "_spread", F.when(F.col("_is_hot") | no_key, spread).otherwise(F.lit(0))
-    )
-    on = [F.col(k) == F.col(f"_cold_{k}") for k in keys]
-    on.append(F.col("_spread") == F.col("_cold_spread"))
-    return answered.join(cold, on, "left").select(
-        *columns, F.coalesce(F.col("_hot_payload"), F.col("_cold_payload")).alias(payload)
-    )
+        in_place = in_place | F.col(k).isNull()
+    answered = marked.where(in_place).select(*columns, payload)
+    open_rows = marked.where(~in_place).select(*columns)
+    looked_up = open_rows.join(
+        cold, [F.col(k) == F.col(f"_cold_{k}") for k in keys], "left"
+    ).select(*columns, payload)
+    return answered.unionByName(looked_up)

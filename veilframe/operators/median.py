@@ -4,75 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Value ranges counted per group; a group's range table is never longer than this.
-_RANGES = 65_536
+# Ranges per unit of the logarithmic scale. All doubles lie within 710 units of
+# zero, which bounds the ranges of a group, whatever its size.
+RANGES_PER_UNIT = 1_024
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", ranges: int = _RANGES
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "median",
+    ranges_per_unit: int = RANGES_PER_UNIT,
 ) -> DataFrame:
     """(keys, median) of the non-null values.
 
-    Each group's span is cut into ranges on a logarithmic scale, which long-tailed
-    latencies fill evenly. Counting the ranges (map-side) tells which of them hold
-    the middle positions; only the distinct values of those are ordered.
+    Rows are reduced to the distinct values of each group, spread over all tasks by
+    (group, value). A fixed logarithmic grid, which long-tailed latencies fill
+    evenly, then tells which range holds the middle positions; only the values in
+    that range are put in order.
     """
     keys = list(keys)
     x = F.col("_x")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    rows = rows.withColumn("_t", F.signum(x) * F.log1p(F.abs(x)))
-    spans = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high")
-    )
-    on_keys = _null_safe(keys)
-    share = F.coalesce(
-        F.try_divide(F.col("_t") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)
-    )
     values = (
-        rows.groupBy(*keys, "_x", "_t")
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .join(_renamed(spans, keys), on_keys)
         .withColumn(
-            "_range", F.least(F.floor(share * F.lit(ranges)), F.lit(ranges - 1)).cast("int")
+            "_range", F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(ranges_per_unit))
         )
-        .select(*keys, "_x", "_c", "_n", "_range")
     )
-    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     counted = (
-        values.groupBy(*keys, "_n", "_range")
+        values.groupBy(*keys, "_range")
         .agg(F.sum("_c").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_n", F.sum("_rows").over(group))
     )
-    low_rank = F.floor((F.col("_n") + 1) / 2)
-    high_rank = F.floor(F.col("_n") / 2) + 1
+    # The two middle positions; the same one when the number of values is odd.
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     middle = counted.where(
-        (F.col("_before") < high_rank) & (F.col("_before") + F.col("_rows") >= low_rank)
-    ).select(*keys, "_range", "_before")
-    within = W.partitionBy(*keys, "_range").orderBy("_x")
-    upto = F.col("_before") + F.sum("_c").over(within.rowsBetween(W.unboundedPreceding, 0))
-    placed = (
-        values.join(_renamed(middle, [*keys, "_range"]), _null_safe([*keys, "_range"]))
-        .select(*keys, "_x", "_c", "_n", "_range", "_before")
-        .withColumn("_upto", upto)
+        (F.col("_before") < high) & (F.col("_before") + F.col("_rows") >= low)
+    ).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_range").alias("_k__range"),
+        "_before",
+        "_n",
     )
-    holds_low = (F.col("_upto") >= low_rank) & (F.col("_upto") - F.col("_c") < low_rank)
-    holds_high = (F.col("_upto") >= high_rank) & (F.col("_upto") - F.col("_c") < high_rank)
-    return placed.groupBy(*keys).agg(
-        (
-            (F.max(F.when(holds_low, x)) + F.max(F.when(holds_high, x))) / F.lit(2.0)
-        ).alias(name)
+    within = W.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    placed = values.join(middle, _null_safe([*keys, "_range"])).withColumn(
+        "_upto", F.col("_before") + F.sum("_c").over(within)
     )
 
+    def at(position: Column) -> Column:
+        here = (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)
+        return F.max(F.when(here, x))
 
-def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in df.columns])
+    return placed.groupBy(*keys).agg(((at(low) + at(high)) / F.lit(2.0)).alias(name))
 
 
-def _null_safe(keys: Sequence[str]):
+def _null_safe(keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

@@ -110,9 +110,9 @@ def perturb(
         # Bounded by `array_values`, which the profile has just checked.
         values = base.agg(F.sort_array(F.collect_set(F.struct(column))).alias("v")).scalar()
         chosen = F.element_at(
-            values, prf.index_below(prf.uniform(key, f"{column}.pick", F.col(row)), size)
+            values, prf.index_below(prf.uniform(key, column, F.col(row), 1), size)
         ).getField(column)
-        replaced = prf.uniform(key, f"{column}.if", F.col(row)) < F.lit(REPLACED_SHARE)
+        replaced = prf.uniform(key, column, F.col(row)) < F.lit(REPLACED_SHARE)
         changed[column] = F.when(replaced, chosen).otherwise(F.col(column))
     result = df.withColumns(changed) if changed else df
     for column in long_columns:
@@ -133,8 +133,8 @@ def _replace_by_dictionary(
     numbered = keyed_rank(values, column, key, f"{column}.dictionary", "_number").select(
         "_number", F.col(column).alias("_value")
     )
-    replaced = prf.uniform(key, f"{column}.if", F.col(row)) < F.lit(REPLACED_SHARE)
-    number = prf.index_below(prf.uniform(key, f"{column}.pick", F.col(row)), size)
+    replaced = prf.uniform(key, column, F.col(row)) < F.lit(REPLACED_SHARE)
+    number = prf.index_below(prf.uniform(key, column, F.col(row), 1), size)
     nowhere = -F.pmod(F.xxhash64(row), F.lit(_SPREAD)) - 1
     wanted = df.withColumn("_wanted", F.when(replaced, number.cast("bigint")).otherwise(nowhere))
     joined = wanted.join(numbered, F.col("_wanted") == F.col("_number"), "left")

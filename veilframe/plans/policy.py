@@ -26,9 +26,9 @@ class Site:
     def value(self) -> Column:
         return F.col(self.column)
 
-    def draw(self, label: str = "") -> Column:
-        """Uniform draw of this row for this column."""
-        return prf.uniform(self.key, self.column + label, self.ident)
+    def draw(self, part: int = 0) -> Column:
+        """Uniform draw of this row for this column; `part` tells several draws apart."""
+        return prf.uniform(self.key, self.column, self.ident, part)
 
 
 Rule = Callable[[Site], Column]
@@ -134,11 +134,11 @@ def fake_list(values: tuple[str, ...]) -> Rule:
 
 
 def fake_name() -> Rule:
-    return lambda s: masks.fake_full_name(s.draw(".first"), s.draw(".last"))
+    return lambda s: masks.fake_full_name(s.draw(0), s.draw(1))
 
 
 def fake_company() -> Rule:
-    return lambda s: masks.fake_company(s.draw(".word"), s.draw(".form"))
+    return lambda s: masks.fake_company(s.draw(0), s.draw(1))
 
 
 def fake_country() -> Rule:

@@ -57,11 +57,11 @@ def high_cardinality(
 ) -> DataFrame:
     """Table whose columns hardly repeat a value; times in the two years up to `end`."""
 
-    def draw(label: str) -> Column:
-        return prf.uniform(key, label, F.col(ident))
+    def draw(label: str, part: int = 0) -> Column:
+        return prf.uniform(key, label, F.col(ident), part)
 
-    def whole(label: str, low: int, count: int) -> Column:
-        return (F.lit(low - 1) + prf.index_below(draw(label), count)).cast("int")
+    def whole(label: str, low: int, count: int, part: int = 0) -> Column:
+        return (F.lit(low - 1) + prf.index_below(draw(label, part), count)).cast("int")
 
     code = prf.digest(key, "uuid", F.col(ident))
     uuid = F.concat_ws(
@@ -74,14 +74,14 @@ def high_cardinality(
     )
     seconds = VISIT_DAYS * 86_400
     email = F.concat(
-        F.lower(prf.pick(fakes.FIRST_NAMES, draw("first"))),
+        F.lower(prf.pick(fakes.FIRST_NAMES, draw("email"))),
         F.lit("."),
-        F.lower(prf.pick(fakes.LAST_NAMES, draw("last"))),
-        whole("mailbox", 0, 1_000_000).cast("string"),
+        F.lower(prf.pick(fakes.LAST_NAMES, draw("email", 1))),
+        whole("email", 0, 1_000_000, 2).cast("string"),
         F.lit("@"),
-        prf.pick(MAIL_DOMAINS, draw("domain")),
+        prf.pick(MAIL_DOMAINS, draw("email", 3)),
     )
-    octets = [whole(f"ip{i}", 1 if i == 0 else 0, 223 if i == 0 else 256) for i in range(4)]
+    octets = [whole("ip", 1, 223), *[whole("ip", 0, 256, part) for part in (1, 2, 3)]]
     return ids.select(
         uuid.alias("uuid"),
         (
@@ -92,9 +92,9 @@ def high_cardinality(
         F.concat_ws(".", *[o.cast("string") for o in octets]).alias("ip_address"),
         F.concat(
             F.lit("Mozilla/5.0 ("),
-            prf.pick(PLATFORMS, draw("platform")),
+            prf.pick(PLATFORMS, draw("agent")),
             F.lit(") "),
-            prf.pick(BROWSERS, draw("browser")),
+            prf.pick(BROWSERS, draw("agent", 1)),
         ).alias("user_agent"),
         prf.digest(key, "session", F.col(ident)).alias("session_id"),
         whole("value", 1, 10_000).alias("value"),
