@@ -50,11 +50,11 @@ def load_csv(
 
 
 def number_lines(df: DataFrame, name: str = "id") -> DataFrame:
-    """Ids 1..N in file order for a DataFrame read straight from files.
+    """Ids 1..N for a DataFrame read straight from files; a file's lines keep their order.
 
-    Spark numbers rows within each scan task; a bucket is one such task, so nothing
-    is sorted across tasks. Only valid on a plain scan, whose splits are the same
-    each time they are read.
+    Which file comes first is Spark's choice. Rows are numbered within each scan
+    task; a bucket is one such task, so nothing is sorted across tasks. Only valid on
+    a plain scan, whose splits are the same each time they are read.
     """
     placed = df.withColumn("_line", F.monotonically_increasing_id())
     ranked = bucketed_rank(
