@@ -24,30 +24,40 @@ def test_keyed_rank_is_a_permutation_whatever_the_bucket_size(spark):
     assert orders[0] == orders[1] == orders[2]
 
 
-def test_bucket_starts_over_several_blocks(spark):
-    counts = spark.range(0, 20_000, 3).select(
-        F.col("id").alias("b"), (F.col("id") % 5 + 1).alias("n")
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_bucket_starts_over_several_blocks(spark, levels):
+    step = 30_011
+    counts = spark.range(-2_000_000, 5_000_000, step).select(
+        F.col("id").alias("b"), (F.pmod("id", F.lit(5)) + 1).alias("n")
     )
-    got = {r["b"]: r["before"] for r in bucket_starts(counts, "b", "n").collect()}
+    got = {r["b"]: r["before"] for r in bucket_starts(counts, "b", "n", levels).collect()}
     total = 0
-    for b in range(0, 20_000, 3):
+    for b in range(-2_000_000, 5_000_000, step):
         assert got[b] == total
         total += b % 5 + 1
 
 
 def test_dense_ids_keep_order_and_close_gaps(spark):
-    keys = [-250, -3, 0, 7, 8, 99, 100, 101, 5000]
+    keys = [-(2**62), -250, -3, 0, 7, 8, 99, 100, 101, 5000, 2**62]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     got = dense_ids(df, "k", rows_per_bucket=10).collect()
     assert {r["k"]: r["id"] for r in got} == {k: i + 1 for i, k in enumerate(keys)}
 
 
 @pytest.mark.parametrize("rows", [0, 1, 37, 999, 1000, 1500])
-def test_exact_sample_size_and_rows_per_bucket(spark, rows):
+def test_exact_sample_is_the_start_of_the_keyed_order(spark, rows):
     df = spark.range(1000)
-    a = {r.id for r in exact_sample(df, "id", rows, "k", rows_per_bucket=50).collect()}
+    a = {r.id for r in exact_sample(df, "id", rows, "k", total_rows=1000).collect()}
     b = {r.id for r in exact_sample(df, "id", rows, "k").collect()}
     assert a == b and len(a) == min(rows, 1000)
+    ranked = keyed_rank(df, "id", "k", "sample").where(F.col("rank") <= rows)
+    assert {r.id for r in ranked.collect()} == a
+
+
+def test_sample_with_repeated_identifiers_fails_loudly(spark):
+    same = spark.range(1000).select(F.lit(7).alias("id"))
+    with pytest.raises(Exception, match="unique"):
+        exact_sample(same, "id", 100, "k").collect()
 
 
 def test_sample_of_nothing(spark):

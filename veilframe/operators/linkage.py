@@ -43,7 +43,8 @@ def linkage_sweep(
 
     External and target rows are never paired within a group: both sides are summed
     per quasi-identifier combination first, and the own ids are matched by id, so a
-    huge group costs one counter. All targets go through the same joins together.
+    huge group costs one counter. All targets go through the same joins together and
+    are read once. External ids are unique.
     `external_rows` is a proven upper bound of the external size (a sample of that
     many); if small enough, the external side is broadcast and the targets are
     filtered in place instead of being shuffled.
@@ -87,7 +88,7 @@ def _attack(
     ident: str,
     external_rows: int | None,
 ) -> DataFrame:
-    known = _prefixed(people, [ident, *qis], "_p_")
+    known = _prefixed(people, [ident, *qis], "_p_").distinct()
     candidates = targets
     if external_rows is not None and external_rows <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -95,29 +96,20 @@ def _attack(
         candidates = targets.join(
             F.broadcast(combinations), _null_safe_match(qis, "_e_"), "left_semi"
         )
-    found = (
-        candidates.join(known, F.col(ident) == F.col(f"_p_{ident}"))
-        .where(_null_safe_match(qis, "_p_"))
-        .select("_target", ident, *qis)
-        .distinct()
-    )
+    own = (F.col(ident) == F.col(f"_p_{ident}")) & _null_safe_match(qis, "_p_")
     zero, one = F.lit(0).cast("bigint"), F.count(F.lit(1))
+    target_sizes = (
+        candidates.join(known, own, "left")
+        .groupBy("_target", *qis)
+        .agg(one.alias("rows"), F.count_distinct(f"_p_{ident}").alias("hits"))
+    )
     per_target = F.explode(F.array(*[F.lit(n) for n in names])).alias("_target")
     external_sizes = people.groupBy(*qis).agg(one.alias("external"))
     sizes = (
         external_sizes.select(
             per_target, *qis, "external", zero.alias("rows"), zero.alias("hits")
         )
-        .unionByName(
-            candidates.groupBy("_target", *qis)
-            .agg(one.alias("rows"))
-            .select("_target", *qis, zero.alias("external"), "rows", zero.alias("hits"))
-        )
-        .unionByName(
-            found.groupBy("_target", *qis)
-            .agg(one.alias("hits"))
-            .select("_target", *qis, zero.alias("external"), zero.alias("rows"), "hits")
-        )
+        .unionByName(target_sizes.withColumn("external", zero))
         .groupBy("_target", *qis)
         .agg(*[F.sum(c).alias(c) for c in ("external", "rows", "hits")])
     )

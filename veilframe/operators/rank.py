@@ -7,6 +7,7 @@ by the data, not sampled, so a recomputed task numbers its rows as before.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,29 +16,34 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import prf
 
-ROWS_PER_BUCKET = 100_000
-# Buckets are summed in blocks of this many, so no window holds all of them.
-_BLOCK = 4_096
+# Large enough that a map task sends fewer bucket counts than it has rows.
+ROWS_PER_BUCKET = 1_000_000
+# Smaller tables are cut into pieces of at least this many rows, to use all cores.
+_SMALL_BUCKET = 10_000
+# Buckets per block where blocks are summed before their buckets.
+_BLOCK_BITS = 16
 
 
-def bucket_starts(counts: DataFrame, bucket: str, weight: str) -> DataFrame:
+def bucket_starts(counts: DataFrame, bucket: str, weight: str, levels: int = 0) -> DataFrame:
     """(bucket, weight, before) with `before` = total weight of all smaller buckets.
 
-    Two steps: totals of blocks of buckets, then sums within a block. The only
-    unpartitioned window runs over one row per block.
+    Without levels the bucket table is summed in one task; it has a row per bucket,
+    not per row. Each level first sums blocks of 65,536 buckets, so that no window
+    exceeds a block however many buckets there are.
     """
-    blocked = counts.withColumn("_block", F.floor(F.col(bucket) / F.lit(_BLOCK)))
-    earlier_blocks = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        blocked.groupBy("_block")
-        .agg(F.sum(weight).alias("_block_weight"))
-        .select(
-            "_block",
-            F.coalesce(F.sum("_block_weight").over(earlier_blocks), F.lit(0)).alias("_base"),
+    if levels == 0:
+        earlier = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+        return counts.select(
+            bucket, weight, F.coalesce(F.sum(weight).over(earlier), F.lit(0)).alias("before")
         )
+    block = f"_block{levels}"
+    blocked = counts.withColumn(block, F.shiftright(F.col(bucket), _BLOCK_BITS))
+    totals = blocked.groupBy(block).agg(F.sum(weight).alias("_total"))
+    bases = bucket_starts(totals, block, "_total", levels - 1).select(
+        F.col(block).alias("_base_block"), F.col("before").alias("_base")
     )
-    earlier = W.partitionBy("_block").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return blocked.join(blocks, "_block").select(
+    earlier = W.partitionBy(block).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    return blocked.join(bases, F.col(block) == F.col("_base_block")).select(
         bucket,
         weight,
         (F.col("_base") + F.coalesce(F.sum(weight).over(earlier), F.lit(0))).alias("before"),
@@ -45,12 +51,12 @@ def bucket_starts(counts: DataFrame, bucket: str, weight: str) -> DataFrame:
 
 
 def bucketed_rank(
-    df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "rank"
+    df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "rank", levels: int = 0
 ) -> DataFrame:
     """Add the 1-based position in the order (bucket, *order); the order must be total."""
     placed = df.withColumn("_bucket", bucket)
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    starts = bucket_starts(counts, "_bucket", "_rows").select("_bucket", "before")
+    starts = bucket_starts(counts, "_bucket", "_rows", levels).select("_bucket", "before")
     within = W.partitionBy("_bucket").orderBy(*order)
     return (
         placed.join(starts, "_bucket")
@@ -59,9 +65,10 @@ def bucketed_rank(
     )
 
 
-def _bucket_count(source: DataFrame, rows_per_bucket: int) -> Column:
-    total = source.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return F.greatest(F.ceil(total / F.lit(rows_per_bucket)), F.lit(1))
+def _total(source: DataFrame, known: int | None) -> Column:
+    if known is not None:
+        return F.lit(known).cast("bigint")
+    return source.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def keyed_rank(
@@ -70,11 +77,23 @@ def keyed_rank(
     key: str,
     label: str,
     name: str = "rank",
+    total_rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Position of each row in a random order fixed by the key; `ident` must be unique."""
+    """Position of each row in a random order fixed by the key; `ident` must be unique.
+
+    Draws are uniform, so buckets of equal width hold equally many rows. Their number
+    follows the table's size; pass `total_rows` where it is known to save the count.
+    """
+    total = _total(df, total_rows)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = F.greatest(
+        F.ceil(total / F.lit(rows_per_bucket)),
+        F.least(F.ceil(total / F.lit(_SMALL_BUCKET)), F.lit(cores)),
+        F.lit(1),
+    )
     drawn = df.withColumn("_draw", prf.uniform(key, label, F.col(ident)))
-    bucket = F.floor(F.col("_draw") * _bucket_count(df, rows_per_bucket))
+    bucket = F.floor(F.col("_draw") * buckets)
     return bucketed_rank(drawn, bucket, [F.col("_draw"), F.col(ident)], name).drop("_draw")
 
 
@@ -84,10 +103,11 @@ def dense_ids(
     """Ids 1..N in the order of a unique integer column.
 
     A bucket is a range of `rows_per_bucket` integers, so it cannot hold more
-    rows than that, however the values are spread.
+    rows than that, however the values are spread; widely spread values make many
+    buckets, which are summed in two levels.
     """
     bucket = F.floor(F.col(order) / F.lit(rows_per_bucket))
-    ranked = bucketed_rank(df, bucket, [F.col(order)], "_dense_id")
+    ranked = bucketed_rank(df, bucket, [F.col(order)], "_dense_id", levels=2)
     kept = [F.col(c) for c in df.columns if c != name]
     return ranked.select(F.col("_dense_id").alias(name), *kept)
 
@@ -98,33 +118,38 @@ def exact_sample(
     rows: int,
     key: str,
     label: str = "sample",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Uniform sample of exactly `rows` rows (all, when there are fewer).
 
-    The sample is every row up to the `rows`-th in the keyed order. Only that one
-    border row is looked for, over narrow columns; the table itself is filtered
-    in place and never shuffled or sorted.
+    The sample is every row up to the `rows`-th in the keyed order. Draws are uniform,
+    so that row's draw is close to rows/total: rows below a margin around it are only
+    counted, and only those within it, about sixteen times the root of `rows`, are put
+    in order. The table itself is filtered in place, never shuffled or sorted.
+
+    The margin is eight deviations and more. Should it miss the border row, which
+    takes repeated identifiers, the query fails rather than return another size.
     """
     if rows <= 0:
         return df.limit(0)
+    total = _total(df, total_rows)
+    margin = 8.0 * math.sqrt(rows) + 40.0
+    low = F.try_divide(F.lit(rows - margin), total)
+    high = F.try_divide(F.lit(rows + margin), total)
     mark = F.struct(
         prf.uniform(key, label, F.col(ident)).alias("draw"), F.col(ident).alias("ident")
     )
     marks = df.select(mark.alias("mark"))
-    placed = marks.withColumn(
-        "_bucket", F.floor(F.col("mark.draw") * _bucket_count(df, rows_per_bucket))
-    )
-    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    border = bucket_starts(counts, "_bucket", "_rows").where(
-        (F.col("before") < rows) & (F.col("before") + F.col("_rows") >= rows)
-    )
-    # One bucket of about `rows_per_bucket` rows: small enough for one task.
+    draw = F.col("mark.draw")
+    below = marks.where(draw < low).agg(F.count(F.lit(1)).alias("n")).scalar()
     last = (
-        placed.join(F.broadcast(border.select("_bucket", "before")), "_bucket")
-        .withColumn("_row", F.row_number().over(W.partitionBy("_bucket").orderBy("mark")))
-        .where(F.col("before") + F.col("_row") == rows)
+        marks.where((draw >= low) & (draw < high))
+        .withColumn("_row", F.row_number().over(W.orderBy("mark")))
+        .where(F.col("_row") + below == rows)
         .select("mark")
         .scalar()
     )
-    return df.where(F.coalesce(mark <= last, F.lit(True)))
+    missed = F.raise_error(F.lit(f"no unique border row: is {ident} unique?")).cast("boolean")
+    return df.where(
+        F.when(total <= rows, F.lit(True)).otherwise(F.coalesce(mark <= last, missed))
+    )

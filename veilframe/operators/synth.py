@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -148,23 +147,21 @@ def scale_rows(
     """Exactly `target_rows` rows like those of `base`, with fresh ids 1..N.
 
     Up to the base's size this is a sample. Beyond, the base is repeated often
-    enough, perturbed, and then sampled.
+    enough, sampled and perturbed; noise depends on the row alone, so sampling first
+    gives the same rows and spares the noise of those left out.
     """
     known = profile(base, ident)
     if known.rows == 0:
         return base
-    if target_rows <= known.rows:
-        grown, row = base.withColumn("_row", F.col(ident).cast("string")), "_row"
+    copies = math.ceil(target_rows / known.rows)
+    if copies <= 1:
+        grown = base.withColumn("_row", F.col(ident).cast("string"))
+        sample = exact_sample(grown, "_row", target_rows, key, total_rows=known.rows)
     else:
-        copies = math.ceil(target_rows / known.rows)
-        grown = perturb(replicate(base, copies, ident), base, ident, "_row", key, known)
-        row = "_row"
-    sample = exact_sample(grown, row, target_rows, key)
-    return _renumbered(sample, ident, row, key, base.columns)
-
-
-def _renumbered(
-    df: DataFrame, ident: str, row: str, key: str, columns: Sequence[str]
-) -> DataFrame:
-    ranked = keyed_rank(df, row, key, "sample", "_new_id")
-    return ranked.select(*[F.col("_new_id").alias(c) if c == ident else F.col(c) for c in columns])
+        copied = replicate(base, copies, ident)
+        sample = exact_sample(copied, "_row", target_rows, key, total_rows=known.rows * copies)
+        sample = perturb(sample, base, ident, "_row", key, known)
+    ranked = keyed_rank(sample, "_row", key, "sample", "_new_id", total_rows=target_rows)
+    return ranked.select(
+        *[F.col("_new_id").alias(c) if c == ident else F.col(c) for c in base.columns]
+    )
