@@ -75,6 +75,14 @@ def test_sweep_shuffles_rows_once(people):
     assert len(re.findall(r"FileScan", text)) == 1
 
 
+def test_suppression_counts_groups_once(people):
+    rows = kanon.generalize(people)
+    kept = kanon.suppress(rows, kanon.QUASI_IDENTIFIERS, 2)
+    kept.collect()
+    final = plan(kept).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan(kept) and "SortMergeJoin" not in final
+
+
 def test_self_join_meets_after_aggregation(people):
     text = plan(workloads.self_join_groups(people))
     join = min(text.index(n) for n in ("SortMergeJoin", "BroadcastHashJoin") if n in text)

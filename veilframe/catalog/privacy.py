@@ -28,6 +28,7 @@ from veilframe.operators import dp, kanon, linkage, utility
 from veilframe.operators.rank import exact_sample
 from veilframe.plans import policy
 from veilframe.plans.variants import masking_variant, masking_variants
+from veilframe.session import stored_once
 
 DIGITS = 6
 
@@ -334,9 +335,8 @@ _VARIANT_CTES = [
 )
 def linkage_sweep(spark, sf_dir):
     people = adult(spark, sf_dir)
-    external = exact_sample(
-        people.select("id", *linkage.QUASI_IDENTIFIERS), "id", 1000, "external-key"
-    )
+    people_outside = people.select("id", *linkage.QUASI_IDENTIFIERS)
+    external = stored_once(exact_sample(people_outside, "id", 1000, "external-key"), "external")
     targets = {
         "raw": people,
         "view_masked": policy.ADULT_VIEW.apply(people),

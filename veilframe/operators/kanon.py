@@ -6,8 +6,10 @@ A row with a null quasi-identifier belongs to no group and is always suppressed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.masks import floor_bucket
 from veilframe.functions.taxonomy import KANON_EDUCATION
 from veilframe.operators.lookup import lookup_join
+from veilframe.session import stored_once
 
 QUASI_IDENTIFIERS = ("age_generalized", "education_generalized", "sex", "race")
 K_VALUES = (2, 5, 10, 20)
@@ -38,7 +41,7 @@ def generalize(df: DataFrame, age_bucket: int = 5) -> DataFrame:
 
 
 def _identified(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
-    return df.dropna(how="any", subset=list(quasi_identifiers))
+    return df.where(_complete(quasi_identifiers))
 
 
 def group_sizes(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
@@ -119,10 +122,7 @@ def sweep(
 
 
 def _complete(columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & F.col(c).isNotNull()
-    return condition
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
 
 
 def anonymous_table(
@@ -160,8 +160,8 @@ def query_utility(
 ) -> DataFrame:
     """(k, query, mae, relative_error) of group queries on the suppressed table.
 
-    The rows are first summed up per quasi-identifier group and query key; every
-    query and every k then works on those cells alone.
+    The rows are first summed up per quasi-identifier group and query key, and those
+    cells stored; every query and every k then works on the cells alone.
 
     `mae` averages over keys both answers have; `relative_error` sums over the
     original keys (a lost key counts as 0) and divides by the number of them.
@@ -174,6 +174,7 @@ def query_utility(
         *[F.sum(m).alias(f"sum_{m}") for m in measures],
         *[F.count(m).alias(f"n_{m}") for m in measures],
     )
+    cells = stored_once(cells, "utility-cells")
     sizes = (
         _identified(cells, quasi_identifiers)
         .groupBy(*quasi_identifiers)

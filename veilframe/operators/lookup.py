@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ def lookup_join(
     them. `rows` is read twice for this, which for wide rows costs less than
     shuffling them.
     """
+    # The joins imply this filter; stated for all uses of the table, they share one plan
+    # and so one shuffle.
+    table = table.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     total = table.agg(F.sum(weight).alias("n")).scalar()
     is_hot = F.col(weight) * F.lit(HOT_KEYS) >= total
     hot = table.where(is_hot).select(
@@ -36,9 +41,7 @@ def lookup_join(
     marked = rows.join(
         F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left"
     )
-    in_place = F.col("_is_hot").isNotNull()
-    for k in keys:
-        in_place = in_place | F.col(k).isNull()
+    in_place = reduce(or_, [F.col(k).isNull() for k in keys], F.col("_is_hot").isNotNull())
     answered = marked.where(in_place).select(*columns, payload)
     open_rows = marked.where(~in_place).select(*columns)
     looked_up = open_rows.join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "veilframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
+
+
+def stored_once(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate that is read several times and go on from the files.
+
+    It outlives the executors that made it, and nothing before it runs again.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
