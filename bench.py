@@ -24,7 +24,7 @@ from veilframe.session import build_session, fresh_path
 
 RUNS = 5
 WARM_UPS = 2
-OPERATOR_RUNS = 3
+OPERATOR_RUNS = 2
 TABLES = ("customer", "part", "orders", "lineitem", "events")
 
 # Registered queries timed from the given tables to the fetched answer.

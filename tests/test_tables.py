@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import synth
+from veilframe.operators import kanon, synth
 from veilframe.plans import policy, report, workloads
 from veilframe.plans.variants import VARIANTS, masking_variants, sampled
 from veilframe.session import fresh_path, shared_dir
@@ -131,6 +131,21 @@ def test_parameters_are_bound_not_pasted(adult):
     assert workloads.null_safe_match(adult, {"race": None, "age": -7}).first().id == 2
 
 
+def test_published_tables(spark, tmp_path):
+    from veilframe.catalog.base import adult as derived
+
+    people = derived(spark, "/root/testdata/sf0.001")
+    rows = {r.k: r for r in kanon.publish(people, str(tmp_path), ks=(2, 3)).collect()}
+    for k, r in rows.items():
+        stored = spark.read.parquet(f"{tmp_path}/k{k}")
+        assert stored.columns == ["id", *kanon.OUTPUT_COLUMNS]
+        assert sorted(x.id for x in stored.select("id").collect()) == list(
+            range(1, r.final_rows + 1)
+        )
+        smallest = kanon.check(kanon.group_sizes(stored, kanon.QUASI_IDENTIFIERS), k).first()
+        assert smallest.satisfied
+
+
 # --- scaling ------------------------------------------------------------------------------------
 
 

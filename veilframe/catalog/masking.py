@@ -27,7 +27,7 @@ from veilframe.catalog.base import (
     with_healthcare,
 )
 from veilframe.functions import fakes, masks, prf, taxonomy
-from veilframe.operators.rank import exact_sample
+from veilframe.operators.rank import exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
 from veilframe.operators.surrogate import apply_mapping, clashes, extend_mapping
 from veilframe.plans import policy, workloads
@@ -581,18 +581,21 @@ _WORKLOAD = (
     with_adult(
         " UNION ALL ".join(
             f"SELECT * FROM ({_WORKLOAD.format(system=text(s), table=t)})"
-            for s, t in (("raw", "adult"), ("view", "view"), ("dynamic", "masked"))
+            for s, t in (
+                ("raw", "adult"), ("view", "view"), ("static", "masked"), ("dynamic", "masked"),
+            )
         ),
         f"view AS ({ADULT_VIEW_SELECT})",
         f"masked AS ({ADULT_RULES_SELECT})",
     ),
 )
 def workload_over_masked(spark, sf_dir):
-    """One workload function over the raw table, the view and the masked role's reading."""
+    """One workload function over the raw table, the view, a stored copy and a role's reading."""
     people = adult(spark, sf_dir)
     seen = {
         "raw": people,
         "view": policy.ADULT_VIEW.apply(people),
+        "static": policy.ADULT_RULES.store(people, fresh_path(spark, "adult-static")),
         "dynamic": policy.ADULT_RULES.read(people, "masked_user"),
     }
     result = None
@@ -607,4 +610,18 @@ def workload_over_masked(spark, sf_dir):
     with_adult(f"SELECT * FROM adult ORDER BY {sql_uniform('sample-key', 'sample', 'id')}, id LIMIT 1000"),
 )
 def sample_people(spark, sf_dir):
+    """A thousand people: the sample is the operator."""
     return exact_sample(adult(spark, sf_dir), "id", 1000, "sample-key")
+
+
+@register(
+    "random_row_number",
+    with_adult(
+        f"SELECT id, row_number() OVER (ORDER BY {sql_uniform('order-key', 'order', 'id')}, id) "
+        "AS position FROM adult"
+    ),
+)
+def random_row_number(spark, sf_dir):
+    """Every row's position in a random order."""
+    people = adult(spark, sf_dir).select("id")
+    return keyed_rank(people, "id", "order-key", "order", "position")

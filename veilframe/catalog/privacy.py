@@ -28,7 +28,7 @@ from veilframe.operators import dp, kanon, linkage, utility
 from veilframe.operators.rank import exact_sample
 from veilframe.plans import policy
 from veilframe.plans.variants import masking_variant, masking_variants
-from veilframe.session import stored_once
+from veilframe.session import fresh_path, stored_once
 
 DIGITS = 6
 
@@ -107,7 +107,8 @@ def kanon_recheck(spark, sf_dir):
 @register(
     "kanon_table",
     with_adult(
-        f"SELECT {', '.join(kanon.OUTPUT_COLUMNS)} FROM sized WHERE group_rows >= 5",
+        f"SELECT row_number() OVER (ORDER BY id) AS id, {', '.join(kanon.OUTPUT_COLUMNS)} "
+        "FROM sized WHERE group_rows >= 5",
         _GENERALIZED,
         _SIZES,
         _SIZED,
@@ -260,6 +261,41 @@ def kanon_cardinality_loss(spark, sf_dir):
     return plain(kanon.cardinality_loss(people, kanon.QUASI_IDENTIFIERS), DIGITS)
 
 
+@register(
+    "kanon_publish",
+    with_adult(
+        "SELECT k, (SELECT COUNT(*) FROM adult) AS original_rows, "
+        "COUNT(*) FILTER (group_rows >= k) AS final_rows, "
+        "COUNT(*) - COUNT(*) FILTER (group_rows >= k) AS suppressed_rows, "
+        "round((COUNT(*) - COUNT(*) FILTER (group_rows >= k)) / COUNT(*)::DOUBLE, 6) "
+        "AS suppression_rate, "
+        "(SELECT round(avg(mae), 4) FROM utility u WHERE u.k = ks.k) AS mae, "
+        "(SELECT round(avg(relative_error), 6) FROM utility u WHERE u.k = ks.k) AS relative_error, "
+        "COUNT(*) FILTER (group_rows >= k) AS stored_rows, "
+        "CASE WHEN COUNT(*) FILTER (group_rows >= k) > 0 THEN "
+        "COUNT(*) FILTER (group_rows >= k) END AS last_id "
+        "FROM sized CROSS JOIN ks GROUP BY k",
+        _GENERALIZED, _SIZES, _SIZED, _KS, _utility_sql(),
+    ),
+)
+def kanon_publish(spark, sf_dir):
+    """The report, beside row count and last id of the tables it wrote."""
+    folder = fresh_path(spark, "kanon")
+    report = kanon.publish(adult(spark, sf_dir), folder)
+    stored = None
+    for k in kanon.K_VALUES:
+        rows = spark.read.parquet(f"{folder}/k{k}").agg(
+            F.lit(k).alias("k"), F.count(F.lit(1)).alias("stored_rows"), F.max("id").alias("last_id")
+        )
+        stored = rows if stored is None else stored.unionByName(rows)
+    return report.join(stored, "k").select(
+        "k", "original_rows", "final_rows", "suppressed_rows",
+        F.round("suppression_rate", 6).alias("suppression_rate"),
+        F.round("mae", 4).alias("mae"), F.round("relative_error", 6).alias("relative_error"),
+        "stored_rows", "last_id",
+    )
+
+
 # --- linkage attack ------------------------------------------------------------------------------------
 
 _MATCH = " AND ".join(f"t.{q} IS NOT DISTINCT FROM e.{q}" for q in linkage.QUASI_IDENTIFIERS)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.masks import floor_bucket
 from veilframe.functions.taxonomy import KANON_EDUCATION
 from veilframe.operators.lookup import lookup_join
+from veilframe.operators.rank import dense_ids
 from veilframe.session import stored_once
 
 QUASI_IDENTIFIERS = ("age_generalized", "education_generalized", "sex", "race")
@@ -131,9 +132,47 @@ def anonymous_table(
     age_bucket: int = 5,
     quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
     columns: Sequence[str] = OUTPUT_COLUMNS,
+    ident: str = "id",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Generalized rows of groups of at least k, in the output layout and without the old id."""
-    return suppress(generalize(df, age_bucket), quasi_identifiers, k).select(*columns)
+    """Generalized rows of groups of at least k in the output layout, under fresh ids 1..N.
+
+    Fresh ids follow the order of the old ones, which are dropped.
+    """
+    kept = suppress(generalize(df, age_bucket), quasi_identifiers, k, sizes)
+    return dense_ids(kept.select(ident, *columns), ident, ident)
+
+
+def publish(
+    df: DataFrame,
+    folder: str,
+    ks: Sequence[int] = K_VALUES,
+    age_bucket: int = 5,
+    quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
+) -> DataFrame:
+    """Write one k-anonymous table per k under `folder` and report what each keeps.
+
+    All tables are cut by one stored table of group sizes.
+    """
+    rows = generalize(df, age_bucket)
+    sizes = stored_once(group_sizes(rows, quasi_identifiers), "group-sizes")
+    for k in ks:
+        table = anonymous_table(df, k, age_bucket, quasi_identifiers, sizes=sizes)
+        table.write.mode("overwrite").parquet(f"{folder}/k{k}")
+    utility = mean_utility(query_utility(rows, quasi_identifiers, ks=ks))
+    return (
+        sweep(rows, quasi_identifiers, ks)
+        .join(utility, "k", "left")
+        .select(
+            "k",
+            "original_rows",
+            "final_rows",
+            "suppressed_rows",
+            "suppression_rate",
+            "mae",
+            "relative_error",
+        )
+    )
 
 
 @dataclass(frozen=True)

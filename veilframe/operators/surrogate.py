@@ -27,25 +27,19 @@ def _surrogate(text: Column, key: str) -> Column:
     return F.concat(F.lit(PREFIX), F.substring(hmac_sha256_hex(text, key), 1, HEX_DIGITS))
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, original_value, rows) over all listed columns, nulls left out."""
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.col(c).cast("string").alias("original_value"),
-                    )
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct (column_name, original_value) over all listed columns, nulls left out."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.col(c).cast("string").alias("original_value")
+        )
+        for c in columns
+    ]
     return (
-        cells.where(F.col("original_value").isNotNull())
-        .groupBy("column_name", "original_value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .select("cell.*")
+        .where(F.col("original_value").isNotNull())
+        .distinct()
     )
 
 
@@ -60,7 +54,7 @@ def extend_mapping(
     """
     mapping = empty_mapping(df) if mapping is None else mapping
     names = ["column_name", "original_value"]
-    seen = _value_counts(df, columns).select(*names)
+    seen = _values(df, columns)
     cell = F.concat_ws("|", *names)
     fresh = seen.join(mapping.select(*names), names, "left_anti").withColumn(
         "surrogate_value", _surrogate(cell, key)
@@ -83,12 +77,17 @@ def apply_mapping(df: DataFrame, columns: Sequence[str], mapping: DataFrame) ->
     """Replace the values of `columns` by their surrogates; NULL stays NULL."""
     order = df.columns
     for column in columns:
+        keyed = df.withColumn("_text", F.col(column).cast("string"))
+        known = mapping.where(F.col("column_name") == column).select(
+            F.col("original_value").alias("_known"), "surrogate_value"
+        )
         table = (
-            _value_counts(df, [column])
-            .join(mapping.where(F.col("column_name") == column), ["column_name", "original_value"])
-            .select(F.col("original_value").alias("_text"), "surrogate_value", "rows")
+            keyed.where(F.col("_text").isNotNull())
+            .groupBy("_text")
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .join(known, F.col("_text") == F.col("_known"))
+            .select("_text", "surrogate_value", "rows")
         )
-        keyed = df.withColumn("_text", F.col(column).cast("string"))
         df = (
             lookup_join(keyed, table, ["_text"], "surrogate_value", "rows")
             .withColumn(column, F.col("surrogate_value"))
