@@ -12,6 +12,7 @@ from veilframe.operators import kanon
 from veilframe.operators.rank import exact_sample, keyed_rank
 from veilframe.plans import policy, workloads
 from veilframe.session import fresh_path
+from veilframe.sources.files import number_lines
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -69,6 +70,15 @@ def test_rank_windows_are_partitioned(people):
             assert "_bucket" in window.split("windowspecdefinition(")[1].split(",")[0]
 
 
+def test_numbering_lines_moves_no_line(spark, people):
+    path = fresh_path(spark, "lines")
+    people.select("age", "income").write.csv(path)
+    numbered = number_lines(spark.read.schema("age int, income string").csv(path))
+    text = plan(numbered)
+    assert "SortMergeJoin" not in text
+    assert "income" not in "".join(line for line in text.splitlines() if "Exchange" in line)
+
+
 def test_sweep_shuffles_rows_once(people):
     text = plan(kanon.sweep(kanon.generalize(people), kanon.QUASI_IDENTIFIERS))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1

@@ -134,12 +134,16 @@ def anonymous_table(
     columns: Sequence[str] = OUTPUT_COLUMNS,
     ident: str = "id",
     sizes: DataFrame | None = None,
+    fresh_ids: bool = True,
 ) -> DataFrame:
     """Generalized rows of groups of at least k in the output layout, under fresh ids 1..N.
 
-    Fresh ids follow the order of the old ones, which are dropped.
+    Fresh ids follow the order of the old ones, which are dropped. Numbering is the
+    only step that shuffles whole rows; leave it out where no id is wanted.
     """
     kept = suppress(generalize(df, age_bucket), quasi_identifiers, k, sizes)
+    if not fresh_ids:
+        return kept.select(*columns)
     return dense_ids(kept.select(ident, *columns), ident, ident)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.operators.rank import bucketed_rank
+from veilframe.operators.rank import bucket_starts
 
 
 def read_csv(
@@ -49,18 +49,33 @@ def load_csv(
     return write_parquet(read_csv(spark, csv_path, schema), table_path)
 
 
+# Rows of the table of scan tasks that is sent to every executor.
+_BROADCAST_TASKS = 1_000_000
+# A line's number within its scan task, as Spark lays it out. Fixed value.
+_LINE_BITS = 33
+
+
 def number_lines(df: DataFrame, name: str = "id") -> DataFrame:
     """Ids 1..N for a DataFrame read straight from files; a file's lines keep their order.
 
-    Which file comes first is Spark's choice. Rows are numbered within each scan
-    task; a bucket is one such task, so nothing is sorted across tasks. Only valid on
-    a plain scan, whose splits are the same each time they are read.
+    Which file comes first is Spark's choice. Spark numbers the rows of each scan task;
+    only the rows per task are counted and added up, and no line is moved. Only valid
+    on a plain scan, whose splits are the same each time they are read.
     """
-    placed = df.withColumn("_line", F.monotonically_increasing_id())
-    ranked = bucketed_rank(
-        placed, F.shiftright(F.col("_line"), 33), [F.col("_line")], "_number"
+    line = F.monotonically_increasing_id()
+    counts = (
+        df.select(F.shiftright(line, _LINE_BITS).alias("_task"))
+        .groupBy("_task")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    starts = bucket_starts(counts, "_task", "_rows").select("_task", "before")
+    if df.rdd.getNumPartitions() <= _BROADCAST_TASKS:
+        starts = F.broadcast(starts)
+    placed = df.withColumn("_line", line)
+    within = F.col("_line").bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
+    return placed.join(starts, F.shiftright(F.col("_line"), _LINE_BITS) == F.col("_task")).select(
+        (F.col("before") + within + 1).alias(name), *df.columns
     )
-    return ranked.select(F.col("_number").alias(name), *df.columns)
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "json") -> None:
