@@ -21,15 +21,15 @@ ROWS_PER_BUCKET = 1_000_000
 # Smaller tables are cut into pieces of at least this many rows, to use all cores.
 _SMALL_BUCKET = 10_000
 # Buckets per block where blocks are summed before their buckets.
-_BLOCK_BITS = 16
+_BLOCK_BITS = 20
 
 
 def bucket_starts(counts: DataFrame, bucket: str, weight: str, levels: int = 0) -> DataFrame:
     """(bucket, weight, before) with `before` = total weight of all smaller buckets.
 
     Without levels the bucket table is summed in one task; it has a row per bucket,
-    not per row. Each level first sums blocks of 65,536 buckets, so that no window
-    exceeds a block however many buckets there are.
+    not per row. Each level first sums blocks of about a million buckets, so that no
+    window exceeds a block however many buckets there are.
     """
     if levels == 0:
         earlier = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -103,11 +103,11 @@ def dense_ids(
     """Ids 1..N in the order of a unique integer column.
 
     A bucket is a range of `rows_per_bucket` integers, so it cannot hold more
-    rows than that, however the values are spread; widely spread values make many
-    buckets, which are summed in two levels.
+    rows than that, however the values are spread. Widely spread values make many
+    buckets; one level of blocks brings even 64-bit values down to a few million.
     """
     bucket = F.floor(F.col(order) / F.lit(rows_per_bucket))
-    ranked = bucketed_rank(df, bucket, [F.col(order)], "_dense_id", levels=2)
+    ranked = bucketed_rank(df, bucket, [F.col(order)], "_dense_id", levels=1)
     kept = [F.col(c) for c in df.columns if c != name]
     return ranked.select(F.col("_dense_id").alias(name), *kept)
 
