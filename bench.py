@@ -93,6 +93,15 @@ def workload_queries(people: DataFrame, patients: DataFrame) -> dict[str, Callab
     }
 
 
+def scale_factor(folder: str) -> float | str:
+    """The number in the folder's name, or the name."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -134,7 +143,7 @@ def main() -> None:
                 "value": round(sum(results.values()), 3),
                 "unit": "sec",
                 "queries": {k: round(v, 4) for k, v in results.items()},
-                "sf": given.rstrip("/").rsplit("sf", 1)[-1],
+                "sf": scale_factor(given),
             }
         )
     )

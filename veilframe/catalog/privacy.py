@@ -385,6 +385,21 @@ def linkage_sweep(spark, sf_dir):
     return plain(linkage.linkage_sweep(external, targets, external_rows=1000), DIGITS)
 
 
+@register(
+    "linkage_generalized_external",
+    with_adult(
+        _attack_sql("generalize", "generalize_t"),
+        f"generalize_t AS (SELECT {projection(ADULT_COLUMNS, VARIANTS_SQL['generalize'])} "
+        "FROM adult)",
+        "external AS (SELECT id, age, education, sex, race FROM generalize_t)",
+    ),
+)
+def linkage_generalized_external(spark, sf_dir):
+    """An attacker who generalizes their own data as the target was, for everyone."""
+    target = policy.ADULT_GENERALIZE.apply(adult(spark, sf_dir))
+    return plain(linkage.linkage_attack(target, target, "generalize"), DIGITS)
+
+
 _PART_EXTERNAL = (
     "WITH external AS (SELECT p_partkey AS id, p_size, p_type, p_brand FROM part), "
     "target AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size % 50 + 1 "

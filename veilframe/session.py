@@ -8,8 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "veilframe", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution on; `conf` keys use `__` for dots."""
+# Shuffled bytes one task should get.
+_BYTES_PER_TASK = 128 << 20
+
+
+def build_session(
+    app: str = "veilframe",
+    master: str | None = None,
+    shuffle_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
+    """Session with adaptive execution on; `conf` keys use `__` for dots.
+
+    `shuffle_bytes` is the size of the largest shuffle to expect, for instance the bytes of
+    the columns a job moves. Spark starts with enough partitions for it and merges the
+    small ones afterwards; its own default of 200 would spill at that size.
+    """
+    if shuffle_bytes is not None:
+        partitions = max(200, -(-shuffle_bytes // _BYTES_PER_TASK))
+        conf.setdefault("spark__sql__shuffle__partitions", str(partitions))
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
