@@ -12,7 +12,6 @@ from veilframe.catalog.base import (
     plain,
     register,
     sql_index,
-    sql_list,
     sql_normal,
     sql_pick,
     sql_uniform,
