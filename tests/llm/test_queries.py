@@ -1,0 +1,13 @@
+"""Corpus queries against their SQL where there is one."""
+
+import pytest
+from compare import connect, differences
+
+from veilframe.llm.queries import ORACLE_SQL, QUERIES
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE_SQL[name]) == []
