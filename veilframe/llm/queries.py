@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, html_text, mixing, packing, secrets
-from veilframe.llm.common import table
+from veilframe.llm import chat, html_text, mixing, packing, quality, secrets, toxicity
+from veilframe.llm.common import held_out, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = held_out("doc_id", 3, 1)
+    scored = toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=~fold
+    )
+    return scored.select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +49,15 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(scanned)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = held_out("doc_id", 5, 0)
+    ensemble = quality.learn(docs, table(spark, sf_dir, "labels"), allowed=~fold)
+    return quality.score_documents(docs, ensemble).select(
+        "doc_id", fold.alias("held_out"), "score", "predicted"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return mixing.taken_words(placed, pieces)
@@ -48,9 +65,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_chat_formatting": op4_chat_formatting,
     "op8_secret_scans": op8_secret_scans,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
 }
 
@@ -64,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, regexp_replace(
                 text,
                 '([<\[])(\\*)(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|<ROLE>>|</ROLE>>|<TEXT>>|<NULL>>)',
-                '\1\\2\3', 'g'
+                '\1\\\2\3', 'g'
             ) AS safe
             FROM turns
         )
