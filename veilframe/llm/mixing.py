@@ -26,7 +26,7 @@ from veilframe.llm.common import stored_once
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 # Slots made from one row of the plan before they are dealt to tasks.
-_SLOTS_PER_ROW = 4096
+_SLOTS_PER_ROW = 1024
 _ROUNDS = 16
 
 
@@ -124,7 +124,7 @@ def mix_plan(
     max_repeats: int = 3,
     block_words: int = 256,
     shards: int = 64,
-    bucket_rows: int = 4096,
+    bucket_rows: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, pieces).
 
@@ -163,13 +163,13 @@ def mix_plan(
         "mix-targets",
     )
     rows = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # About as many buckets as rows in one, so neither level of the sums grows faster.
+    buckets = F.ceil(rows / F.greatest(F.lit(float(bucket_rows)), F.sqrt(rows)))
     numbered = targets.select(F.col("source").alias("_source"), "source_no")
     bucketed = (
         sizes.join(numbered, F.col("source").eqNullSafe(F.col("_source")))
         .select("doc_id", "source_no", "size", "row")
-        .withColumn(
-            "bucket", F.pmod(F.col("row"), F.greatest(F.lit(1), F.ceil(rows / F.lit(bucket_rows))))
-        )
+        .withColumn("bucket", F.pmod(F.col("row"), F.greatest(F.lit(1), buckets)))
     )
     earlier = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = (
@@ -197,32 +197,35 @@ def mix_plan(
 
     # Slots: (source, epoch, rank) -> block, and the words of it that the slot takes.
     key = F.xxhash64(F.lit(seed), "source_no", "epoch")
-    block = permuted(F.col("rank"), F.col("blocks"), key)
     short_rank = permuted(F.col("blocks") - 1, F.col("blocks"), key, inverse=True)
+    last_epoch = F.col("epochs") - F.when(F.col("rest") > 0, 0).otherwise(1)
+    tasks = max(
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        docs.sparkSession.sparkContext.defaultParallelism,
+    )
     ranked = (
-        targets.where(F.col("source_size") > 0)
-        .withColumn(
-            "_slots", F.col("blocks") * (F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0))
-        )
-        .where(F.col("_slots") > 0)
+        targets.where((F.col("source_size") > 0) & (last_epoch >= 0))
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last_epoch)))
+        .withColumn("_short_rank", short_rank)
         .withColumn(
             "_part",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("_slots") - 1) / F.lit(_SLOTS_PER_ROW)))),
+            F.explode(
+                F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / F.lit(_SLOTS_PER_ROW)))
+            ),
         )
-        .repartition("source_no", "_part")
+        # A stated number of tasks: by their bytes these few rows would be put into one.
+        .repartition(tasks, "source_no", "epoch", "_part")
         .withColumn(
-            "slot",
+            "rank",
             F.explode(
                 F.sequence(
                     F.col("_part") * _SLOTS_PER_ROW,
-                    F.least((F.col("_part") + 1) * _SLOTS_PER_ROW, F.col("_slots")) - 1,
+                    F.least((F.col("_part") + 1) * _SLOTS_PER_ROW, F.col("blocks")) - 1,
                 )
             ),
         )
-        .withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
-        .withColumn("rank", F.col("slot") % F.col("blocks"))
-        .withColumn("block", block)
-        .withColumn("_short_rank", short_rank)
+        .withColumn("slot", F.col("epoch") * F.col("blocks") + F.col("rank"))
+        .withColumn("block", permuted(F.col("rank"), F.col("blocks"), key))
     )
     before = F.col("rank") * F.lit(block_words) - F.when(
         F.col("_short_rank") < F.col("rank"), F.lit(block_words) - F.col("last_block")
@@ -233,7 +236,8 @@ def mix_plan(
     taken = F.when(F.col("epoch") < F.col("epochs"), length).otherwise(
         F.least(length, F.greatest(F.lit(0), F.col("rest") - before))
     )
-    slots = (
+    # Written, so that joins know how many there are.
+    slots = stored_once(
         ranked.withColumn("taken", taken)
         .where(F.col("taken") > 0)
         .select(
@@ -243,7 +247,8 @@ def mix_plan(
             "slot",
             "taken",
             F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "slot"), F.lit(shards)).alias("shard"),
-        )
+        ),
+        "mix-slots",
     )
     end = F.col("start") + F.col("size")
     parts = (
