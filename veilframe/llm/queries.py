@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, html_text, mixing, packing, quality, secrets, toxicity
+from veilframe.llm import chat, html_text, mixing, neardup, packing, quality, secrets, toxicity
 from veilframe.llm.common import held_out, table
 
 
@@ -43,6 +43,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(given.unionByName(marks)))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned, _ = secrets.scan_documents(docs)
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
