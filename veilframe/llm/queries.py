@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, html_text, mixing, neardup, packing, quality, secrets, toxicity
+from veilframe.llm import chat, html_text, mixing, neardup, packing, quality, secrets, topk, toxicity, vectors
 from veilframe.llm.common import held_out, table
 
 
@@ -43,6 +43,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(given.unionByName(marks)))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_embedding_neardup": op5_embedding_neardup,
+    "op6_topk_search": op6_topk_search,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
@@ -104,4 +114,41 @@ ORACLE_SQL: dict[str, str] = {
                 AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id
     """,
+    "op5_embedding_neardup": r"""
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+            ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reached AS (
+            SELECT vec_id, vec_id AS low FROM embeddings
+            UNION
+            SELECT links.b, reached.low FROM reached JOIN links ON reached.vec_id = links.a
+        ), lowest AS (SELECT vec_id, min(low) AS component_id FROM reached GROUP BY vec_id),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN lowest USING (vec_id) LEFT JOIN counts ON counts.a = e.vec_id
+    """,
+    "op6_topk_search": r"""
+        WITH whole AS (
+            SELECT vec_id,
+                list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
