@@ -219,7 +219,8 @@ def score_toxicity(
         F.col("doc_id"), F.col("toxic").cast("int").alias("label")
     )
     texts = docs.select("doc_id", "text")
-    labelled = texts.where(usable & counted).join(given.where(counted), "doc_id")
+    # Always a merge join: labels grow with the corpus, and one plan serves every size.
+    labelled = texts.where(usable & counted).join(given.where(counted).hint("merge"), "doc_id")
     counts = stored_once(head_counts(labelled, order), "toxicity-counts")
     model = strongest(log_ratios(counts), max_entries)
     scored = stored_once(with_ratio(texts, model, order), "toxicity-ratios")
