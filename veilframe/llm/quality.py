@@ -53,34 +53,32 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def _left(text: Column, pattern: str) -> Column:
-    """Length of a text without what the pattern matches."""
-    return F.length(F.regexp_replace(text, pattern, ""))
-
-
-def statistics(text: Column) -> Column:
-    """Struct of doubles; a null text counts as empty, and ratios of an empty text are 0."""
-    text = F.coalesce(text, F.lit(""))
+def _statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Doubles by name; ratios of an empty text are 0."""
     n = F.length(text).cast("double")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda w: w != "")
 
     def share(part: Column, whole: Column) -> Column:
-        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-
-    return F.struct(
-        F.log1p(n).alias("log_length"),
-        share(n - _left(text, r"\p{Lu}+"), n).alias("capitals"),
-        share(n - _left(text, r"[^\p{L}\p{N}\s.,;:'\"()\-?!|]+"), n).alias("symbols"),
-        share(n - _left(text, r"!+"), n).alias("bangs"),
-        share(n - _left(text, r"\|+"), n).alias("bars"),
-        share(n - _left(text, r"[.,;:?]+"), n).alias("stops"),
-        share(n - _left(text, r"\p{N}+"), n).alias("digits"),
-        share(n, F.size(words).cast("double")).alias("per_word"),
-        share(F.size(F.array_distinct(words)).cast("double"), F.size(words)).alias("distinct_words"),
-        share(n, F.size(lines).cast("double")).alias("per_line"),
-        share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines)).alias("distinct_lines"),
-    )
+        return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+    def gone(pattern: str) -> Column:
+        return n - F.length(F.regexp_replace(text, pattern, ""))
+
+    def of(mark: str) -> Column:
+        return n - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    return {
+        "log_length": F.log1p(n),
+        "capitals": share(gone(r"\p{Lu}+"), n),
+        "symbols": share(gone(r"[^\p{L}\p{N}\s.,;:'\"()\-?!|]+"), n),
+        "bangs": share(of("!"), n),
+        "bars": share(of("|"), n),
+        "stops": share(gone(r"[.,;:?]+"), n),
+        "digits": share(gone(r"\p{N}+"), n),
+        "per_word": share(n, F.size(words)),
+        "distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
+        "per_line": share(n, F.size(lines)),
+        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
+    }
 
 
 STATISTICS = (
@@ -90,12 +88,22 @@ STATISTICS = (
 
 
 def with_statistics(docs: DataFrame, name: str = "_stats") -> DataFrame:
-    """`docs` with the statistics as a struct.
+    """`docs` with the statistics of `text` as a struct; a null text counts as empty.
 
-    The one-element explode keeps the optimizer from writing the statistics out once for
-    each rule that uses them.
+    Words and lines are split once, for all statistics. The one-element explode keeps the
+    optimizer from writing a statistic out once for each rule that uses it.
     """
-    return docs.withColumn(name, F.explode(F.array(statistics(F.col("text")))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.withColumns(
+        {
+            "_words": F.array_remove(F.split(text, r"\s+"), ""),
+            "_lines": F.array_remove(F.split(text, "\n"), ""),
+        }
+    )
+    stats = _statistics(text, F.col("_words"), F.col("_lines"))
+    measured = split.select(*docs.columns, *[c.alias(f"_stat_{n}") for n, c in stats.items()])
+    packed = F.struct(*[F.col(f"_stat_{n}").alias(n) for n in stats])
+    return measured.select(*docs.columns, F.explode(F.array(packed)).alias(name))
 
 
 def training_rows(
@@ -115,8 +123,9 @@ def training_rows(
         .select("label", "doc_id", "text")
     )
     stats = with_statistics(rows).select("doc_id", "label", "_stats.*")
+    # Measured where the texts are; only the bounded result goes to one task, in one order.
     return stored_once(
-        stats.coalesce(1).sortWithinPartitions("doc_id", "label", *STATISTICS), "quality-rows"
+        stats.repartition(1).sortWithinPartitions("doc_id", "label", *STATISTICS), "quality-rows"
     )
 
 
