@@ -170,13 +170,14 @@ def gen_high_cardinality(spark, sf_dir):
 
 @register(
     "dense_ids",
-    "SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, user_id FROM events "
-    "WHERE event_type = 'error'",
+    "SELECT row_number() OVER (ORDER BY event_id * 7 + user_id % 7) AS id, "
+    "event_id * 7 + user_id % 7 AS gappy, user_id FROM events",
 )
-def numbered_errors(spark, sf_dir):
-    """Ids without gaps for rows whose own keys have gaps."""
-    errors = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
-    return dense_ids(errors.select("event_id", "user_id"), "event_id", rows_per_bucket=1_000)
+def numbered_events(spark, sf_dir):
+    """Ids without gaps for all rows, by a key with gaps."""
+    events = table(spark, sf_dir, "events")
+    gappy = (F.col("event_id") * 7 + F.col("user_id") % 7).alias("gappy")
+    return dense_ids(events.select(gappy, "user_id"), "gappy", rows_per_bucket=1_000)
 
 
 # --- files ----------------------------------------------------------------------------------------------
@@ -194,14 +195,11 @@ def csv_round_trip(spark, sf_dir):
 
 @register(
     "csv_inferred",
-    "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part",
+    "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
 )
 def csv_inferred(spark, sf_dir):
     path = fresh_path(spark, "part-csv")
-    files.write_csv(
-        table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
-        path,
-    )
+    files.write_csv(table(spark, sf_dir, "part"), path)
     return files.read_csv(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
@@ -254,7 +252,8 @@ def json_round_trip(spark, sf_dir):
         F.count(F.lit(1)).alias("runs"), F.sum("user_id").alias("total_users")
     )
     folder = fresh_path(spark, "metrics")
-    files.write_metrics(records.where("runs < 0"), f"{folder}/summary_20251104_000000.json")
+    older = records.withColumn("runs", F.lit(-1).cast("bigint"))
+    files.write_metrics(older, f"{folder}/summary_20251104_000000.json")
     files.write_metrics(records, f"{folder}/summary_20251105_155750.json")
     return files.read_latest_metrics(spark, f"{folder}/summary_*.json", _RECORDS)
 

@@ -65,7 +65,9 @@ def bucketed_rank(
     )
 
 
-def _total(source: DataFrame, known: int | None) -> Column:
+def _total(source: DataFrame, known: int | Column | None) -> Column:
+    if isinstance(known, Column):
+        return known
     if known is not None:
         return F.lit(known).cast("bigint")
     return source.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -77,13 +79,15 @@ def keyed_rank(
     key: str,
     label: str,
     name: str = "rank",
-    total_rows: int | None = None,
+    *,
+    total_rows: int | Column | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position of each row in a random order fixed by the key; `ident` must be unique.
 
     Draws are uniform, so buckets of equal width hold equally many rows. Their number
-    follows the table's size; pass `total_rows` where it is known to save the count.
+    follows the table's size; pass `total_rows` where it is known, or one count for several
+    ranks, to save counting.
     """
     total = _total(df, total_rows)
     cores = df.sparkSession.sparkContext.defaultParallelism

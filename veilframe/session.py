@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ def build_session(
     app: str = "veilframe",
     master: str | None = None,
     shuffle_bytes: int | None = None,
+    shared_dir: str | None = None,
     **conf: str,
 ) -> SparkSession:
     """Session with adaptive execution on; `conf` keys use `__` for dots.
@@ -23,7 +24,10 @@ def build_session(
     `shuffle_bytes` is the size of the largest shuffle to expect, for instance the bytes of
     the columns a job moves. Spark starts with enough partitions for it and merges the
     small ones afterwards; its own default of 200 would spill at that size.
+    `shared_dir` becomes `spark.checkpoint.dir`, the folder for written intermediates.
     """
+    if shared_dir is not None:
+        conf["spark__checkpoint__dir"] = shared_dir
     if shuffle_bytes is not None:
         partitions = max(200, -(-shuffle_bytes // _BYTES_PER_TASK))
         conf.setdefault("spark__sql__shuffle__partitions", str(partitions))
@@ -44,22 +48,36 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    A machine-local folder would be lost with its executor, so it is only used
-    when the setting is absent and the session itself is local (tests).
+    A local session without the setting uses a folder in its warehouse. On a cluster the
+    setting is required, since a folder of one machine would be lost with it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    local = tempfile.mkdtemp(prefix="veilframe-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(
+            "set spark.checkpoint.dir, or build_session(shared_dir=...), to a folder that all "
+            "executors share"
+        )
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediates"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/veilframe/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete what this application has written under `fresh_path`; whether there was any.
+
+    For the end of a job: tables read from there can no longer be read afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_once(df: DataFrame, label: str) -> DataFrame:
