@@ -2,8 +2,9 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the
 tables and the cores. Workloads run over stored tables: raw, masked view, stored
-masked copy, and a masked role's reading. Each figure is the median of RUNS runs
-after warm-up; answers are collected, as a client would fetch them.
+masked copy, and a masked role's reading. The systems take turns within each workload, so
+none of them runs while code is still compiled for the others. Each figure is the median
+of RUNS runs after warm-up; answers are collected, as a client would fetch them.
 """
 
 from __future__ import annotations
@@ -20,38 +21,46 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.catalog import REGISTRY
 from veilframe.catalog.base import adult, healthcare, table
 from veilframe.plans import policy, workloads
-from veilframe.session import build_session, fresh_path
+from veilframe.session import build_session, fresh_path, remove_intermediates
 
 RUNS = 5
-WARM_UPS = 2
+WARM_UPS = 4
 OPERATOR_RUNS = 2
 TABLES = ("customer", "part", "orders", "lineitem", "events")
 
 # Registered queries timed from the given tables to the fetched answer.
 OPERATORS = (
     "self_join_olap", "distinct_orders_per_part", "param_sweep", "mask_hmac", "mask_fpe",
-    "mask_surrogate", "mask_shuffle", "policy_static", "exact_sample", "kanon_sweep_lines",
+    "mask_surrogate", "mask_surrogate_four", "mask_shuffle", "kanon_publish", "synthetic_adult", "policy_static", "exact_sample", "kanon_sweep_lines",
     "kanon_suppress_lines", "kanon_query_utility", "kanon_cardinality_loss", "linkage_attack",
     "linkage_sweep", "dp_accuracy", "dp_count_lines", "mask_comparison", "synthetic_scale",
     "exact_median", "measurement_summary", "csv_round_trip",
 )
 
 
-def timed(make: Callable[[], DataFrame], runs: int, warm_ups: int, fetch: bool = True) -> float:
-    """Median seconds from building the query to its last row."""
+def timed(make: Callable[[], DataFrame], runs: int, warm_ups: int) -> float:
+    """Median seconds from building the query to its last row, which is not fetched."""
     seconds = []
     for i in range(warm_ups + runs):
         started = time.perf_counter()
-        df = make()
-        if fetch:
-            df.collect()
-        else:
-            df.write.format("noop").mode("overwrite").save()
+        make().write.format("noop").mode("overwrite").save()
         if i >= warm_ups:
             seconds.append(time.perf_counter() - started)
     return statistics.median(seconds)
 
 
+def timed_in_turn(makers: dict[str, Callable[[], DataFrame]]) -> dict[str, float]:
+    """Median seconds of each query, all of them run once per round."""
+    seconds: dict[str, list[float]] = {name: [] for name in makers}
+    for i in range(WARM_UPS + RUNS):
+        for name, make in makers.items():
+            started = time.perf_counter()
+            make().collect()
+            if i >= WARM_UPS:
+                seconds[name].append(time.perf_counter() - started)
+    return {name: statistics.median(runs) for name, runs in seconds.items()}
+
+
 def staged(spark: SparkSession, sf_dir: str) -> str:
     """The given tables as one file per core, the way a loaded table lies in storage."""
     folder = fresh_path(spark, "bench-tables")
@@ -128,13 +137,15 @@ def main() -> None:
             policy.HEALTHCARE_RULES.read(patients, "masked_user"),
         ),
     }
-    for system, frames in systems.items():
-        for name, make in workload_queries(*frames).items():
-            results[f"{name}_{system}"] = timed(make, RUNS, WARM_UPS)
-            print(f"{name}_{system} {results[f'{name}_{system}']:.3f}", file=sys.stderr)
+    by_system = {system: workload_queries(*frames) for system, frames in systems.items()}
+    for name in next(iter(by_system.values())):
+        found = timed_in_turn({system: made[name] for system, made in by_system.items()})
+        for system, seconds in found.items():
+            results[f"{name}_{system}"] = seconds
+            print(f"{name}_{system} {seconds:.3f}", file=sys.stderr)
     for name in OPERATORS:
         run = REGISTRY[name].run
-        results[name] = timed(lambda: run(spark, sf_dir), OPERATOR_RUNS, 1, fetch=False)
+        results[name] = timed(lambda run=run: run(spark, sf_dir), OPERATOR_RUNS, 1)
         print(f"{name} {results[name]:.3f}", file=sys.stderr)
     print(
         json.dumps(
@@ -147,6 +158,7 @@ def main() -> None:
             }
         )
     )
+    remove_intermediates(spark)
     spark.stop()
 
 

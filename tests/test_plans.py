@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from veilframe.catalog import REGISTRY
 from veilframe.catalog.base import adult
 from veilframe.functions.masks import bucket_between
-from veilframe.operators import kanon
+from veilframe.operators import kanon, synth
 from veilframe.operators.rank import exact_sample, keyed_rank
+from veilframe.operators.shuffle import shuffle_columns
+from veilframe.operators.surrogate import apply_mapping, extend_mapping
 from veilframe.plans import policy, workloads
 from veilframe.session import fresh_path
 from veilframe.sources.files import number_lines
@@ -102,3 +104,44 @@ def test_self_join_meets_after_aggregation(people):
 def test_distinct_count_is_two_phase(people):
     text = plan(workloads.distinct_by(people, "education", "occupation", "n"))
     assert "partial_count(distinct" in text
+
+
+def test_shuffle_buckets_follow_the_row_count(people):
+    text = plan(shuffle_columns(people, ["occupation"], rows_per_bucket=300))
+    buckets = re.findall(r"FLOOR\(\(_draw#\d+ \* [^\n]*", text)
+    assert buckets and all("scalar-subquery" in b or "Subquery" in b for b in buckets)
+    few = plan(shuffle_columns(people, ["occupation", "native_country"], wanted=["id", "age"]))
+    assert "Exchange" not in few and "Join" not in few
+
+
+def test_surrogate_scans_grow_linearly(spark, people):
+    mapping = extend_mapping(people, ["workclass"], key="k")
+    columns = ["workclass", "education", "occupation", "native_country"]
+    scans = [
+        plan(apply_mapping(people, columns[:n], mapping)).split("== Initial Plan ==")[-1].count("FileScan")
+        for n in (1, 2, 3, 4)
+    ]
+    steps = [b - a for a, b in zip(scans, scans[1:])]
+    assert max(steps) <= steps[0] and scans[3] <= 4 * scans[0]
+
+
+def test_publishing_reads_the_source_as_often_for_any_k(spark, people, tmp_path, monkeypatch):
+    reads = []
+    original = kanon.sized_rows
+    monkeypatch.setattr(
+        kanon, "sized_rows", lambda *a, **k: (reads.append(1), original(*a, **k))[1]
+    )
+    for ks in ((2,), (2, 3, 5)):
+        reads.clear()
+        kanon.publish(people, str(tmp_path / str(len(ks))), ks=ks)
+        assert len(reads) == 1
+    sized = original(people)
+    table = plan(kanon.anonymous_table(people, 2, sized=sized))
+    assert "plan-adult" not in table and "kanon-rows" in table
+
+
+def test_scaled_rows_are_made_by_several_tasks(spark):
+    base = spark.range(50).coalesce(1).select("id", F.lit("x").alias("t"))
+    assert base.rdd.getNumPartitions() == 1
+    assert synth.replicate(base, 700).rdd.getNumPartitions() > 1
+    assert synth.replicate(base, 700).selectExpr("count(distinct _row)").first()[0] == 35_000

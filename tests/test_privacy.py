@@ -179,21 +179,21 @@ def people(spark, n=3000):
 
 
 def test_noise_shrinks_with_epsilon_and_never_goes_below_zero(spark):
-    rows = dp.accuracy_sweep(people(spark), epsilons=(0.01, 100.0)).collect()
+    rows = dp.accuracy_sweep(people(spark), epsilons=(0.01, 100.0), key="k").collect()
     by = {(r.query, r.epsilon): r.mae for r in rows}
     for query in (dp.COUNT_QUERY, dp.AVG_QUERY, dp.SUM_QUERY):
         assert by[(query, 0.01)] > by[(query, 100.0)]
-    tiny = dp.noisy_count(people(spark, 20), epsilons=(0.001,))
+    tiny = dp.noisy_count(people(spark, 20), epsilons=(0.001,), key="k")
     assert tiny.where("cnt_noised < 0").count() == 0
 
 
 def test_noisy_sum_takes_top_groups_without_unknown(spark):
-    got = dp.noisy_sum(people(spark), epsilons=(1.0,), top=10)
+    got = dp.noisy_sum(people(spark), epsilons=(1.0,), top=10, key="k")
     assert got.count() == 10 and got.where("occupation = '?'").count() == 0
 
 
 def test_clip_bounds_the_input(spark):
-    got = dp.noisy_sum(people(spark), epsilons=(1.0,), clip=1.0, top=50)
+    got = dp.noisy_sum(people(spark), epsilons=(1.0,), clip=1.0, top=50, key="k")
     counts = people(spark).where("occupation <> '?'").groupBy("occupation").count()
     want = {r.occupation: r["count"] for r in counts.collect()}
     assert {r.occupation: r.total_hours for r in got.collect()} == want

@@ -6,8 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import lookup
-from veilframe.operators.lookup import lookup_join
+from veilframe.operators.lookup import lookup_in_line, lookup_join
 from veilframe.operators.median import exact_median
 from veilframe.operators.rank import bucket_starts, dense_ids, exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
@@ -78,17 +77,20 @@ def test_shuffle_keeps_the_values_and_moves_them(spark):
     assert sum(g.a == int(g.b[1:]) % 50 for g in got) < 200
 
 
-@pytest.mark.parametrize("hot_keys", [3, 1_000_000])
-def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch, hot_keys):
-    monkeypatch.setattr(lookup, "HOT_KEYS", hot_keys)
+@pytest.mark.parametrize("hot_keys", [3, None])
+@pytest.mark.parametrize("in_line", [False, True])
+def test_lookup_with_hot_and_null_keys(spark, hot_keys, in_line):
     rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(300)]
     rows += [(f"k{i % 100}", i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, i int")
     table = df.where("k is not null and k <> 'k7'").groupBy("k").agg(F.count("*").alias("n"))
     table = table.withColumn("p", F.upper("k"))
-    got = sorted(
-        ((r.k or "", r.i, r.p) for r in lookup_join(df, table, ["k"], "p", "n").collect())
+    found = (
+        lookup_in_line(df, table, "k", "p", "n", hot_keys)
+        if in_line
+        else lookup_join(df, table, ["k"], "p", "n", hot_keys)
     )
+    got = sorted((r.k or "", r.i, r.p) for r in found.collect())
     want = sorted(
         (k or "", i, None if k in (None, "k7") else k.upper()) for k, i in rows
     )
@@ -118,10 +120,10 @@ def test_surrogates_are_stable_per_column_and_value(spark):
 
 def test_a_clash_is_resolved(spark):
     df = spark.createDataFrame([("x",)], "a string")
-    taken = extend_mapping(df, ["a"]).select(
+    taken = extend_mapping(df, ["a"], key="k").select(
         F.lit("a").alias("column_name"), F.lit("other").alias("original_value"), "surrogate_value"
     )
-    both = extend_mapping(df, ["a"], taken)
+    both = extend_mapping(df, ["a"], taken, key="k")
     assert both.count() == 2 and clashes(both).count() == 0
     assert taken.first()["surrogate_value"] in {r.surrogate_value for r in both.collect()}
 
@@ -142,3 +144,34 @@ def test_exact_median(spark, per_unit):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: r["median"] for r in exact_median(df, ["g"], "v", ranges_per_unit=per_unit).collect()}
     assert got == {g: statistics.median(v) for g, v in groups.items()}
+
+
+def test_exact_median_orders_nan_last(spark):
+    nan, inf = float("nan"), float("inf")
+    groups = {"a": [1.0, 2.0, nan], "b": [1.0, nan, nan], "c": [-inf, 0.0, 3.0, inf], "d": [nan],
+              "e": [inf, inf, 1.0], "f": [1e308, -1e308, 5.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r.g: r["median"] for r in exact_median(df, ["g"], "v").collect()}
+    want = {r.g: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert repr(sorted(got.items())) == repr(sorted(want.items()))
+
+
+def test_median_ranges_of_a_narrow_band_stay_small(spark):
+    from veilframe.operators import median
+
+    seconds = spark.range(200_000).select((F.col("id") + 1_700_000_000).cast("double").alias("v"))
+    sizes = []
+    original = median.middle_range
+
+    def watched(values, keys):
+        out = original(values, keys)
+        sizes.append(out.count())
+        return out
+
+    median.middle_range = watched
+    try:
+        got = exact_median(seconds, [], "v").first()["median"]
+    finally:
+        median.middle_range = original
+    assert got == 1_700_000_000 + 99_999.5
+    assert sizes[-1] <= 200

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 from decimal import Decimal
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import kanon, synth
 from veilframe.plans import policy, report, workloads
 from veilframe.plans.variants import VARIANTS, masking_variants, sampled
-from veilframe.session import fresh_path, shared_dir
+from veilframe.session import fresh_path, remove_intermediates, shared_dir
 from veilframe.sources import files, generators, schemas
 
 ADULT_ROWS = [
@@ -305,9 +307,44 @@ def test_save_table_replaces(spark):
     spark.sql("DROP TABLE veil_saved")
 
 
+def a_session(spark, master, **conf):
+    """What the folder functions see of a session with another master and settings."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)),
+        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        _jvm=spark._jvm,
+        _jsc=spark._jsc,
+    )
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert fresh_path(spark, "x").startswith(shared_dir(spark))
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
+    far = a_session(spark, "spark://h:7077", **{"spark.checkpoint.dir": "hdfs://a/b/"})
+    assert fresh_path(far, "x").startswith("hdfs://a/b/veilframe/app-1/x-")
+
+
+@pytest.mark.parametrize("master", ["local", "local[4]", "local[*]"])
+def test_a_local_session_without_the_setting_uses_its_warehouse(spark, master, tmp_path):
+    near = a_session(spark, master, **{"spark.sql.warehouse.dir": str(tmp_path)})
+    assert shared_dir(near) == f"{tmp_path}/_intermediates"
+
+
+@pytest.mark.parametrize("master", ["spark://h:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_the_setting(spark, master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(a_session(spark, master, **{"spark.sql.warehouse.dir": "/w"}))
+
+
+def test_intermediates_of_this_application_are_removed(spark, tmp_path):
+    own = a_session(spark, "local", **{"spark.checkpoint.dir": str(tmp_path)})
+    path = fresh_path(own, "x")
+    spark.range(3).write.parquet(path)
+    other = tmp_path / "veilframe" / "app-2"
+    other.mkdir()
+    assert remove_intermediates(own)
+    assert not Path(path).exists() and other.exists()
+    assert not remove_intermediates(own)
 
 
 def test_policies_run_on_a_stream(spark, adult, tmp_path):

@@ -323,7 +323,7 @@ def bucket_count(spark, sf_dir):
 @register(
     "self_join_olap",
     with_adult(
-        "SELECT a.education, CAST(SUM(b.n) AS BIGINT) AS match_count, "
+        "SELECT a.education, CAST(SUM(b.n) AS DOUBLE) AS match_count, "
         "round(CAST(SUM(a.age * b.n) AS DOUBLE) / SUM(b.n), 6) AS avg_age FROM adult a "
         "JOIN (SELECT occupation, COUNT(*) AS n FROM adult WHERE age > 30 GROUP BY occupation) b "
         "ON a.occupation = b.occupation "
@@ -332,12 +332,31 @@ def bucket_count(spark, sf_dir):
 )
 def self_join_olap(spark, sf_dir):
     pairs = workloads.self_join_groups(adult(spark, sf_dir))
-    return plain(pairs.withColumn("match_count", F.col("match_count").cast("bigint")), DIGITS)
+    return plain(pairs, DIGITS)
+
+
+@register(
+    "self_join_billing",
+    with_healthcare(
+        "SELECT a.medical_condition, CAST(SUM(b.n) AS DOUBLE) AS match_count, "
+        "round(SUM(CAST(a.billing_amount AS DOUBLE) * b.n) / SUM(b.n), 6) AS avg_billing "
+        "FROM healthcare a JOIN (SELECT doctor, COUNT(*) AS n FROM healthcare "
+        "WHERE billing_amount > 30 GROUP BY doctor) b ON a.doctor = b.doctor "
+        "WHERE a.billing_amount > 30 GROUP BY 1 ORDER BY 1 LIMIT 100"
+    ),
+)
+def self_join_billing(spark, sf_dir):
+    """A decimal measure keeps its cents."""
+    pairs = workloads.self_join_groups(
+        healthcare(spark, sf_dir), group="medical_condition", on="doctor",
+        measure="billing_amount", average="avg_billing",
+    )
+    return plain(pairs, DIGITS)
 
 
 @register(
     "self_join_olap_parts",
-    "SELECT a.p_type, COUNT(*) AS match_count, "
+    "SELECT a.p_type, CAST(COUNT(*) AS DOUBLE) AS match_count, "
     "round(CAST(SUM(a.p_size) AS DOUBLE) / COUNT(*), 6) AS avg_age "
     "FROM part a JOIN part b ON a.p_brand = b.p_brand "
     "WHERE a.p_size > 30 AND b.p_size > 30 GROUP BY a.p_type ORDER BY a.p_type LIMIT 100",
@@ -346,7 +365,7 @@ def self_join_olap_parts(spark, sf_dir):
     pairs = workloads.self_join_groups(
         table(spark, sf_dir, "part"), group="p_type", on="p_brand", measure="p_size"
     )
-    return plain(pairs.withColumn("match_count", F.col("match_count").cast("bigint")), DIGITS)
+    return plain(pairs, DIGITS)
 
 
 # --- recorded measurements -----------------------------------------------------------------------
@@ -362,7 +381,8 @@ WORKLOAD_OF = {
 }
 
 
-def runs(spark, sf_dir):
+def runs(spark, sf_dir, *more):
+    """The events as measurement records, beside further columns made of them."""
     e = table(spark, sf_dir, "events")
     system = F.element_at(
         F.array(*[F.lit(s) for s in SYSTEM_OF]), (F.col("event_id") % 4 + 1).cast("int")
@@ -378,6 +398,7 @@ def runs(spark, sf_dir):
         F.col("event_id").alias("run"),
         F.col("value").alias("wall_clock_ms"),
         (F.col("user_id") % 50).alias("row_count"),
+        *more,
     )
 
 
@@ -426,6 +447,38 @@ def median_by_flag(spark, sf_dir):
     )
 
 
+@register(
+    "exact_median_epoch",
+    "SELECT l_returnflag, round(median(CAST(86400 * date_diff('day', DATE '1970-01-01', "
+    "CAST(l_shipdate AS DATE)) AS DOUBLE) + l_linenumber), 6) AS median FROM lineitem "
+    "GROUP BY l_returnflag",
+)
+def median_of_seconds(spark, sf_dir):
+    """Epoch seconds: a narrow band of values far from zero."""
+    from veilframe.operators.median import exact_median
+
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    seconds = (days * 86400).cast("double") + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", seconds.alias("at"))
+    return plain(exact_median(lines, ["l_returnflag"], "at"), DIGITS)
+
+
+@register(
+    "exact_median_nan",
+    "SELECT l_linenumber, round(median(CASE WHEN l_partkey % 3 = 0 THEN 'nan'::DOUBLE "
+    "WHEN l_partkey % 3 = 1 THEN l_discount - l_tax END), 6) AS median FROM lineitem "
+    "GROUP BY l_linenumber",
+)
+def median_with_nan(spark, sf_dir):
+    """NaN sorts last, null does not count."""
+    from veilframe.operators.median import exact_median
+
+    kind = F.col("l_partkey") % 3
+    value = F.when(kind == 0, F.lit(float("nan"))).when(kind == 1, F.col("l_discount") - F.col("l_tax"))
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", value.alias("v"))
+    return plain(exact_median(lines, ["l_linenumber"], "v"), DIGITS)
+
+
 _PIVOT = (
     "pivoted AS (SELECT workload, avg(CASE WHEN system = 'raw' THEN wall_clock_mean_ms END) AS raw, "
     "avg(CASE WHEN system = 'view' THEN wall_clock_mean_ms END) AS view, "
@@ -470,7 +523,6 @@ def label_extract(spark, sf_dir):
 
 def plan_records(spark, sf_dir):
     """Plan documents as JSON text: estimated rows from the value, actual rows from props."""
-    e = table(spark, sf_dir, "events")
     document = F.concat(
         F.lit('{"Plan": {"Actual Total Time": '),
         F.col("value").cast("string"),
@@ -482,9 +534,7 @@ def plan_records(spark, sf_dir):
         (F.col("user_id") % 7).cast("string"),
         F.lit("}"),
     )
-    return runs(spark, sf_dir).join(
-        e.select(F.col("event_id").alias("run"), document.alias("explain_plan")), "run"
-    )
+    return runs(spark, sf_dir, document.alias("explain_plan"))
 
 
 _PLANS = (

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from veilframe.catalog.base import (
     adult,
+    healthcare,
     plain,
     register,
     sql_index,
@@ -17,6 +18,7 @@ from veilframe.catalog.base import (
     sql_uniform,
     table,
     with_adult,
+    with_healthcare,
 )
 from veilframe.functions import fakes
 from veilframe.operators import dp, synth
@@ -40,19 +42,24 @@ def _base(spark, sf_dir):
 _BASE = "base AS (SELECT p_partkey AS id, p_brand, p_type, p_size, p_retailprice FROM part)"
 
 
-def _moved_number(column: str, integral: bool) -> str:
+def _moved_number(column: str, integral: bool, cast: str | None = None) -> str:
     noise = sql_normal(SYNTH_KEY, column, "_row")
     moved = (
         f"least(greatest(CAST({column} AS DOUBLE) + {noise} * "
         f"((SELECT stddev_samp({column}) FROM base) * 0.05::DOUBLE), "
         f"(SELECT min({column}) FROM base)::DOUBLE), (SELECT max({column}) FROM base)::DOUBLE)"
     )
+    if cast is not None:
+        return f"CAST(CAST({moved} AS {cast}) AS DOUBLE)"
     return f"CAST({moved} AS INTEGER)" if integral else f"round({moved}, 4)"
 
 
 def _replaced(column: str) -> str:
-    values = f"(SELECT list_sort(list(DISTINCT {column})) FROM base)"
-    size = f"(SELECT COUNT(DISTINCT {column}) FROM base)"
+    order = sql_uniform(SYNTH_KEY, f"{column}.dictionary", "v")
+    ident = f"coalesce(CAST({column} AS VARCHAR), chr(0))"
+    distinct = f"(SELECT DISTINCT {column} AS x, {ident} AS v FROM base)"
+    values = f"(SELECT list(x ORDER BY {order}, v) FROM {distinct})"
+    size = f"(SELECT COUNT(*) FROM {distinct})"
     pick = sql_index(sql_uniform(SYNTH_KEY, column, "_row", 1), size)
     chance = sql_uniform(SYNTH_KEY, column, "_row")
     return f"CASE WHEN {chance} < 0.05::DOUBLE THEN ({values})[{pick}] ELSE {column} END"
@@ -110,6 +117,77 @@ def synthetic_scale_down(spark, sf_dir):
     return synth.scale_rows(base, base.count() // 3)
 
 
+@register(
+    "synthetic_noise_joined",
+    f"WITH {_BASE}, {_perturbed('2')} "
+    "SELECT _row AS row_id, p_brand, p_type, p_size, p_retailprice FROM perturbed",
+)
+def synthetic_noise_joined(spark, sf_dir):
+    """The same cells are replaced by the same values when the values are joined."""
+    base = _base(spark, sf_dir)
+    moved = synth.perturb(synth.replicate(base, 2), base, array_values=3)
+    return moved.select(
+        F.col("_row").alias("row_id"), "p_brand", "p_type", "p_size",
+        F.round("p_retailprice", 4).alias("p_retailprice"),
+    )
+
+
+def _scaled_people(columns: dict[str, str], source: str) -> str:
+    """SQL for twice a person table: `columns` maps a column to its kind."""
+    cells = []
+    for name, kind in columns.items():
+        if kind == "integer":
+            cells.append(f"{_moved_number(name, True)} AS {name}")
+        elif kind == "decimal":
+            cells.append(f"{_moved_number(name, False, 'DECIMAL(10,2)')} AS {name}")
+        else:
+            cells.append(f"CAST({_replaced(name)} AS VARCHAR) AS {name}")
+    return (
+        f"base AS (SELECT id, {', '.join(columns)} FROM {source}), "
+        "copied AS (SELECT base.*, CAST(id AS VARCHAR) || ':' || CAST(c AS VARCHAR) AS _row "
+        f"FROM base, range(1, 3) t(c)), perturbed AS (SELECT _row, {', '.join(cells)} FROM copied), "
+        f"ranked AS (SELECT *, row_number() OVER (ORDER BY {_SAMPLE_DRAW}, _row) AS id "
+        "FROM perturbed) "
+    )
+
+
+# Kinds of the scaled columns of the person tables.
+_ADULT_KINDS = {
+    "age": "integer", "workclass": "text", "education": "text", "occupation": "text",
+    "race": "text", "capital_gain": "integer", "hours_per_week": "integer", "income": "text",
+}
+_HEALTHCARE_KINDS = {
+    "name": "text", "age": "integer", "medical_condition": "text", "date_of_admission": "text",
+    "doctor": "text", "billing_amount": "decimal", "medication": "text",
+}
+
+
+@register(
+    "synthetic_adult",
+    with_adult(
+        f"SELECT id, {', '.join(_ADULT_KINDS)} FROM ranked",
+        _scaled_people(_ADULT_KINDS, "adult"),
+    ),
+)
+def synthetic_adult(spark, sf_dir):
+    """The census table at twice its size."""
+    base = adult(spark, sf_dir).select("id", *_ADULT_KINDS)
+    return synth.scale_rows(base, base.count() * 2)
+
+
+@register(
+    "synthetic_healthcare",
+    with_healthcare(
+        f"SELECT id, {', '.join(_HEALTHCARE_KINDS)} FROM ranked",
+        _scaled_people(_HEALTHCARE_KINDS, "healthcare"),
+    ),
+)
+def synthetic_healthcare(spark, sf_dir):
+    """The hospital table at twice its size; names and doctors come by a join."""
+    base = healthcare(spark, sf_dir).select("id", *_HEALTHCARE_KINDS)
+    return plain(synth.scale_rows(base, base.count() * 2, array_values=50))
+
+
 # --- generated tables, one row per given id -----------------------------------------------------------
 
 
@@ -206,15 +284,16 @@ def csv_inferred(spark, sf_dir):
 @register(
     "csv_headerless_numbered",
     with_adult(
-        "SELECT COUNT(*) AS rows, COUNT(*) AS distinct_ids, CAST(1 AS BIGINT) AS first_id, "
-        "COUNT(*) AS last_id, CAST(SUM(age) AS BIGINT) AS sum_age, "
-        "COUNT(DISTINCT occupation) AS occupations FROM adult"
+        "SELECT row_number() OVER (ORDER BY id) AS line, age, occupation, income FROM adult"
     ),
 )
 def csv_headerless_numbered(spark, sf_dir):
     """Text without header and with a blank after each comma; lines get ids 1..N."""
     path = fresh_path(spark, "adult-data")
-    people = adult(spark, sf_dir).select(schemas.ADULT_WITHOUT_ID.names)
+    # One file in the order of the old ids, so that each line's number is known.
+    people = adult(spark, sf_dir).repartition(1).sortWithinPartitions("id").select(
+        schemas.ADULT_WITHOUT_ID.names
+    )
     line = F.concat_ws(
         ", ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in people.columns]
     )
@@ -222,14 +301,7 @@ def csv_headerless_numbered(spark, sf_dir):
     raw = files.read_csv(
         spark, path, schemas.ADULT_WITHOUT_ID, header=False, trim_leading=True
     )
-    return files.number_lines(raw).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("id").alias("distinct_ids"),
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
-        F.sum("age").alias("sum_age"),
-        F.count_distinct("occupation").alias("occupations"),
-    )
+    return files.number_lines(raw, "line").select("line", "age", "occupation", "income")
 
 
 _RECORDS = T.StructType(
@@ -287,7 +359,7 @@ def _flatten_sql() -> str:
 @register("metric_flatten", _flatten_sql())
 def metric_flatten(spark, sf_dir):
     """Noisy-aggregate records written as JSON, read back, reduced to what a chart shows."""
-    released = dp.noisy_count(adult(spark, sf_dir))
+    released = dp.noisy_count(adult(spark, sf_dir), key="dp-key")
     path = fresh_path(spark, "dp-results")
     files.write_metrics(dp.accuracy(released, dp.COUNT_QUERY, "cnt", "cnt_noised"), path)
     records = files.read_metrics(

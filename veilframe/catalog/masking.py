@@ -31,7 +31,7 @@ from veilframe.operators.rank import exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
 from veilframe.operators.surrogate import apply_mapping, clashes, extend_mapping
 from veilframe.plans import policy, workloads
-from veilframe.plans.variants import masking_variant
+from veilframe.plans.variants import masking_variant, sampled_variants
 from veilframe.session import fresh_path
 from veilframe.sources.files import write_parquet
 
@@ -328,6 +328,20 @@ def mask_fpe(spark, sf_dir):
     )
 
 
+_LONG = "c_name || ' ' || c_mktsegment || ' ' || c_name || ' ' || c_name"
+
+
+@register(
+    "mask_fpe_long",
+    f"SELECT c_custkey, {_fpe('long', masks.FPE_KEY)} AS long FROM "
+    f"(SELECT c_custkey, {_LONG} AS long FROM customer)",
+)
+def mask_fpe_long(spark, sf_dir):
+    """Texts longer than one digest."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LONG).alias("long"))
+    return customer.withColumn("long", masks.length_preserving(F.col("long")))
+
+
 # --- jobs: surrogates and shuffle -----------------------------------------------------------------
 
 
@@ -349,31 +363,56 @@ def mask_surrogate(spark, sf_dir):
         extend_mapping(people, ["occupation"], key="old-key"), fresh_path(spark, "surrogates")
     )
     mapping = write_parquet(
-        extend_mapping(people, ["occupation", "native_country"], earlier),
+        extend_mapping(people, ["occupation", "native_country"], earlier, key="srg-key"),
         fresh_path(spark, "surrogates"),
     )
     return apply_mapping(people, ["occupation", "native_country"], mapping)
 
 
+_FOUR = ("workclass", "education", "occupation", "native_country")
+
+
+@register(
+    "mask_surrogate_four",
+    with_adult(
+        "SELECT id, age, "
+        + ", ".join(f"{_surrogate(c, 'srg-key')} AS {c}" for c in _FOUR)
+        + " FROM adult"
+    ),
+)
+def mask_surrogate_four(spark, sf_dir):
+    """Four columns; with few hot keys allowed, broadcast and shuffled lookups both answer."""
+    people = adult(spark, sf_dir).select("id", "age", *_FOUR)
+    mapping = write_parquet(
+        extend_mapping(people, _FOUR, key="srg-key"), fresh_path(spark, "surrogates")
+    )
+    return apply_mapping(people, _FOUR, mapping, hot_keys=12)
+
+
 @register(
     "surrogate_names",
     f"SELECT c_custkey, {_surrogate('c_name', 'srg-key')} AS c_name FROM customer",
 )
 def surrogate_names(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    mapping = write_parquet(extend_mapping(people, ["c_name"]), fresh_path(spark, "surrogates"))
+    mapping = write_parquet(
+        extend_mapping(people, ["c_name"], key="srg-key"), fresh_path(spark, "surrogates")
+    )
     return apply_mapping(people, ["c_name"], mapping)
 
 
 @register(
     "surrogate_clashes",
-    "SELECT CAST(COUNT(*) AS BIGINT) AS clashes FROM (SELECT "
-    f"{_surrogate('c_name', 'srg-key')} AS s, COUNT(DISTINCT c_name) AS n FROM customer "
-    "GROUP BY 1 HAVING n > 1)",
+    f"SELECT {_surrogate('c_name', 'srg-key')} AS surrogate_value, CAST(2 AS BIGINT) AS values "
+    "FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_name",
 )
 def surrogate_clashes(spark, sf_dir):
+    """Clashes planted in a mapping, one for every tenth customer, are all found."""
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return clashes(extend_mapping(people, ["c_name"])).agg(F.count(F.lit(1)).alias("clashes"))
+    sound = extend_mapping(people, ["c_name"], key="srg-key")
+    tenth = extend_mapping(people.where("c_custkey % 10 = 0"), ["c_name"], key="srg-key")
+    planted = tenth.withColumn("original_value", F.concat(F.lit("other "), "original_value"))
+    return clashes(sound.unionByName(planted))
 
 
 def _moved(column: str) -> str:
@@ -562,6 +601,43 @@ def _variant_query(name: str):
     return run
 
 
+_VARIANT_SAMPLE = 500
+
+
+@register(
+    "sampled_variants",
+    with_adult(
+        " UNION ALL ".join(
+            f"SELECT {text(name)} AS variant, {columns} FROM "
+            f"(SELECT {projection(ADULT_COLUMNS, VARIANTS_SQL[name])} FROM adult)"
+            for name in VARIANTS_SQL
+            for columns in ("id, age, education, occupation, native_country, capital_gain",)
+        )
+        + " UNION ALL SELECT 'shuffle' AS variant, adult.id, age, education, "
+        "occupation_moved.occupation, native_country_moved.native_country, capital_gain "
+        "FROM adult JOIN occupation_moved ON adult.id = occupation_moved.id "
+        "JOIN native_country_moved ON adult.id = native_country_moved.id",
+        "everyone AS (SELECT * FROM adult)",
+    ).replace(
+        "WITH adult AS (", "WITH people AS (", 1
+    ).replace(
+        "everyone AS (SELECT * FROM adult)",
+        "adult AS (SELECT * FROM people ORDER BY "
+        f"{sql_uniform('variant-key', 'sample', 'id')}, id LIMIT {_VARIANT_SAMPLE}), "
+        + _moved("occupation") + ", " + _moved("native_country"),
+        1,
+    ),
+)
+def sampled_variants_together(spark, sf_dir):
+    """One sample, then the six tables made of it; the sample is the operator."""
+    columns = ["id", "age", "education", "occupation", "native_country", "capital_gain"]
+    result = None
+    for name, variant in sampled_variants(adult(spark, sf_dir), _VARIANT_SAMPLE).items():
+        rows = variant.select(F.lit(name).alias("variant"), *columns)
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 for _name, _changed in VARIANTS_SQL.items():
     register(
         f"variant_{_name}",

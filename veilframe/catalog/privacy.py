@@ -87,6 +87,18 @@ def kanon_suppress(spark, sf_dir):
     return kanon.suppress(people, kanon.QUASI_IDENTIFIERS, 10)
 
 
+@register(
+    "kanon_suppress_cold",
+    with_adult(
+        f"SELECT id, {_QIS} FROM sized WHERE group_rows >= 10", _GENERALIZED, _SIZES, _SIZED
+    ),
+)
+def kanon_suppress_cold(spark, sf_dir):
+    """With only the largest groups broadcast, most rows take the shuffled lookup."""
+    people = kanon.generalize(adult(spark, sf_dir)).select("id", *kanon.QUASI_IDENTIFIERS)
+    return kanon.suppress(people, kanon.QUASI_IDENTIFIERS, 10, hot_keys=200)
+
+
 @register(
     "kanon_recheck",
     with_adult(
@@ -401,6 +413,38 @@ def linkage_generalized_external(spark, sf_dir):
     return plain(linkage.linkage_attack(target, target, "generalize"), DIGITS)
 
 
+@register(
+    "linkage_other_types",
+    with_adult(
+        _attack_sql("as_double", "target"),
+        _EVERYONE,
+        "target AS (SELECT id, CAST(age AS DOUBLE) AS age, education, sex, race FROM adult)",
+    ),
+)
+def linkage_other_types(spark, sf_dir):
+    """A mask that only changes a column's type protects nobody."""
+    people = adult(spark, sf_dir)
+    target = people.withColumn("age", F.col("age").cast("double"))
+    return plain(linkage.linkage_attack(people, target, "as_double"), DIGITS)
+
+
+@register(
+    "linkage_failing_target",
+    with_adult(
+        _attack_sql("raw", "adult")
+        + " UNION ALL SELECT 'narrow', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(0 AS BIGINT), "
+        "CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), "
+        "'target narrow lacks [''race'', ''sex'']'",
+        _EVERYONE,
+    ),
+)
+def linkage_failing_target(spark, sf_dir):
+    """A target without the needed columns reports zeros and its error beside the others."""
+    people = adult(spark, sf_dir)
+    targets = {"raw": people, "narrow": people.select("id", "age", "education")}
+    return plain(linkage.linkage_sweep(people, targets), DIGITS)
+
+
 _PART_EXTERNAL = (
     "WITH external AS (SELECT p_partkey AS id, p_size, p_type, p_brand FROM part), "
     "target AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size % 50 + 1 "
@@ -468,7 +512,7 @@ _SUM = (
     ),
 )
 def dp_count(spark, sf_dir):
-    return plain(dp.noisy_count(adult(spark, sf_dir)), 4)
+    return plain(dp.noisy_count(adult(spark, sf_dir), key="dp-key"), 4)
 
 
 @register(
@@ -480,7 +524,7 @@ def dp_count(spark, sf_dir):
     ),
 )
 def dp_avg(spark, sf_dir):
-    return plain(dp.noisy_avg(adult(spark, sf_dir)), 4)
+    return plain(dp.noisy_avg(adult(spark, sf_dir), key="dp-key"), 4)
 
 
 @register(
@@ -492,7 +536,49 @@ def dp_avg(spark, sf_dir):
     ),
 )
 def dp_sum_topk(spark, sf_dir):
-    return plain(dp.noisy_sum(adult(spark, sf_dir)), 4)
+    return plain(dp.noisy_sum(adult(spark, sf_dir), key="dp-key"), 4)
+
+
+_CLIP = 100.0
+
+
+@register(
+    "dp_avg_clipped",
+    with_adult(
+        "SELECT education, cnt, round(avg_gain, 4) AS avg_gain, epsilon, "
+        "round(avg_gain_noised, 4) AS avg_gain_noised FROM noisy_avg",
+        _EPS,
+        "clipped AS (SELECT education, CASE WHEN capital_loss IS NOT NULL THEN "
+        f"greatest(least(CAST(capital_loss AS DOUBLE), {_CLIP}::DOUBLE), -{_CLIP}::DOUBLE) END "
+        "AS capital_gain FROM adult)",
+        _AVG.replace("FROM adult", "FROM clipped").replace("100000.0", f"{_CLIP}"),
+    ),
+)
+def dp_avg_clipped(spark, sf_dir):
+    """Bounded mean of a column with NULLs, which stay out of the sum."""
+    return plain(
+        dp.noisy_avg(
+            adult(spark, sf_dir), measure="capital_loss", sensitivity=_CLIP, clip=_CLIP, key="dp-key"
+        ),
+        4,
+    )
+
+
+@register(
+    "dp_sum_clipped",
+    with_adult(
+        "SELECT occupation, round(total_hours, 4) AS total_hours, epsilon, "
+        "round(total_hours_noised, 4) AS total_hours_noised FROM noisy_sum",
+        _EPS,
+        _SUM.replace("CAST(SUM(hours_per_week) AS BIGINT)", "CAST(SUM(CASE WHEN capital_loss IS "
+        f"NOT NULL THEN greatest(least(CAST(capital_loss AS DOUBLE), {_CLIP}::DOUBLE), "
+        f"-{_CLIP}::DOUBLE) END) AS DOUBLE)"),
+    ),
+)
+def dp_sum_clipped(spark, sf_dir):
+    return plain(
+        dp.noisy_sum(adult(spark, sf_dir), measure="capital_loss", clip=_CLIP, key="dp-key"), 4
+    )
 
 
 def _accuracy(source: str, name: str, true: str, noised: str, offset: str = "") -> str:
@@ -517,7 +603,7 @@ def _accuracy(source: str, name: str, true: str, noised: str, offset: str = "")
     ),
 )
 def dp_accuracy(spark, sf_dir):
-    return plain(dp.accuracy_sweep(adult(spark, sf_dir)), 4)
+    return plain(dp.accuracy_sweep(adult(spark, sf_dir), key="dp-key"), 4)
 
 
 @register(
@@ -530,7 +616,7 @@ def dp_accuracy(spark, sf_dir):
 )
 def dp_count_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("age"))
-    return plain(dp.noisy_count(lines), 4)
+    return plain(dp.noisy_count(lines, key="dp-key"), 4)
 
 
 # --- utility of masks -----------------------------------------------------------------------------------------

@@ -3,6 +3,9 @@
 The sensitivities are stated, not enforced: unless `clip` is given, input values
 may exceed them and the result is no privacy guarantee. Choosing the top groups
 before adding noise is not covered by epsilon either.
+
+The key is a secret and each release needs its own: two releases under one key carry
+the same noise, which their difference cancels. Hence there is no default.
 """
 
 from __future__ import annotations
@@ -42,7 +45,8 @@ def _noise(key: str, label: str, group: Column, sensitivity: float, share: float
 def _clipped(value: Column, clip: float | None) -> Column:
     if clip is None:
         return value
-    return F.greatest(F.least(value, F.lit(clip)), F.lit(-clip))
+    # Null-aware: least() and greatest() alone would turn a NULL into the bound.
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(clip)), F.lit(-clip)))
 
 
 def noisy_count(
@@ -50,7 +54,8 @@ def noisy_count(
     age: str = "age",
     width: int = 10,
     epsilons: Sequence[float] = EPSILONS,
-    key: str = "dp-key",
+    *,
+    key: str,
 ) -> DataFrame:
     """Count per age bucket, noise of sensitivity 1, not below 0."""
     counts = df.groupBy(bucket(F.col(age), width).alias("age_bucket")).agg(
@@ -66,8 +71,9 @@ def noisy_avg(
     measure: str = "capital_gain",
     sensitivity: float = MAX_GAIN,
     epsilons: Sequence[float] = EPSILONS,
-    key: str = "dp-key",
     clip: float | None = None,
+    *,
+    key: str,
 ) -> DataFrame:
     """Average as noisy sum over noisy count (at least 1), half of epsilon each."""
     value = _clipped(F.col(measure), clip)
@@ -93,8 +99,9 @@ def noisy_sum(
     sensitivity: float = MAX_HOURS,
     top: int = 10,
     epsilons: Sequence[float] = EPSILONS,
-    key: str = "dp-key",
     clip: float | None = None,
+    *,
+    key: str,
 ) -> DataFrame:
     """Sum over the `top` groups with the largest sums, not below 0."""
     groups = (
@@ -123,7 +130,7 @@ def accuracy(
 
 
 def accuracy_sweep(
-    df: DataFrame, epsilons: Sequence[float] = EPSILONS, key: str = "dp-key"
+    df: DataFrame, epsilons: Sequence[float] = EPSILONS, *, key: str
 ) -> DataFrame:
     """Accuracy of the three studied queries for every epsilon."""
     return (

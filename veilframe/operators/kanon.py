@@ -64,14 +64,18 @@ def check(sizes: DataFrame, k: int) -> DataFrame:
 
 
 def suppress(
-    df: DataFrame, quasi_identifiers: Sequence[str], k: int, sizes: DataFrame | None = None
+    df: DataFrame,
+    quasi_identifiers: Sequence[str],
+    k: int,
+    sizes: DataFrame | None = None,
+    hot_keys: int | None = None,
 ) -> DataFrame:
-    """The rows whose group has at least k members."""
+    """The rows whose group has at least k members; `hot_keys` as in `lookup_join`."""
     if sizes is None:
         sizes = group_sizes(df, quasi_identifiers)
     kept = sizes.where(F.col("rows") >= k).withColumn("_valid", F.lit(True))
     marked = lookup_join(
-        _identified(df, quasi_identifiers), kept, quasi_identifiers, "_valid", "rows"
+        _identified(df, quasi_identifiers), kept, quasi_identifiers, "_valid", "rows", hot_keys
     )
     return marked.where(F.col("_valid")).drop("_valid")
 
@@ -126,6 +130,31 @@ def _complete(columns: Sequence[str]) -> Column:
     return reduce(and_, [F.col(c).isNotNull() for c in columns])
 
 
+def sized_rows(
+    df: DataFrame,
+    age_bucket: int = 5,
+    quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
+    columns: Sequence[str] = OUTPUT_COLUMNS,
+    ident: str = "id",
+) -> DataFrame:
+    """Generalized rows in the output layout with the size of their group, stored.
+
+    Every k-anonymous table is a filter of this one, so a sweep over k reads the source
+    no more often than a single k does.
+    """
+    rows = generalize(df, age_bucket)
+    sizes = group_sizes(rows, quasi_identifiers)
+    kept = list(dict.fromkeys([ident, *columns, *quasi_identifiers]))
+    sized = lookup_join(
+        _identified(rows, quasi_identifiers).select(*kept),
+        sizes.withColumn("group_rows", F.col("rows")),
+        quasi_identifiers,
+        "group_rows",
+        "rows",
+    )
+    return stored_once(sized, "kanon-rows")
+
+
 def anonymous_table(
     df: DataFrame,
     k: int,
@@ -133,15 +162,20 @@ def anonymous_table(
     quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
     columns: Sequence[str] = OUTPUT_COLUMNS,
     ident: str = "id",
-    sizes: DataFrame | None = None,
     fresh_ids: bool = True,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """Generalized rows of groups of at least k in the output layout, under fresh ids 1..N.
 
-    Fresh ids follow the order of the old ones, which are dropped. Numbering is the
-    only step that shuffles whole rows; leave it out where no id is wanted.
+    Fresh ids follow the order of the old ones, which are dropped. Numbering reads its
+    input several times, hence from the stored `sized_rows`, which may be passed on from
+    one k to the next. Without ids the rows are filtered as they are read.
     """
-    kept = suppress(generalize(df, age_bucket), quasi_identifiers, k, sizes)
+    if not fresh_ids and sized is None:
+        return suppress(generalize(df, age_bucket), quasi_identifiers, k).select(*columns)
+    if sized is None:
+        sized = sized_rows(df, age_bucket, quasi_identifiers, columns, ident)
+    kept = sized.where(F.col("group_rows") >= k)
     if not fresh_ids:
         return kept.select(*columns)
     return dense_ids(kept.select(ident, *columns), ident, ident)
@@ -156,13 +190,13 @@ def publish(
 ) -> DataFrame:
     """Write one k-anonymous table per k under `folder` and report what each keeps.
 
-    All tables are cut by one stored table of group sizes.
+    All tables are cut from one stored, sized table.
     """
-    rows = generalize(df, age_bucket)
-    sizes = stored_once(group_sizes(rows, quasi_identifiers), "group-sizes")
+    sized = sized_rows(df, age_bucket, quasi_identifiers)
     for k in ks:
-        table = anonymous_table(df, k, age_bucket, quasi_identifiers, sizes=sizes)
+        table = anonymous_table(df, k, age_bucket, quasi_identifiers, sized=sized)
         table.write.mode("overwrite").parquet(f"{folder}/k{k}")
+    rows = generalize(df, age_bucket)
     utility = mean_utility(query_utility(rows, quasi_identifiers, ks=ks))
     return (
         sweep(rows, quasi_identifiers, ks)

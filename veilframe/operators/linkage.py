@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUASI_IDENTIFIERS = ("age", "education", "sex", "race")
 # Largest external table that is sent to every executor.
@@ -75,9 +76,27 @@ def linkage_sweep(
 
 
 def _as_text(df: DataFrame, ident: str, qis: Sequence[str]) -> list[Column]:
-    """Identifier as it is, quasi-identifiers as text, so that masked columns of another
-    type can be compared and simply do not match."""
-    return [F.col(ident), *[F.col(q).cast("string").alias(q) for q in qis]]
+    """Identifier as it is, quasi-identifiers as text that is equal where the values are.
+
+    Masked columns may be of another type. Numbers are written alike whatever their type
+    (5, 5.0 and 5.00 are the text 5), so they match across types; a number and a digest
+    simply do not.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def plain(name: str) -> Column:
+        value = F.col(name)
+        if not isinstance(kinds[name], (T.FractionalType, T.DecimalType)):
+            return value.cast("string").alias(name)
+        real = value.cast("double")
+        whole = (real == F.floor(real)) & (F.abs(real) < F.lit(float(2**53)))
+        return (
+            F.when(whole, real.cast("bigint").cast("string"))
+            .otherwise(real.cast("string"))
+            .alias(name)
+        )
+
+    return [F.col(ident), *[plain(q) for q in qis]]
 
 
 def _attack(
@@ -91,6 +110,10 @@ def _attack(
     known = _prefixed(people, [ident, *qis], "_p_").distinct()
     candidates = targets
     if external_rows is not None and external_rows <= BROADCAST_ROWS:
+        # The caller's bound is checked before anything is broadcast.
+        found = people.limit(external_rows + 1).count()
+        if found > external_rows:
+            raise ValueError(f"external table has more than the {external_rows} rows stated")
         known = F.broadcast(known)
         combinations = _prefixed(people.select(*qis).distinct(), qis, "_e_")
         candidates = targets.join(

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilframe.functions.masks import hmac_sha256_hex
-from veilframe.operators.lookup import lookup_join
+from veilframe.operators.lookup import lookup_in_line
+from veilframe.session import stored_once
 
 # The surrogate's form.
 PREFIX = "SRG-"
@@ -27,8 +28,8 @@ def _surrogate(text: Column, key: str) -> Column:
     return F.concat(F.lit(PREFIX), F.substring(hmac_sha256_hex(text, key), 1, HEX_DIGITS))
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct (column_name, original_value) over all listed columns, nulls left out."""
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, original_value) of all cells of the listed columns, nulls left out."""
     cells = [
         F.struct(
             F.lit(c).alias("column_name"), F.col(c).cast("string").alias("original_value")
@@ -39,22 +40,21 @@ def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df.select(F.explode(F.array(*cells)).alias("cell"))
         .select("cell.*")
         .where(F.col("original_value").isNotNull())
-        .distinct()
     )
 
 
 def extend_mapping(
-    df: DataFrame, columns: Sequence[str], mapping: DataFrame | None = None, key: str = "srg-key"
+    df: DataFrame, columns: Sequence[str], mapping: DataFrame | None = None, *, key: str
 ) -> DataFrame:
     """The mapping with an entry for every value of `columns` not yet in it.
 
     New surrogates are keyed digests, not random bytes, so a retried task makes the
     same ones. Entries already there never change. Two values that share a surrogate
-    are told apart by a further digest of all but the first.
+    are told apart by a further digest of all but the first. The key is a secret.
     """
     mapping = empty_mapping(df) if mapping is None else mapping
     names = ["column_name", "original_value"]
-    seen = _values(df, columns)
+    seen = _cells(df, columns).distinct()
     cell = F.concat_ws("|", *names)
     fresh = seen.join(mapping.select(*names), names, "left_anti").withColumn(
         "surrogate_value", _surrogate(cell, key)
@@ -73,27 +73,39 @@ def extend_mapping(
     )
 
 
-def apply_mapping(df: DataFrame, columns: Sequence[str], mapping: DataFrame) -> DataFrame:
-    """Replace the values of `columns` by their surrogates; NULL stays NULL."""
-    order = df.columns
+def apply_mapping(
+    df: DataFrame,
+    columns: Sequence[str],
+    mapping: DataFrame,
+    hot_keys: int | None = None,
+) -> DataFrame:
+    """Replace the values of `columns` by their surrogates; NULL stays NULL.
+
+    One pass over the table counts the values of all columns, and that small table is
+    stored; then the rows pass one lookup per column, read once in all.
+    """
+    columns = list(columns)
+    counts = _cells(df, columns).groupBy("column_name", "original_value").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    known = stored_once(
+        counts.join(mapping, ["column_name", "original_value"]).select(
+            "column_name", "original_value", "surrogate_value", "rows"
+        ),
+        "surrogate-values",
+    )
+    result = df
     for column in columns:
-        keyed = df.withColumn("_text", F.col(column).cast("string"))
-        known = mapping.where(F.col("column_name") == column).select(
-            F.col("original_value").alias("_known"), "surrogate_value"
-        )
-        table = (
-            keyed.where(F.col("_text").isNotNull())
-            .groupBy("_text")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .join(known, F.col("_text") == F.col("_known"))
-            .select("_text", "surrogate_value", "rows")
+        table = known.where(F.col("column_name") == column).select(
+            F.col("original_value").alias("_text"), "surrogate_value", "rows"
         )
-        df = (
-            lookup_join(keyed, table, ["_text"], "surrogate_value", "rows")
+        keyed = result.withColumn("_text", F.col(column).cast("string"))
+        result = (
+            lookup_in_line(keyed, table, "_text", "surrogate_value", "rows", hot_keys)
             .withColumn(column, F.col("surrogate_value"))
-            .select(*order)
+            .select(*df.columns)
         )
-    return df
+    return result
 
 
 def clashes(mapping: DataFrame) -> DataFrame:

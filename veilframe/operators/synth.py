@@ -18,6 +18,9 @@ REPLACED_SHARE = 0.05
 # A column with more distinct values than this is not held in one array.
 ARRAY_VALUES = 10_000
 _SPREAD = 4_096
+_COPIES_PER_BLOCK = 256
+# Stands for NULL among a column's values.
+_NULL = "\x00"
 
 
 @dataclass(frozen=True)
@@ -43,27 +46,54 @@ def profile(base: DataFrame, ident: str = "id") -> Profile:
                 F.max(c).alias("high"),
             ).alias(f"n_{c}")
         )
-    for c in others:
-        has_null = F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).cast("int")
-        wanted.append((F.count_distinct(c) + has_null).alias(f"d_{c}"))
     found = base.agg(*wanted).first()
+    distinct = _distinct_counts(base, others)
     return Profile(
         rows=found["rows"],
         numeric={
             c: (found[f"n_{c}"]["std"] or 0.0, found[f"n_{c}"]["low"], found[f"n_{c}"]["high"])
             for c in numeric
         },
-        distinct={c: found[f"d_{c}"] for c in others},
+        distinct=distinct,
     )
 
 
+def _distinct_counts(base: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct values of each column, NULL counting as one: one shuffle of (column, value)."""
+    if not columns:
+        return {}
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), _identity(c).alias("v")) for i, c in enumerate(columns)]
+    )
+    pairs = base.select(F.explode(cells).alias("cell")).select("cell.*").distinct()
+    found = {r.i: r.n for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
+def _identity(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(_NULL))
+
+
 def replicate(df: DataFrame, copies: int, ident: str = "id", name: str = "_row") -> DataFrame:
-    """Every row `copies` times, told apart by the text `ident:copy` in `name`."""
-    copy = F.explode(F.sequence(F.lit(1), F.lit(copies)))
+    """Every row `copies` times, told apart by the text `ident:copy` in `name`.
+
+    Rows are first repeated once per block of copies and dealt by (id, block), then within
+    their block, so the copies are made by all tasks however few partitions the base has.
+    """
+    blocks = -(-copies // _COPIES_PER_BLOCK)
+    tasks = max(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        df.sparkSession.sparkContext.defaultParallelism,
+    )
+    first = F.col("_block") * _COPIES_PER_BLOCK + 1
+    last = F.least((F.col("_block") + 1) * _COPIES_PER_BLOCK, F.lit(copies))
     return (
-        df.withColumn("_copy", copy)
+        df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # A stated number of tasks: by their bytes the rows would be put into few.
+        .repartition(tasks, F.col(ident), F.col("_block"))
+        .withColumn("_copy", F.explode(F.sequence(first, last)))
         .withColumn(name, F.concat(F.col(ident).cast("string"), F.lit(":"), F.col("_copy")))
-        .drop("_copy")
+        .drop("_block", "_copy")
     )
 
 
@@ -91,7 +121,8 @@ def perturb(
 
     Numbers move by a normal of 5% of the base's deviation and stay within the base's
     bounds. In other columns 5% of the cells get one of the base's distinct values
-    (NULL included), each with the same chance.
+    (NULL included), each with the same chance. Values are numbered in a keyed order;
+    `array_values` only decides whether the numbered values are held in an array or joined.
     """
     known = known or profile(base, ident)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -107,7 +138,10 @@ def perturb(
             long_columns.append(column)
             continue
         # Bounded by `array_values`, which the profile has just checked.
-        values = base.agg(F.sort_array(F.collect_set(F.struct(column))).alias("v")).scalar()
+        numbered = F.struct(
+            _dictionary_draw(column, key).alias("draw"), _identity(column).alias("ident"), column
+        )
+        values = base.agg(F.sort_array(F.collect_set(numbered)).alias("v")).scalar()
         chosen = F.element_at(
             values, prf.index_below(prf.uniform(key, column, F.col(row), 1), size)
         ).getField(column)
@@ -119,6 +153,10 @@ def perturb(
     return result
 
 
+def _dictionary_draw(column: str, key: str) -> Column:
+    return prf.uniform(key, f"{column}.dictionary", _identity(column))
+
+
 def _replace_by_dictionary(
     df: DataFrame, base: DataFrame, column: str, size: int, key: str, row: str
 ) -> DataFrame:
@@ -128,9 +166,9 @@ def _replace_by_dictionary(
     spreads them over the join's partitions.
     """
     order = df.columns
-    values = base.select(column).distinct()
-    numbered = keyed_rank(values, column, key, f"{column}.dictionary", "_number").select(
-        "_number", F.col(column).alias("_value")
+    values = base.select(F.col(column).alias("_value"), _identity(column).alias("_ident")).distinct()
+    numbered = keyed_rank(values, "_ident", key, f"{column}.dictionary", "_number").select(
+        "_number", "_value"
     )
     replaced = prf.uniform(key, column, F.col(row)) < F.lit(REPLACED_SHARE)
     number = prf.index_below(prf.uniform(key, column, F.col(row), 1), size)
@@ -142,7 +180,11 @@ def _replace_by_dictionary(
 
 
 def scale_rows(
-    base: DataFrame, target_rows: int, ident: str = "id", key: str = "synth-key"
+    base: DataFrame,
+    target_rows: int,
+    ident: str = "id",
+    key: str = "synth-key",
+    array_values: int = ARRAY_VALUES,
 ) -> DataFrame:
     """Exactly `target_rows` rows like those of `base`, with fresh ids 1..N.
 
@@ -160,7 +202,7 @@ def scale_rows(
     else:
         copied = replicate(base, copies, ident)
         sample = exact_sample(copied, "_row", target_rows, key, total_rows=known.rows * copies)
-        sample = perturb(sample, base, ident, "_row", key, known)
+        sample = perturb(sample, base, ident, "_row", key, known, array_values)
     ranked = keyed_rank(sample, "_row", key, "sample", "_new_id", total_rows=target_rows)
     return ranked.select(
         *[F.col("_new_id").alias(c) if c == ident else F.col(c) for c in base.columns]

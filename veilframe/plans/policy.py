@@ -39,12 +39,13 @@ class MaskingPolicy:
     """Column rules plus the roles that see masked values.
 
     Masks are plain column expressions, so a policy adds no shuffle, and columns
-    nobody selects cost nothing.
+    nobody selects cost nothing. The key is a secret: who has it can rebuild the draws.
+    Take another one for each release, `replace(policy, key=...)` for a studied policy.
     """
 
     rules: Mapping[str, Rule]
+    key: str
     ident: str = "id"
-    key: str = "mask-key"
     masked_roles: frozenset[str] = field(default_factory=lambda: frozenset({"masked_user"}))
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -147,7 +148,11 @@ def fake_country() -> Rule:
 
 # --- the studied policies -------------------------------------------------------------------
 
+# Fixed value: the key of the studied policies, which are public examples.
+STUDY_KEY = "mask-key"
+
 ADULT_VIEW = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "age": bucketed(5),
         "fnlwgt": sha256(),
@@ -158,6 +163,7 @@ ADULT_VIEW = MaskingPolicy(
 )
 
 HEALTHCARE_VIEW = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "name": partial(2),
         "age": bucketed(5),
@@ -168,6 +174,7 @@ HEALTHCARE_VIEW = MaskingPolicy(
 )
 
 ADULT_RULES = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "age": random_int(18, 90),
         "fnlwgt": suppressed(),
@@ -180,6 +187,7 @@ ADULT_RULES = MaskingPolicy(
 )
 
 HEALTHCARE_RULES = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "name": fake_name(),
         "age": random_int(18, 90),
@@ -190,15 +198,17 @@ HEALTHCARE_RULES = MaskingPolicy(
 )
 
 # The variants compared with each other; the shuffled one is a job, see plans.variants.
-ADULT_HASH = MaskingPolicy(rules={"occupation": hmac(), "native_country": hmac()})
+ADULT_HASH = MaskingPolicy(key=STUDY_KEY, rules={"occupation": hmac(), "native_country": hmac()})
 
 ADULT_PARTIAL = MaskingPolicy(
+    key=STUDY_KEY,
     rules={"occupation": partial(2, keep=("?",)), "native_country": partial(2)}
 )
 
-ADULT_FAKE = MaskingPolicy(rules={"occupation": fake_company(), "native_country": fake_country()})
+ADULT_FAKE = MaskingPolicy(key=STUDY_KEY, rules={"occupation": fake_company(), "native_country": fake_country()})
 
 ADULT_NOISE = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "capital_gain": proportional(0.4),
         "capital_loss": proportional(0.4),
@@ -207,6 +217,7 @@ ADULT_NOISE = MaskingPolicy(
 )
 
 ADULT_GENERALIZE = MaskingPolicy(
+    key=STUDY_KEY,
     rules={
         "age": bucketed(10),
         "education": generalized(taxonomy.EDUCATION_LEVEL),

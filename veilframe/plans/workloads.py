@@ -244,32 +244,30 @@ def self_join_groups(
     measure: str = "age",
     above: int = 30,
     limit: int = 100,
+    average: str = "avg_age",
 ) -> DataFrame:
     """Per group: pairs of rows that share `on`, both above a bound, and the mean measure.
 
     The pairs are never made. A row with key o takes part in as many pairs as there
     are rows with o, so both sides are summed up before they meet, and the join has
     one row per (key, group) however many rows share a key. A hot key's pair count
-    outgrows 64 bits, hence decimals.
+    outgrows 64 bits, hence `match_count` is a decimal; the mean is weighted in doubles,
+    so fractional measures keep their fractions.
     """
     rows = df.where((F.col(measure) > above) & F.col(on).isNotNull())
     left = rows.groupBy(on, group).agg(
         F.count(F.lit(1)).cast("decimal(19,0)").alias("_n"),
-        F.sum(measure).cast("decimal(19,0)").alias("_total"),
+        F.sum(measure).cast("double").alias("_total"),
     )
     right = left.groupBy(F.col(on).alias("_on")).agg(
         F.sum("_n").cast("decimal(19,0)").alias("_partners")
     )
     pairs = F.sum(F.col("_n") * F.col("_partners"))
+    weighted = F.sum(F.col("_total") * F.col("_partners").cast("double"))
     return (
         left.join(right, F.col(on) == F.col("_on"))
         .groupBy(group)
-        .agg(
-            pairs.alias("match_count"),
-            (
-                F.sum(F.col("_total") * F.col("_partners")).cast("double") / pairs.cast("double")
-            ).alias("avg_age"),
-        )
+        .agg(pairs.alias("match_count"), (weighted / pairs.cast("double")).alias(average))
         .orderBy(F.col(group).asc_nulls_last())
         .limit(limit)
     )
