@@ -21,6 +21,9 @@ CASES = [
      "T\nLong enough to surge here."),
     ("<div class='layout has-sidebar'><p>kept text of the page</p></div>", "kept text of the page"),
     ("<article>a<p>b &lt;i&gt; &#233;&eacute;</p><form><input><p>x</p></form>", "a\nb <i> éé"),
+    ("<div id='readerComments'><p>c</p></div><p>body of the page</p>", "body of the page"),
+    ("<div><a href=/>Home</a></div><div><a>News</a></div><h1>T</h1><p>See <a>this</a> and the "
+     "rest of it.</p><p><a>More</a></p>", "T\nSee this and the rest of it."),
     ("<p>cut off in a <b", "cut off in a"), ("<p>cut &am", "cut &am"),
     ("<article><table><tr><td>1</td><td>2</td></tr></table></article>", "1\n2"),
 ]
@@ -45,11 +48,15 @@ def test_given_pages_equal_their_articles(spark):
 
 
 def test_surge_and_dive():
-    lines = [("menu", False), *[("", False)] * 3, ("x" * 30, False), ("y", False),
-             *[("", False)] * 3, ("end", False)]
-    assert main_lines(lines) == ["x" * 30, "y"]
-    assert main_lines([("ab", False), ("", False), ("", False), ("", False), ("abc", False)]) == ["abc"]
+    gap = [("", False, False)] * 3
+    lines = [("menu", False, False), *gap, ("x" * 30, False, False), ("link", False, True),
+             ("y", False, False), *gap, ("end", False, False)]
+    assert main_lines(lines) == ["x" * 30, "link", "y"]
+    assert main_lines([("ab", False, False), *gap, ("abc", False, False)]) == ["abc"]
     assert main_lines([]) == []
+    links = [("one", False, True), ("two", False, True)]
+    assert main_lines([*links, *lines[4:5], *links]) == ["x" * 30]
+    assert main_lines(links) == ["one", "two"]
 
 
 def test_table_edges(spark):

@@ -3,7 +3,7 @@
 A page becomes lines: markup is stripped, each block element's text is a line, and what is
 no article text by its markup (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) leaves empty lines. The lengths of `window` following
-lines are summed. Text surges where the sum rises to `surge` characters and dives where it
+lines are summed, text of links outside the main element not counted. Text surges where the sum rises to `surge` characters and dives where it
 falls to zero; the lines between, with the short lines that lead up to the surge, are kept.
 A page whose text never surges keeps its longest run instead, so short articles survive.
 """
@@ -48,6 +48,7 @@ _NAMES = re.compile(
     r"skip-link|hidden|legal|copyright|disclaimer|search|form|toc|tags)(?:$|[\s_-])",
     re.I,
 )
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -57,6 +58,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _GAP = 3
+_EMPTY = ("", False, False)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -80,35 +82,43 @@ def _unwanted(tag: str, raw: str, inside_main: bool) -> bool:
     if attributes.get("role", "").lower() in _ROLES:
         return True
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    names = _CAMEL.sub("-", names)
     if names == " ":
         return False
     # The header of a page goes; the header of an article holds its title.
     return bool(_NAMES.search(names) or not inside_main and _HEADER.search(names))
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside the main element) per line; dropped elements leave `_GAP` empty lines."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, inside the main element, only links) per line.
+
+    Dropped elements leave `_GAP` empty lines.
+    """
+    lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
+    own = links = 0  # text outside links in this line; open links
     stack: list[tuple[str, bool, bool]] = []  # tag, drops its content, is a main element
     dropped = main = at = 0
 
     def end_line() -> None:
+        nonlocal own
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                lines.append((text, main > 0))
+                lines.append((text, main > 0, own == 0))
+        own = 0
 
     def leave(depth: int) -> None:
-        nonlocal dropped, main
+        nonlocal dropped, main, links
         while len(stack) > depth:
             tag, drops, is_main = stack.pop()
+            links -= tag == "a"
             if tag in _BLOCK and not dropped:
                 end_line()
             if drops:
                 dropped -= 1
-                lines.extend([("", False)] * _GAP)
+                lines.extend([_EMPTY] * _GAP)
             if is_main:
                 end_line()
                 main -= 1
@@ -119,12 +129,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             start = len(page)
         if start > at and not dropped:
             parts.append(page[at:start])
+            own += not links and not page[at:start].isspace()
         if start == len(page):
             break
         m = _TOKEN.match(page, start)
         if m is None:  # a bare < is text
             if not dropped:
                 parts.append("&lt;")
+                own += not links
             at = start + 1
             continue
         at = m.end()
@@ -159,14 +171,16 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 end_line()
             else:
                 parts.append("\n")
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
+        closed = m[3].endswith("/") and not m[3].endswith("=/")
+        if tag in _VOID or closed and tag not in _BLOCK:
             continue
         drops = _unwanted(tag, m[3], main > 0)
         if drops and not dropped:
             end_line()
-            lines.extend([("", False)] * _GAP)
+            lines.extend([_EMPTY] * _GAP)
         is_main = tag in _MAIN and not drops and not dropped
         stack.append((tag, drops, is_main))
+        links += tag == "a"
         dropped += drops
         if is_main:
             end_line()
@@ -184,14 +198,23 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, bool]], window: int = _GAP, surge: int = 20) -> list[str]:
+def main_lines(
+    lines: list[tuple[str, bool, bool]], window: int = _GAP, surge: int = 20
+) -> list[str]:
     """Lines between the surges and dives of the block lengths.
 
     The block length at a line is the sum over it and the `window - 1` lines after it. If
-    the page names its main element, only lines inside it have a length.
+    the page names its main element, only lines inside it have a length; else lines of
+    links have none, so that a list of links parts two runs of text. Lines of links inside
+    a run stay.
     """
-    named = any(inside and text for text, inside in lines)
-    sizes = [len(text) if inside or not named else 0 for text, inside in lines]
+    named = any(inside and text for text, inside, _ in lines)
+    if named:
+        sizes = [len(text) if inside else 0 for text, inside, _ in lines]
+    else:
+        sizes = [0 if linked else len(text) for text, _, linked in lines]
+        if not any(sizes):
+            sizes = [len(text) for text, _, _ in lines]
     runs: list[tuple[int, int]] = []
     start = None
     for i in range(len(sizes)):
@@ -207,7 +230,13 @@ def main_lines(lines: list[tuple[str, bool]], window: int = _GAP, surge: int = 2
     kept = [r for r, peak in zip(runs, blocks, strict=True) if peak >= surge or named]
     if not kept and runs:
         kept = [max(runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))]
-    return [lines[i][0] for a, b in kept for i in range(a, b) if sizes[i]]
+    out = []
+    for a, b in kept:
+        filled = [i for i in range(a, b) if sizes[i]]
+        for text, inside, _ in lines[filled[0] : filled[-1] + 1]:
+            if text and (inside or not named):
+                out.append(text)
+    return out
 
 
 def main_text(page: str | None, window: int = _GAP, surge: int = 20) -> str:

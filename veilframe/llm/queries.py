@@ -75,6 +75,42 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, pieces)
 
 
+def _secrets_sql() -> str:
+    """All spans of every rule: matches and the texts between them, in running lengths."""
+
+    def literal(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{r.kind}' AS kind, {i} AS ord, {r.least} AS least, "
+        f"regexp_extract_all(x, {literal(r.pattern)}, 0) AS w, "
+        f"regexp_extract_all(x, {literal(r.pattern)}, {r.group}) AS g, "
+        f"string_split_regex(x, {literal(r.pattern)}) AS s FROM texts"
+        for i, r in enumerate(secrets.RULES)
+    )
+    base = [i for i, r in enumerate(secrets.RULES) if r.base]
+    counts = ", ".join(
+        f"count(*) FILTER (ord = {i}) AS n_{secrets.RULES[i].kind}" for i in base
+    )
+    joined = "string_agg(kind || ':' || start || ':' || (start + width), ',' ORDER BY start, ord)"
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        found AS ({found}),
+        numbered AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM found WHERE len(w) > 0),
+        spans AS (
+            SELECT doc_id, kind, ord, length(w[i]) AS width, CAST(
+                list_sum(list_transform(s[1:i], lambda y: length(y)))
+                + coalesce(list_sum(list_transform(w[1:i - 1], lambda y: length(y))), 0)
+                AS BIGINT) AS start
+            FROM numbered WHERE length(g[i]) >= least
+        )
+        SELECT texts.doc_id, {counts},
+            sha256(coalesce({joined} FILTER (ord <= {max(base)}), '')) AS base_sha256,
+            coalesce({joined} FILTER (ord IS NOT NULL), '') AS spans
+        FROM texts LEFT JOIN spans ON texts.doc_id = spans.doc_id GROUP BY texts.doc_id
+    """
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -151,4 +187,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op8_secret_scans": _secrets_sql(),
 }
