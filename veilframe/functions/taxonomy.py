@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.lookup import lookup_join
+
 
 @dataclass(frozen=True)
 class Taxonomy:
@@ -41,12 +43,16 @@ def generalize_by_table(
 ) -> DataFrame:
     """Replace `column` through a (value, label) table, for taxonomies too long for a CASE.
 
-    The join side is chosen by Spark from the table's size; its keys are unique,
-    so the row count stays the same.
+    The table's keys are unique, so the row count stays the same. A category often holds
+    half of all rows, so frequent values are looked up in place and only rare ones shuffled.
     """
-    table = taxonomy.select(F.col("value").alias("_value"), F.col("label").alias("_label"))
+    counted = df.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    labels = taxonomy.select(F.col("value").alias("_value"), F.col("label").alias("_label"))
     rest = F.col(column) if default is None else F.lit(default)
-    joined = df.join(table, F.col(column) == F.col("_value"), "left")
+    table = labels.join(counted, "_value")
+    joined = lookup_join(
+        df.withColumn("_value", F.col(column)), table, ["_value"], "_label", "_rows"
+    )
     return joined.select(
         *[
             F.coalesce(F.col("_label"), rest).alias(c) if c == column else F.col(c)

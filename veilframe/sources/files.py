@@ -69,7 +69,7 @@ def number_lines(df: DataFrame, name: str = "id") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     starts = bucket_starts(counts, "_task", "_rows").select("_task", "before")
-    if df.rdd.getNumPartitions() <= _BROADCAST_TASKS:
+    if counts.count() <= _BROADCAST_TASKS:
         starts = F.broadcast(starts)
     placed = df.withColumn("_line", line)
     within = F.col("_line").bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
