@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored_once
+from veilframe.llm.common import stored_once, unused
 
 # Fixed value: what separates words, ASCII white space as the mix counts it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -315,27 +315,35 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
     spans = pieces.groupBy("row", "doc_id", "start", "epoch", "size").agg(
         F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")
     )
-    uses = spans.groupBy(F.col("row").alias("_use_row"), F.col("doc_id").alias("_use_id")).agg(
-        F.collect_list(F.struct("start", "epoch", "size", "spans")).alias("_uses")
+    row, copy, use_row, use_id, uses, start, use = unused(
+        docs, "_row", "_copy", "_use_row", "_use_id", "_uses", "_start", "_use"
     )
-    starts = F.array_sort(F.array_distinct(F.col("_uses.start")))
+    found = spans.groupBy(F.col("row").alias(use_row), F.col("doc_id").alias(use_id)).agg(
+        F.collect_list(F.struct("start", "epoch", "size", "spans")).alias(uses)
+    )
+    starts = F.array_sort(F.array_distinct(F.col(f"{uses}.start")))
     # Equal rows have one key and different starts: the n-th such row takes the n-th start.
-    numbered = docs.withColumn("_row", row_key(seed)).withColumn(
-        "_copy", F.row_number().over(W.partitionBy("_row").orderBy("doc_id"))
+    numbered = docs.withColumn(row, row_key(seed)).withColumn(
+        copy, F.row_number().over(W.partitionBy(row).orderBy("doc_id"))
     )
     used = (
         numbered.join(
-            uses, (F.col("_row") == F.col("_use_row")) & F.col("doc_id").eqNullSafe(F.col("_use_id"))
+            found, (F.col(row) == F.col(use_row)) & F.col("doc_id").eqNullSafe(F.col(use_id))
         )
-        .withColumn("_start", F.try_element_at(starts, F.col("_copy").cast("int")))
-        .withColumn("_use", F.explode(F.filter("_uses", lambda u: u["start"] == F.col("_start"))))
+        .withColumn(start, F.try_element_at(starts, F.col(copy).cast("int")))
+        .withColumn(use, F.explode(F.filter(uses, lambda u: u["start"] == F.col(start))))
     )
     tokens = F.regexp_extract_all("text", F.lit(WORD_WITH_SPACE), F.lit(0))
     parts = F.transform(
-        F.col("_use.spans"), lambda s: F.array_join(F.slice(tokens, s["lo"] + 1, s["hi"] - s["lo"]), "")
+        F.col(f"{use}.spans"),
+        lambda s: F.array_join(F.slice(tokens, s["lo"] + 1, s["hi"] - s["lo"]), ""),
+    )
+    taken = F.aggregate(
+        F.col(f"{use}.spans"),
+        F.lit(0).cast("bigint"),
+        lambda n, s: n + s["hi"] - s["lo"],
     )
-    taken = F.aggregate(F.col("_use.spans"), F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
-    text = F.when(taken == F.col("_use.size"), F.col("text")).otherwise(F.array_join(parts, ""))
+    text = F.when(taken == F.col(f"{use}.size"), F.col("text")).otherwise(F.array_join(parts, ""))
     out = used.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored_once
+from veilframe.llm.common import stored_once, unused
 from veilframe.llm.components import components
 
 K, BANDS, ELL, SIMILARITY, BLOCK = 5, 16, 4, 0.8, 1024
@@ -422,13 +422,14 @@ def near_duplicates(
 
 def keep_one_each(docs: DataFrame, **settings) -> DataFrame:
     """`docs` with one document of each class: the smallest id; rows with null ids stay."""
-    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_kept"))
-    once = kept.where("_kept is not null").distinct()
+    one, nth = unused(docs, "_kept", "_nth")
+    kept = near_duplicates(docs, **settings).where("kept and doc_id is not null")
+    once = kept.select(F.col("doc_id").alias(one)).distinct()
     numbered = (
-        docs.where("doc_id is not null")
-        .join(once, F.col("doc_id") == F.col("_kept"), "left_semi")
-        .withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-        .where("_nth = 1")
+        docs.where(F.col("doc_id").isNotNull())
+        .join(once, F.col("doc_id") == F.col(one), "left_semi")
+        .withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+        .where(F.col(nth) == 1)
         .select(*docs.columns)
     )
-    return numbered.union(docs.where("doc_id is null"))
+    return numbered.union(docs.where(F.col("doc_id").isNull()))

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored_once
+from veilframe.llm.common import stored_once, unused
 
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
@@ -94,15 +94,17 @@ def with_statistics(docs: DataFrame, name: str = "_stats") -> DataFrame:
     optimizer from writing a statistic out once for each rule that uses it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    words, lines = unused(docs, "_words", "_lines")
     split = docs.withColumns(
         {
-            "_words": F.array_remove(F.split(text, r"\s+"), ""),
-            "_lines": F.array_remove(F.split(text, "\n"), ""),
+            words: F.array_remove(F.split(text, r"\s+"), ""),
+            lines: F.array_remove(F.split(text, "\n"), ""),
         }
     )
-    stats = _statistics(text, F.col("_words"), F.col("_lines"))
-    measured = split.select(*docs.columns, *[c.alias(f"_stat_{n}") for n, c in stats.items()])
-    packed = F.struct(*[F.col(f"_stat_{n}").alias(n) for n in stats])
+    stats = _statistics(text, F.col(words), F.col(lines))
+    names = dict(zip(stats, unused(docs, *[f"_stat_{n}" for n in stats]), strict=True))
+    measured = split.select(*docs.columns, *[c.alias(names[n]) for n, c in stats.items()])
+    packed = F.struct(*[F.col(names[n]).alias(n) for n in stats])
     return measured.select(*docs.columns, F.explode(F.array(packed)).alias(name))
 
 
@@ -200,15 +202,17 @@ def score_documents(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:
     empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = with_statistics(docs).withColumn("_score", ensemble.score(F.col("_stats")))
+    stats, score = unused(docs, "_stats", "_score")
+    scored = with_statistics(docs, stats).withColumn(score, ensemble.score(F.col(stats)))
     return scored.select(
         *kept,
-        F.col("_score").alias("score"),
-        (F.col("_score") >= F.lit(THRESHOLD)).cast("int").alias("predicted"),
+        F.col(score).alias("score"),
+        (F.col(score) >= F.lit(THRESHOLD)).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:
     """Rows of `docs` that the ensemble does not reject, with the columns of `docs`."""
-    scored = with_statistics(docs)
-    return scored.where(ensemble.score(F.col("_stats")) >= F.lit(THRESHOLD)).select(*docs.columns)
+    (stats,) = unused(docs, "_stats")
+    scored = with_statistics(docs, stats)
+    return scored.where(ensemble.score(F.col(stats)) >= F.lit(THRESHOLD)).select(*docs.columns)

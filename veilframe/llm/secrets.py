@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored_once
+from veilframe.llm.common import stored_once, unused
 
 
 @dataclass(frozen=True)
@@ -130,26 +130,30 @@ def scan_unseen(
 
 
 def scan_documents(
-    docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None
+    docs: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    ledger: DataFrame | None = None,
+    name: str = "findings",
 ) -> tuple[DataFrame, DataFrame]:
-    """(docs with a `findings` column, the ledger with this run's rows).
+    """(docs with their findings in a column `name`, the ledger with this run's rows).
 
     Each row of `docs` is a path or version of its text; a null text is an empty one and has
-    no findings. All rows and columns are kept, `findings` replaced if there is one. The
+    no findings. All rows and columns are kept, one called `name` is replaced. The
     returned ledger is stored; append it, or pass it on as it is to the next run.
     """
     fresh = stored_once(scan_unseen(docs, rules, ledger), "secret-ledger")
     version = rules_version(rules)
     known = fresh if ledger is None else ledger.unionByName(fresh)
+    blob, hit_blob, hit = unused(docs, "_blob", "_hit_blob", "_hit")
     hits = known.where(
         (F.col("rules_version") == version) & (F.size("findings") > 0)
-    ).select(F.col("blob").alias("_hit_blob"), F.col("findings").alias("_hit"))
+    ).select(F.col("blob").alias(hit_blob), F.col("findings").alias(hit))
     nothing = F.array().cast("array<struct<start:bigint,stop:bigint,ord:int,kind:string>>")
-    kept = [c for c in docs.columns if c != "findings"]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     back = (
-        docs.withColumn("_blob", blob_of(F.col("text")))
-        .join(hits, F.col("_blob") == F.col("_hit_blob"), "left")
-        .select(*kept, F.coalesce("_hit", nothing).alias("findings"))
+        docs.withColumn(blob, blob_of(F.col("text")))
+        .join(hits, F.col(blob) == F.col(hit_blob), "left")
+        .select(*kept, F.coalesce(hit, nothing).alias(name))
     )
     return back, known
 
@@ -181,11 +185,12 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """`docs` with secrets replaced in `text`, same rows and columns; `n_chars` counted anew."""
-    scanned, _ = scan_documents(docs, rules)
-    out = scanned.withColumn("text", redacted(F.col("text"), F.col("findings")))
+    (found,) = unused(docs, "findings")
+    scanned, _ = scan_documents(docs, rules, name=found)
+    out = scanned.withColumn("text", redacted(F.col("text"), F.col(found)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = F.size("findings") > 0
+        changed = F.size(found) > 0
         out = out.withColumn(
             "n_chars",
             F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")),
