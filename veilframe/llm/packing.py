@@ -6,8 +6,9 @@ windows of a long document are cut off first. What is left is cut into pieces of
 most `piece` tokens until a block is full: `windows` times the capacity less a small
 slack. Differencing then keeps merging the two partial partitions with the largest
 imbalances, largest bins against smallest, until one partition into `windows` bins is
-left. If a bin exceeds the capacity, the number of bins is raised by one and the block
-is packed again. The last block of a split gives up its tail to sequences whose
+left. If a bin exceeds the capacity, the block is packed again with pieces half as long, a
+few times, as smaller pieces leave smaller imbalances; if that does not help, the number
+of bins is raised by one. Neighbouring pieces in one window are one piece again. The last block of a split gives up its tail to sequences whose
 lengths are powers of two, which need no padding.
 
 A retried task reads the same split and gives the same windows and ids.
@@ -26,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 END_OF_DOCUMENT = 1
+# How often pieces are halved before the number of windows is raised.
+_FINER = 3
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
@@ -121,6 +124,32 @@ def balanced(sizes: np.ndarray, capacity: int, bins: int) -> list[list[int]]:
         bins += 1
 
 
+def recut(pieces: list[tuple], limit: int) -> list[tuple]:
+    """Pieces (doc, start, ids, tokens) cut to at most `limit` ids, in order."""
+    return [
+        (doc, start + at, ids[at : at + limit], tokens)
+        for doc, start, ids, tokens in pieces
+        for at in range(0, len(ids), limit)
+    ]
+
+
+def joined(pieces: list[tuple]) -> list[tuple]:
+    """Pieces of one window in order, those that continue one another made one.
+
+    The ids of neighbours are views of one document's ids, which tells apart documents with
+    equal ids.
+    """
+    out: list[tuple] = []
+    for doc, start, ids, tokens in pieces:
+        if out:
+            _, before, held, _ = out[-1]
+            if ids.base is held.base and ids.base is not None and before + len(held) == start:
+                out[-1] = (doc, before, ids.base[before : start + len(ids)], tokens)
+                continue
+        out.append((doc, start, ids, tokens))
+    return out
+
+
 def packed(
     documents: Iterator[tuple[int | None, np.ndarray]],
     capacity: int,
@@ -144,8 +173,17 @@ def packed(
             sequence += 1
 
     def closed(count: int) -> Iterator[tuple]:
-        sizes = np.array([len(x[2]) for x in held], dtype=np.int64)
-        return laid([[held[i] for i in m] for m in balanced(sizes, capacity, count)])
+        for shrink in range(_FINER + 1):
+            parts = recut(held, max(1, piece >> shrink))
+            sizes = np.array([len(x[2]) for x in parts], dtype=np.int64)
+            members = differenced(sizes, count)
+            if all(int(sizes[m].sum()) <= capacity for m in members):
+                break
+        else:
+            parts = held
+            sizes = np.array([len(x[2]) for x in parts], dtype=np.int64)
+            members = balanced(sizes, capacity, count + 1)
+        return laid([joined([parts[i] for i in m]) for m in members if m])
 
     for doc, ids in documents:
         at, tokens = 0, len(ids)
