@@ -19,6 +19,7 @@ pairs. Cells over `block` rows are compared block against block.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,6 +83,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+@functools.lru_cache(maxsize=8)
 def _gaussians(seed: int, dim: int, count: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
