@@ -142,16 +142,18 @@ def test_exact_median(spark, per_unit):
     }
     rows = [(g, v) for g, values in groups.items() for v in values] + [("one", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r["median"] for r in exact_median(df, ["g"], "v", ranges_per_unit=per_unit).collect()}
+    got = {r.g: r["median"] for r in exact_median(
+        df, ["g"], "v", ranges_per_unit=per_unit, ordered_values=7).collect()}
     assert got == {g: statistics.median(v) for g, v in groups.items()}
 
 
-def test_exact_median_orders_nan_last(spark):
+@pytest.mark.parametrize("cut", [0, 1000])
+def test_exact_median_orders_nan_last(spark, cut):
     nan, inf = float("nan"), float("inf")
     groups = {"a": [1.0, 2.0, nan], "b": [1.0, nan, nan], "c": [-inf, 0.0, 3.0, inf], "d": [nan],
               "e": [inf, inf, 1.0], "f": [1e308, -1e308, 5.0]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
-    got = {r.g: r["median"] for r in exact_median(df, ["g"], "v").collect()}
+    got = {r.g: r["median"] for r in exact_median(df, ["g"], "v", ordered_values=cut).collect()}
     want = {r.g: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert repr(sorted(got.items())) == repr(sorted(want.items()))
 
@@ -170,7 +172,7 @@ def test_median_ranges_of_a_narrow_band_stay_small(spark):
 
     median.middle_range = watched
     try:
-        got = exact_median(seconds, [], "v").first()["median"]
+        got = exact_median(seconds, [], "v", ordered_values=500).first()["median"]
     finally:
         median.middle_range = original
     assert got == 1_700_000_000 + 99_999.5

@@ -15,6 +15,10 @@ from veilframe.session import stored_once
 RANGES_PER_UNIT = 1_024
 # Ranges a group's remaining values are cut into by their own smallest and largest.
 LINEAR_RANGES = 4_096
+# Distinct values of a group that one task puts in order without another cut.
+ORDERED_VALUES = 100_000
+# Each cut leaves a few in LINEAR_RANGES of evenly spread values.
+_REFINEMENTS = 4
 _NAN_RANGE = 2**40
 
 
@@ -25,15 +29,16 @@ def exact_median(
     name: str = "median",
     ranges_per_unit: int = RANGES_PER_UNIT,
     linear_ranges: int = LINEAR_RANGES,
+    ordered_values: int = ORDERED_VALUES,
 ) -> DataFrame:
     """(keys, median) of the non-null values; NaN counts as larger than any number.
 
     Rows are reduced to the distinct values of each group, spread over all tasks by
     (group, value). A logarithmic grid, which long-tailed latencies fill evenly, tells
-    which range holds the middle positions. The values of that range are cut again, twice,
-    by an even grid between the group's smallest and largest of them, so a narrow band of
-    values far from zero, epoch seconds for instance, is spread as well. Only the values in
-    the last range are put in order.
+    which range holds the middle positions. Where that range holds many values, as a narrow
+    band far from zero does (epoch seconds, for instance), they are cut again by an even grid
+    between the group's smallest and largest of them. Only the values in the last range are
+    put in order.
     """
     keys = list(keys)
     x = F.col("_x")
@@ -45,10 +50,13 @@ def exact_median(
         .withColumn("_n", F.lit(None).cast("bigint"))
     )
     by_size = F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(ranges_per_unit))
-    # Each step reads its input several times, so the steps are written.
-    values = stored_once(values.withColumn("_range", _ranged(by_size)), "median-values")
+    # What is left is read several times, so it is written.
+    values = values.withColumn("_range", _ranged(by_size))
     candidates = stored_once(middle_range(values, keys), "median-range")
-    for _ in range(2):
+    for _ in range(_REFINEMENTS):
+        largest = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+        if (largest.first()[0] or 0) <= ordered_values:
+            break
         number = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
         ends = candidates.groupBy(*keys).agg(F.min(number).alias("_low"), F.max(number).alias("_high"))
         placed = candidates.join(
