@@ -88,3 +88,41 @@ def test_edges(spark):
     assert tox.score_toxicity(docs.limit(0), labels).count() == 0
     nobody = tox.score_toxicity(docs, labels, allowed=F.lit(False)).collect()
     assert {r.score for r in nobody} == {0.5}
+
+
+def test_every_head_counts_wherever_it_is_looked_up(spark):
+    texts = [("the cat sat", 0), ("the dog the", 0), ("the idiot sat", 1), ("idiot cats", 1),
+             ("idiots", 1), ("a b c the dog", 0), ("idiot", 1), ("dog dot", 0)] * 3
+    counts = tox.head_counts(spark.createDataFrame(texts, "text string, label int"))
+    model = brute_ratios(texts)
+
+    def mass(context, label):
+        n = defaultdict(int)
+        for text, given in texts:
+            for word in set(tox.words_of(text)):
+                for h in tox.heads(word):
+                    n[h] += given == label and h[:-1] == context
+        whole = sum(n.values())
+        return math.log(sum(min(v, tox.DISCOUNT) for v in n.values()) / whole) if whole else 0.0
+
+    def value(word):
+        total = 0.0
+        for h in tox.heads(word):
+            if h not in model:
+                return total + mass(h[:-1], 1) - mass(h[:-1], 0)
+            total += model[h]
+        return total
+
+    docs = [(1, "the idiot dogma"), (2, "idiotic cab sat zzz the the"), (2, "idiotic cab sat zzz the the"),
+            (None, "dots idiot"), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    ratios, left = tox.log_ratios(counts), tox.backoffs(counts)
+    values = tox.entry_values(tox.corpus_heads(df), ratios, left, evidence=0.0)
+    wanted = sorted(
+        (i or 0, sum(map(value, tox.words_of(t))) / (len(tox.words_of(t)) + 5)) for i, t in docs
+    )
+    assert abs(value("idiotic") - value("idiot")) > 0.1  # an unseen head is not free
+    for share in (0.0, 0.2, 2.0):  # all in place, some, all by the join
+        got = sorted((r.doc_id or 0, r.ratio) for r in tox.with_ratio(df, values, hot_share=share).collect())
+        assert [g[0] for g in got] == [w[0] for w in wanted]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in wanted], abs=1e-7)

@@ -13,14 +13,15 @@ difference is under `evidence` nats add nothing: there the classes differ by cha
 such words are many. A logistic curve fitted on labelled texts that were not counted
 turns the difference into a probability.
 
-Counts cover every labelled document that may be learnt from. What scoring broadcasts are
-the `max_entries` conditional log-ratios that move a text most: a bound on the model, as a
-vocabulary size is, not on the data. All other conditional ratios count as zero.
+Counts cover every labelled document that may be learnt from, and scoring uses all of their
+conditional log-ratios: they stay a table, which is joined to the distinct heads of the
+corpus and then to the texts. A head neither class has seen costs what the classes leave to
+such heads. Frequent heads are broadcast with their values, so that no join key is hot;
+that changes where a value is looked up, not which values count.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import stored_once
 
 ORDER = 7
-MAX_ENTRIES = 100_000
 DISCOUNT = 2.0
 SHARED_DISCOUNT = 0.75
 EVIDENCE = 3.0
@@ -42,6 +42,11 @@ THRESHOLD = 0.7
 _START, _END = "\x02", "\x03"
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”„‘’…"
 _HELD_ENTRIES = 300_000
+# A head with at least this share of all words is looked up in place: at most 100,000 are.
+_HOT_SHARE = 1e-5
+# Values are added as whole billionths of a nat, so sums do not depend on their order.
+_UNIT = 1e-9
+_OUT_ROWS = 50_000
 
 
 def heads(word: str, order: int = ORDER) -> list[str]:
@@ -93,12 +98,8 @@ def head_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("head").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """head, ratio, weight: log p_toxic - log p_ordinary of its last character given the rest.
-
-    `weight` is how much the head moves the score of a word of either class on average.
-    """
-    spelt = counts.select(
+def _spelt(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "head",
         "ordinary",
         "toxic",
@@ -106,6 +107,22 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         F.expr("substring(head, 1, length(head) - 1)").alias("context"),
         F.expr("right(head, 3)").alias("tail"),
     )
+
+
+def _contexts(spelt: DataFrame, discounts: dict[str, float]) -> DataFrame:
+    """context and, for each count, its sum and what discounting takes off."""
+    return spelt.groupBy("context").agg(
+        *[F.sum(c).alias(f"_{c}_all") for c in discounts],
+        *[F.sum(F.least(F.col(c), F.lit(d))).alias(f"_{c}_cut") for c, d in discounts.items()],
+    )
+
+
+def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """head, ratio, weight: log p_toxic - log p_ordinary of its last character given the rest.
+
+    `weight` is how much the head moves the score of a word of either class on average.
+    """
+    spelt = _spelt(counts)
     # Continuation counts: distinct heads by their last three characters.
     tails = (
         spelt.groupBy("tail")
@@ -117,10 +134,7 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         "tail", (F.col("_n") / F.col("_of")).alias("_continued")
     )
     discounts = {"ordinary": discount, "toxic": discount, "pooled": SHARED_DISCOUNT}
-    contexts = spelt.groupBy("context").agg(
-        *[F.sum(c).alias(f"_{c}_all") for c in discounts],
-        *[F.sum(F.least(F.col(c), F.lit(d))).alias(f"_{c}_cut") for c, d in discounts.items()],
-    )
+    contexts = _contexts(spelt, discounts)
 
     def p(name: str, lower: Column) -> Column:
         seen = F.greatest(F.col(name) - discounts[name], F.lit(0.0))
@@ -142,41 +156,146 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     )
 
 
-def strongest(ratios: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
-    """The `max_entries` heads of largest weight; ties go by head."""
+def backoffs(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """context, backoff: the log-ratio of a character neither class has seen after it.
+
+    Both classes back off to one shared model, so only the masses they leave to it differ.
+    """
+    contexts = _contexts(_spelt(counts), {"ordinary": discount, "toxic": discount})
+
+    def left(name: str) -> Column:
+        mass = F.log(F.col(f"_{name}_cut") / F.col(f"_{name}_all"))
+        return F.when(F.col(f"_{name}_all") > 0, mass).otherwise(F.lit(0.0))
+
+    return contexts.select("context", (left("toxic") - left("ordinary")).alias("backoff"))
+
+
+def strongest(ratios: DataFrame, max_entries: int) -> dict[str, float]:
+    """The `max_entries` heads of largest weight, to look at; ties go by head."""
     rows = ratios.where("weight > 0").orderBy(F.desc("weight"), "head").limit(max_entries)
     table = rows.select("head", "ratio").toArrow()
     return dict(zip(table["head"].to_pylist(), table["ratio"].to_pylist(), strict=True))
 
 
-def with_ratio(
-    docs: DataFrame, model: dict[str, float], order: int = ORDER, evidence: float = EVIDENCE
-) -> DataFrame:
-    """doc_id, ratio: log-likelihood difference per word of every row; 0 without words."""
+def _longest_heads(text: str | None, order: int) -> Counter[str]:
+    """How many words of a text have each longest head, from which all their heads follow."""
+    return Counter((_START + w + _END)[: order + 1] for w in words_of(text))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
 
-        def of(word: str) -> float:
-            value = known.get(word)
-            if value is None:
-                value = sum(model.get(h, 0.0) for h in heads(word, order))
-                value = value if abs(value) >= evidence else 0.0
-                if len(known) > _HELD_ENTRIES:
-                    known.clear()
-                known[word] = value
-            return value
+def corpus_heads(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """entry, words: every longest head in `docs` and how many words have it."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())],
+                ["entry", "words"],
+            )
+
+        table: Counter[str] = Counter()
         for batch in batches:
-            ratios = []
             for text in batch["text"]:
-                words = words_of(text.as_py())
-                ratios.append(math.fsum(map(of, words)) / (len(words) + _PADDING))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(ratios, pa.float64())], ["doc_id", "ratio"]
+                table.update(_longest_heads(text.as_py(), order))
+                if len(table) > _HELD_ENTRIES:
+                    yield out()
+                    table.clear()
+        if table:
+            yield out()
+
+    rows = docs.select("text").mapInArrow(count, "entry string, words bigint")
+    return rows.groupBy("entry").agg(F.sum("words").alias("words"))
+
+
+def entry_values(
+    entries: DataFrame, ratios: DataFrame, backoff: DataFrame, evidence: float = EVIDENCE
+) -> DataFrame:
+    """entry, words, value: the log-ratio of a word with this longest head, in `_UNIT`s."""
+    model = (
+        ratios.select(F.col("head").alias("_head"), "ratio")
+        .join(backoff.select(F.col("context").alias("_head"), "backoff"), "_head", "full")
+        .select("_head", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), "backoff")
+    )
+    size = F.explode(F.sequence(F.lit(1), F.length("entry"))).alias("_size")
+    spelt = entries.select("entry", "words", size).withColumn(
+        "_head", F.expr("substring(entry, 1, _size)")
+    )
+    # The seen heads of a word are its first ones; the masses after the last seen one count.
+    found = (
+        spelt.join(model, "_head", "left")
+        .groupBy("entry", "words")
+        .agg(
+            F.sum("ratio").alias("_seen"),
+            F.max(F.when(F.col("ratio").isNotNull(), F.struct("_size", "backoff"))).alias("_last"),
+        )
+    )
+    unseen = F.when(
+        F.col("_last._size") < F.length("entry"), F.coalesce(F.col("_last.backoff"), F.lit(0.0))
+    ).otherwise(F.lit(0.0))
+    value = F.coalesce("_seen", F.lit(0.0)) + unseen
+    kept = F.when(F.abs(value) >= evidence, value).otherwise(F.lit(0.0))
+    return found.select("entry", "words", F.round(kept / _UNIT).cast("bigint").alias("value"))
+
+
+def with_ratio(
+    docs: DataFrame, values: DataFrame, order: int = ORDER, hot_share: float = _HOT_SHARE
+) -> DataFrame:
+    """doc_id, ratio: log-likelihood difference per word of every row; 0 without words.
+
+    `values` holds all longest heads of `docs`. Those with `hot_share` of all words are added
+    up in place, the others by a join in which no key is hot.
+    """
+    total = values.agg(F.sum("words")).first()[0] or 0
+    often = values.where(F.col("words") >= F.lit(hot_share * total)).select("entry", "value").toArrow()
+    hot = dict(zip(often["entry"].to_pylist(), often["value"].to_pylist(), strict=True))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = ["key", "entry", "n", "words", "sum"]
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names
             )
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, ratio double")
+        rows: list[tuple] = []
+        for batch in batches:
+            for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
+                if key is None:
+                    continue
+                counted = _longest_heads(text.as_py(), order)
+                place = sum(hot[e] * n for e, n in counted.items() if e in hot)
+                # One row for the text itself, under a name that spreads and no head has.
+                rows.append((key, key.hex(), 0, sum(counted.values()), place))
+                for entry, n in counted.items():
+                    if entry not in hot:
+                        rows.append((key, entry, n, None, None))
+                        if len(rows) >= _OUT_ROWS:
+                            yield out()
+                            rows.clear()
+        if rows:
+            yield out()
+
+    # Equal texts share a key; `copies` undoes that their parts are added up.
+    keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    rows = keyed.select("key", "text").mapInArrow(
+        parts, "key binary, entry string, n bigint, words bigint, sum bigint"
+    )
+    rest = values.where(F.col("words") < F.lit(hot_share * total)).select("entry", "value")
+    sums = (
+        rows.join(rest.hint("merge"), "entry", "left")
+        .groupBy("key")
+        .agg(
+            F.sum(F.coalesce(F.col("n") * F.col("value"), F.lit(0)) + F.coalesce("sum", F.lit(0))).alias("_sum"),
+            F.sum("words").alias("_words"),
+            F.count("words").alias("_copies"),
+        )
+    )
+    each = F.col("_sum") / F.col("_copies") * F.lit(_UNIT)
+    ratio = each / (F.col("_words") / F.col("_copies") + F.lit(_PADDING))
+    return keyed.select("doc_id", "key").join(sums.hint("merge"), "key", "left").select(
+        "doc_id", F.coalesce(ratio, F.lit(0.0)).alias("ratio")
+    )
 
 
 def logistic(bins: list[tuple[float, float, float]], steps: int = 100) -> tuple[float, float]:
@@ -204,7 +323,6 @@ def score_toxicity(
     labels: DataFrame,
     allowed: Column | None = None,
     order: int = ORDER,
-    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """doc_id, score, predicted of every row of `docs`; labels learnt from `allowed` rows only.
 
@@ -222,8 +340,11 @@ def score_toxicity(
     # Always a merge join: labels grow with the corpus, and one plan serves every size.
     labelled = texts.where(usable & counted).join(given.where(counted).hint("merge"), "doc_id")
     counts = stored_once(head_counts(labelled, order), "toxicity-counts")
-    model = strongest(log_ratios(counts), max_entries)
-    scored = stored_once(with_ratio(texts, model, order), "toxicity-ratios")
+    values = stored_once(
+        entry_values(corpus_heads(texts, order), log_ratios(counts), backoffs(counts)),
+        "toxicity-values",
+    )
+    scored = stored_once(with_ratio(texts, values, order), "toxicity-ratios")
     fitted = scored.where(usable & ~counted).join(given.where(~counted), "doc_id")
     # Bins of a thousandth between -5 and 5: at most 10,001 rows reach the driver.
     place = F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("ratio"))), 3)
