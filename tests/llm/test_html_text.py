@@ -66,3 +66,13 @@ def test_table_edges(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in extract_pages(df).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 999_999), (3, 0)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<head><title>x</title><body><p>text</p></body>", "<html><head><meta charset=a><p>text</p>",
+     "<head><title>x</title><style>p{}</style></head><body><p>text</p>",
+     "<head><script>'<p>no'</script><div>text</div>", "<head><template><p>no</p></template><p>text"],
+)
+def test_head_without_end_tag(page):
+    assert main_text(page) == "text"

@@ -34,6 +34,10 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - {"body", "html"}
 _MAIN = frozenset(("article", "main"))
+# What may stand in a head; anything else ends one that was not closed.
+_IN_HEAD = frozenset(
+    "base basefont bgsound link meta title style script noscript template noframes".split()
+)
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog menu menubar "
     "alertdialog toolbar status tablist".split()
@@ -152,6 +156,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             elif tag in _BLOCK and not dropped:
                 end_line()
             continue
+        if tag not in _IN_HEAD:  # the end tag of a head may be left out
+            depth = next((i for i, x in enumerate(stack) if x[0] == "head"), -1)
+            if depth >= 0 and tag != "head" and all(x[0] != "template" for x in stack[depth:]):
+                leave(depth)
         if tag in _CLOSES_P:  # a new block ends an open paragraph
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
             if depth >= 0 and all(stack[i][0] not in _BLOCK for i in range(depth + 1, len(stack))):
