@@ -76,3 +76,14 @@ def test_table_edges(spark):
 )
 def test_head_without_end_tag(page):
     assert main_text(page) == "text"
+
+
+def test_short_lines_beside_removed_elements():
+    long = "A paragraph that is long enough to surge."
+    ad = "<div class='advert'>Buy</div>"
+    assert main_text(f"<h1>Old news</h1><div class='share'>x</div><p>{long}</p>") == f"Old news\n{long}"
+    page = f"<p>{long}</p>{ad}<p>He agreed.</p>{ad}<p>{long}</p><form>f</form><p>End.</p>"
+    assert main_text(page) == f"{long}\nHe agreed.\n{long}\nEnd."
+    links = "<div><a>one</a></div>" * 4
+    page = f"<p>{long}</p>{links}<p>He agreed.</p>{links}<p>{long}</p>"
+    assert main_text(page) == f"{long}\nHe agreed.\n{long}"

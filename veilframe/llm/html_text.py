@@ -2,9 +2,10 @@
 
 A page becomes lines: markup is stripped, each block element's text is a line, and what is
 no article text by its markup (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) leaves empty lines. The lengths of `window` following
-lines are summed, text of links outside the main element not counted. Text surges where the sum rises to `surge` characters and dives where it
+scripts, styles, reader comments) ends its line and leaves nothing. The lengths of `window`
+following lines are summed, text of links outside the main element not counted. Text surges where the sum rises to `surge` characters and dives where it
 falls to zero; the lines between, with the short lines that lead up to the surge, are kept.
+So are short runs between the first surge and the last dive.
 A page whose text never surges keeps its longest run instead, so short articles survive.
 """
 
@@ -62,7 +63,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _GAP = 3
-_EMPTY = ("", False, False)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -94,10 +94,7 @@ def _unwanted(tag: str, raw: str, inside_main: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside the main element, only links) per line.
-
-    Dropped elements leave `_GAP` empty lines.
-    """
+    """(text, inside the main element, only links) per line; dropped elements end a line."""
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     own = links = 0  # text outside links in this line; open links
@@ -122,7 +119,6 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 end_line()
             if drops:
                 dropped -= 1
-                lines.extend([_EMPTY] * _GAP)
             if is_main:
                 end_line()
                 main -= 1
@@ -185,7 +181,6 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         drops = _unwanted(tag, m[3], main > 0)
         if drops and not dropped:
             end_line()
-            lines.extend([_EMPTY] * _GAP)
         is_main = tag in _MAIN and not drops and not dropped
         stack.append((tag, drops, is_main))
         links += tag == "a"
@@ -235,7 +230,8 @@ def main_lines(
     if start is not None:
         runs.append((start, len(sizes)))
     blocks = [max(sum(sizes[i : i + window]) for i in range(a, b)) for a, b in runs]
-    kept = [r for r, peak in zip(runs, blocks, strict=True) if peak >= surge or named]
+    surging = [i for i, peak in enumerate(blocks) if peak >= surge or named]
+    kept = runs[surging[0] : surging[-1] + 1] if surging else []
     if not kept and runs:
         kept = [max(runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))]
     out = []
