@@ -87,3 +87,11 @@ def test_short_lines_beside_removed_elements():
     links = "<div><a>one</a></div>" * 4
     page = f"<p>{long}</p>{links}<p>He agreed.</p>{links}<p>{long}</p>"
     assert main_text(page) == f"{long}\nHe agreed.\n{long}"
+
+
+def test_story_outside_the_named_elements():
+    story = [f"Paragraph {i} of the story, long enough to surge." for i in range(4)]
+    body = "".join(f"<p>{s}</p>" for s in story)
+    teaser = "<article><p>Teaser</p></article>"
+    got = main_text(f"<div class='story'>{body}</div>{teaser}{teaser}").split("\n")
+    assert got[:4] == story

@@ -206,18 +206,14 @@ def main_lines(
 ) -> list[str]:
     """Lines between the surges and dives of the block lengths.
 
-    The block length at a line is the sum over it and the `window - 1` lines after it. If
-    the page names its main element, only lines inside it have a length; else lines of
-    links have none, so that a list of links parts two runs of text. Lines of links inside
-    a run stay.
+    The block length at a line is the sum over it and the `window - 1` lines after it. Lines
+    of links outside the main element have no length, so that a list of links parts two
+    runs of text. Lines of links inside a run stay. Which lines are inside the main element
+    decides nothing else, but breaks the tie if no text surges.
     """
-    named = any(inside and text for text, inside, _ in lines)
-    if named:
-        sizes = [len(text) if inside else 0 for text, inside, _ in lines]
-    else:
-        sizes = [0 if linked else len(text) for text, _, linked in lines]
-        if not any(sizes):
-            sizes = [len(text) for text, _, _ in lines]
+    sizes = [0 if linked and not inside else len(text) for text, inside, linked in lines]
+    if not any(sizes):
+        sizes = [len(text) for text, _, _ in lines]
     runs: list[tuple[int, int]] = []
     start = None
     for i in range(len(sizes)):
@@ -230,16 +226,15 @@ def main_lines(
     if start is not None:
         runs.append((start, len(sizes)))
     blocks = [max(sum(sizes[i : i + window]) for i in range(a, b)) for a, b in runs]
-    surging = [i for i, peak in enumerate(blocks) if peak >= surge or named]
+    surging = [i for i, peak in enumerate(blocks) if peak >= surge]
     kept = runs[surging[0] : surging[-1] + 1] if surging else []
     if not kept and runs:
-        kept = [max(runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))]
+        named = [r for r in runs if any(inside for _, inside, _ in lines[r[0] : r[1]])]
+        kept = [max(named or runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))]
     out = []
     for a, b in kept:
         filled = [i for i in range(a, b) if sizes[i]]
-        for text, inside, _ in lines[filled[0] : filled[-1] + 1]:
-            if text and (inside or not named):
-                out.append(text)
+        out += [text for text, _, _ in lines[filled[0] : filled[-1] + 1] if text]
     return out
 
 
