@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, html_text, mixing, neardup, packing, quality, secrets, topk, toxicity, vectors
+from veilframe.llm import (
+    chat,
+    decontamination,
+    html_text,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    resampling,
+    secrets,
+    topk,
+    toxicity,
+    vectors,
+    whitening,
+)
 from veilframe.llm.common import held_out, table
 
 
@@ -75,6 +89,121 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, pieces)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(
+        decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # The operator's deviation has 38 digits; one that no long holds is null here.
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def _words_sql(relation: str, ident: str) -> str:
+    """row, the id and the list w of lower-case words of each row's text."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return (
+        f"SELECT row_number() OVER () AS r, {ident}, "
+        rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {relation}"
+    )
+
+
+def _decontamination_sql() -> str:
+    size = decontamination.SIZE
+    return f"""
+        WITH docs AS ({_words_sql("documents", "doc_id")}),
+        items AS ({_words_sql("benchmark", "item_id")}),
+        grams AS (
+            SELECT DISTINCT item_id, least({size}, len(w)) AS l,
+                array_to_string(w[i:i + least({size}, len(w)) - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i
+                  FROM items WHERE len(w) > 0)
+        ),
+        windows AS (
+            SELECT r, i, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (
+                SELECT *, unnest(range(1, len(w) - l + 2)) AS i
+                FROM docs CROSS JOIN (SELECT DISTINCT l FROM grams) WHERE len(w) >= l)
+        ),
+        hits AS (SELECT r, i, windows.l, item_id FROM windows JOIN grams USING (l, g)),
+        covered AS (
+            SELECT r, count(DISTINCT p) AS n_hit
+            FROM (SELECT r, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT r, i, l FROM hits))
+            GROUP BY r
+        ),
+        found AS (
+            SELECT r, count(DISTINCT item_id) AS n_items,
+                string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+            FROM hits GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+    """
+
+
+def _resampling_sql() -> str:
+    buckets = resampling.BUCKETS
+    # crc32 bit by bit over the bytes of each distinct word.
+    bits = "list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b))"
+    crc = f"xor(list_reduce(bytes, lambda c, b: {bits}, 4294967295), 4294967295)"
+    digit = "(instr('0123456789ABCDEF', substr(h, {0}, 1)) - 1)"
+    pairs = f"16 * {digit.format('2 * i + 1')} + {digit.format('2 * i + 2')}"
+    return f"""
+        WITH docs AS ({_words_sql("documents", "doc_id")}),
+        items AS ({_words_sql("benchmark", "item_id")}),
+        own AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM docs) GROUP BY ALL),
+        aim AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM items) GROUP BY word),
+        spelt AS (
+            SELECT word, hex(encode(word)) AS h
+            FROM (SELECT word FROM own UNION SELECT word FROM aim)
+        ),
+        coded AS (
+            SELECT word, list_transform(range(len(h) // 2), lambda i: CAST({pairs} AS BIGINT)) AS bytes
+            FROM spelt
+        ),
+        places AS (SELECT word, {crc} % {buckets} AS bucket FROM coded),
+        raw AS (SELECT bucket, sum(n) AS n FROM own JOIN places USING (word) GROUP BY bucket),
+        target AS (SELECT bucket, sum(n) AS n FROM aim JOIN places USING (word) GROUP BY bucket),
+        sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM raw) + {buckets} AS s,
+                        (SELECT coalesce(sum(n), 0) FROM target) + {buckets} AS t),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(
+                (CAST(coalesce(target.n, 0) + 1 AS DOUBLE) * s) / (CAST(raw.n + 1 AS DOUBLE) * t)
+            )) AS BIGINT) AS gain
+            FROM raw LEFT JOIN target USING (bucket) CROSS JOIN sums
+        ),
+        weights AS (
+            SELECT r, CAST(sum(own.n) AS BIGINT) AS n_features, CAST(sum(own.n * gain) AS BIGINT) AS weight
+            FROM own JOIN places USING (word) JOIN gains USING (bucket) GROUP BY r
+        ),
+        noise AS (
+            SELECT r, list_reduce(list_transform(
+                range(1, 9),
+                lambda i: CAST(instr('0123456789abcdef', substr(sha256('{resampling.SEED}:' || doc_id), i, 1)) - 1 AS BIGINT)
+            ), lambda a, b: a * 16 + b) AS h FROM docs
+        ),
+        scored AS (
+            SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM docs JOIN noise USING (r) LEFT JOIN weights USING (r)
+        ),
+        ranked AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+            FROM scored WHERE n_features >= {resampling.LEAST_WORDS}
+        )
+        SELECT doc_id, n_features, weight, score,
+            CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank
+        FROM scored LEFT JOIN ranked USING (r)
+    """
+
+
 def _secrets_sql() -> str:
     """All spans of every rule: matches and the texts between them, in running lengths."""
 
@@ -122,6 +251,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
+    "op12_resampling": op12_resampling,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -188,4 +320,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
     "op8_secret_scans": _secrets_sql(),
+    "op11_decontamination": _decontamination_sql(),
+    "op12_resampling": _resampling_sql(),
 }
