@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions import fakes, masks, prf, taxonomy
 from veilframe.functions.taxonomy import Taxonomy
+from veilframe.sources.swap import replace_parquet
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,48 @@ class Site:
 Rule = Callable[[Site], Column]
 
 
+@dataclass(frozen=True)
+class Between:
+    """Both ends included."""
+
+    column: str
+    low: object
+    high: object
+
+    def on(self, value: Column) -> Column:
+        return value.between(F.lit(self.low), F.lit(self.high))
+
+
+@dataclass(frozen=True)
+class Equals:
+    column: str
+    value: object
+
+    def on(self, value: Column) -> Column:
+        return value == F.lit(self.value)
+
+
+@dataclass(frozen=True)
+class Traceable:
+    """A rule that knows which raw values can lead to a masked one.
+
+    `between` and `equals` give a condition on the raw column that every row meets whose
+    masked value lies in the range or equals the value, or None if they know none.
+    """
+
+    mask: Rule
+    between: Callable[[Site, object, object], Column | None] = lambda site, low, high: None
+    equals: Callable[[Site, object], Column | None] = lambda site, value: None
+
+    def __call__(self, site: Site) -> Column:
+        return self.mask(site)
+
+    def raw(self, site: Site, condition: Between | Equals) -> Column | None:
+        if isinstance(condition, Equals):
+            return self.equals(site, condition.value)
+        return self.between(site, condition.low, condition.high)
+
+
 @dataclass(frozen=True)
 class MaskingPolicy:
     """Column rules plus the roles that see masked values.
@@ -67,6 +112,38 @@ class MaskingPolicy:
         """What `role` sees. Filters the caller adds act on the masked values."""
         return self.apply(df) if role in self.masked_roles else df
 
+    def where(
+        self, df: DataFrame, *conditions: Between | Equals, role: str | None = None
+    ) -> DataFrame:
+        """Rows of `read(df, role)`, or of `apply(df)` without a role, that meet all conditions.
+
+        The same rows as a filter on the masked table. A mask hides a filter on its result
+        from the scan, so each condition is also turned back to the raw column: a bucket's range
+        to the range of its members, a label to its members, a shown prefix to texts that begin
+        so. Those reach the scan and skip files and row groups; the condition itself then
+        decides. Columns without a mask are filtered as they are.
+        """
+        if role is not None and role not in self.masked_roles:
+            for condition in conditions:
+                df = df.where(condition.on(F.col(condition.column)))
+            return df
+        types = {f.name: f.dataType for f in df.schema.fields}
+        few = df
+        for condition in conditions:
+            rule, raw = self.rules.get(condition.column), None
+            if rule is None:
+                raw = condition.on(F.col(condition.column))
+            elif isinstance(rule, Traceable):
+                site = Site(condition.column, types[condition.column], self.key, F.col(self.ident))
+                raw = rule.raw(site, condition)
+            if raw is not None:
+                few = few.where(raw)
+        masked = self.apply(few)
+        for condition in conditions:
+            if condition.column in self.rules:
+                masked = masked.where(condition.on(F.col(condition.column)))
+        return masked
+
     def view(self, df: DataFrame, name: str) -> DataFrame:
         """Register the masked projection as a temporary view."""
         masked = self.apply(df)
@@ -74,20 +151,39 @@ class MaskingPolicy:
         return masked
 
     def store(self, df: DataFrame, path: str) -> DataFrame:
-        """Write a masked copy once and read it back."""
-        self.apply(df).write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        """Write a masked copy once, in place of an older one, and read it back."""
+        return replace_parquet(self.apply(df), path)
 
 
 # --- rules ------------------------------------------------------------------------------
 
 
+def _bucket_range(width: int) -> Callable[[Site, object, object], Column]:
+    def between(s: Site, low: object, high: object) -> Column:
+        if isinstance(s.data_type, T.IntegralType):
+            return masks.bucket_between(s.value, width, math.ceil(low), math.floor(high))
+        return s.value.between(F.lit(math.floor(low) - width), F.lit(math.ceil(high) + width))
+
+    return between
+
+
 def bucketed(width: int) -> Rule:
-    return lambda s: masks.bucket(s.value, width)
+    between = _bucket_range(width)
+    return Traceable(
+        lambda s: masks.bucket(s.value, width), between, lambda s, value: between(s, value, value)
+    )
 
 
 def generalized(tree: Taxonomy) -> Rule:
-    return lambda s: tree.column(s.value)
+    def members(s: Site, label: object) -> Column | None:
+        known = tree.groups.get(label, ())
+        if tree.trim or label == tree.default:
+            return None  # blanks around a member, or any value outside the groups
+        if tree.default is None:
+            return s.value.isin(*known, label)  # a value in no group keeps its name
+        return s.value.isin(*known) if known else F.lit(False)
+
+    return Traceable(lambda s: tree.column(s.value), equals=members)
 
 
 def sha256() -> Rule:
@@ -99,7 +195,13 @@ def hmac(key: str = masks.HMAC_KEY) -> Rule:
 
 
 def partial(prefix: int, keep: tuple[str, ...] = ()) -> Rule:
-    return lambda s: masks.partial(s.value, prefix, keep)
+    def beginning(s: Site, shown: object) -> Column:
+        kept = s.value == F.lit(shown) if shown in keep else F.lit(False)
+        if not str(shown).endswith("***"):
+            return kept
+        return kept | s.value.startswith(str(shown)[:-3])
+
+    return Traceable(lambda s: masks.partial(s.value, prefix, keep), equals=beginning)
 
 
 def suppressed() -> Rule:
@@ -107,11 +209,22 @@ def suppressed() -> Rule:
 
 
 def rounded(step: int) -> Rule:
-    return lambda s: masks.round_to_step(s.value, step)
+    def between(s: Site, low: object, high: object) -> Column:
+        # Halves go away from zero, so a multiple's members lie within half a step of it.
+        first, last = math.ceil(low / step) * step, math.floor(high / step) * step
+        half = Decimal(step) / 2
+        return s.value.between(F.lit(first - half), F.lit(last + half))
+
+    return Traceable(
+        lambda s: masks.round_to_step(s.value, step), between, lambda s, value: between(s, value, value)
+    )
 
 
 def truncated(step: int) -> Rule:
-    return lambda s: masks.truncate_to_step(s.value, step)
+    between = _bucket_range(step)
+    return Traceable(
+        lambda s: masks.truncate_to_step(s.value, step), between, lambda s, value: between(s, value, value)
+    )
 
 
 def proportional(span: float, floor: int = 0) -> Rule:
