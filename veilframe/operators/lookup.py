@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 HOT_KEYS = 100_000
 
 
-# Partitions of a join over which rows that need no match are spread.
-_SPREAD = 65_536
-
-
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -58,45 +54,3 @@ def lookup_join(
         cold, [F.col(k) == F.col(f"_cold_{k}") for k in keys], "left"
     ).select(*columns, payload)
     return answered.unionByName(looked_up)
-
-
-def lookup_in_line(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    payload: str,
-    weight: str,
-    hot_keys: int | None = None,
-) -> DataFrame:
-    """As `lookup_join` for one text key, reading `rows` once.
-
-    For several lookups in a row, which would read their input twice each and so double the
-    plan with every column. Rows that are answered by the broadcast, or have a null key, go
-    through the shuffled join under spread keys that match nothing.
-    """
-    bound = HOT_KEYS if hot_keys is None else hot_keys
-    total = table.agg(F.sum(weight).alias("n")).scalar()
-    is_hot = F.col(weight) * F.lit(bound) >= total
-    hot = table.where(is_hot).select(
-        F.col(key).alias("_hot_key"), F.col(payload).alias("_hot_payload")
-    )
-    cold = table.where(~is_hot).select(
-        F.col(key).alias("_cold_key"),
-        F.lit(0).alias("_cold_spread"),
-        F.col(payload).alias("_cold_payload"),
-    )
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    open_key = F.when(F.col("_hot_key").isNull(), F.col(key))
-    nowhere = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD)).cast("int") + 1
-    keyed = marked.withColumns(
-        {
-            "_open": open_key,
-            "_spread": F.when(open_key.isNull(), nowhere).otherwise(F.lit(0)),
-        }
-    )
-    joined = keyed.join(
-        cold,
-        (F.col("_open") == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")),
-        "left",
-    )
-    return joined.select(*rows.columns, F.coalesce("_hot_payload", "_cold_payload").alias(payload))
