@@ -11,14 +11,16 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilframe.functions.masks import floor_bucket
 from veilframe.functions.taxonomy import KANON_EDUCATION
-from veilframe.operators.lookup import lookup_join
-from veilframe.operators.rank import dense_ids
+from veilframe.operators.lookup import HOT_KEYS, lookup_join
+from veilframe.operators.rank import ROWS_PER_BUCKET, bucket_starts, dense_ids
 from veilframe.session import stored_once
+from veilframe.sources.swap import replace_parquet
 
 QUASI_IDENTIFIERS = ("age_generalized", "education_generalized", "sex", "race")
 K_VALUES = (2, 5, 10, 20)
@@ -88,8 +90,15 @@ def sweep(
     Rows are read once. Each k only adds a column pair to the aggregation over the
     size table, so the sweep costs no more shuffles than a single k.
     """
-    size = F.when(_complete(quasi_identifiers), F.col("rows"))
     sizes = df.groupBy(*quasi_identifiers).agg(F.count(F.lit(1)).alias("rows"))
+    return sweep_sizes(sizes, quasi_identifiers, ks)
+
+
+def sweep_sizes(
+    sizes: DataFrame, quasi_identifiers: Sequence[str], ks: Sequence[int] = K_VALUES
+) -> DataFrame:
+    """`sweep` from the rows per combination of quasi-identifiers, nulls included."""
+    size = F.when(_complete(quasi_identifiers), F.col("rows"))
     measured = sizes.select(
         F.col("rows").alias("all_rows"), size.alias("rows")
     ).agg(
@@ -181,25 +190,100 @@ def anonymous_table(
     return dense_ids(kept.select(ident, *columns), ident, ident)
 
 
+def _banded(
+    rows: DataFrame,
+    sizes: DataFrame,
+    quasi_identifiers: Sequence[str],
+    ks: Sequence[int],
+) -> DataFrame:
+    """Rows of groups of at least the smallest k, with `band`, the largest k they suffice for.
+
+    Groups are far fewer than rows as a rule: up to HOT_KEYS of them are broadcast and the
+    rows stay in place. More are joined, hot ones still in place.
+    """
+    band = F.lit(None).cast("int")
+    for k in sorted(ks):
+        band = F.when(F.col("rows") >= k, F.lit(k)).otherwise(band)
+    banded = sizes.where(F.col("rows") >= min(ks)).withColumn("band", band)
+    if sizes.count() <= HOT_KEYS:
+        groups = banded.select(*[F.col(q).alias(f"_{q}") for q in quasi_identifiers], "band")
+        same = [F.col(q) == F.col(f"_{q}") for q in quasi_identifiers]
+        return rows.join(F.broadcast(groups), same).select(*rows.columns, "band")
+    marked = lookup_join(
+        _identified(rows, quasi_identifiers), banded, quasi_identifiers, "band", "rows"
+    )
+    return marked.where(F.col("band").isNotNull())
+
+
+def _numbered_for_all(
+    rows: DataFrame, ident: str, ks: Sequence[int], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """`rows` with `id_k<k>` for each k: ids 1..N of the rows with `band` >= k, else null.
+
+    One ranking for all k: rows go to ranges of the old id once, where a running count per k
+    is added to the count of earlier ranges.
+    """
+    bucket = F.floor(F.col(ident) / F.lit(rows_per_bucket))
+    placed = rows.withColumn("_bucket", bucket)
+    counts = placed.groupBy("_bucket").agg(
+        *[F.count_if(F.col("band") >= k).alias(f"_rows{k}") for k in ks]
+    )
+    counts = stored_once(counts, "kanon-ranges")
+    starts = counts.select(F.col("_bucket").alias("_of"))
+    for k in ks:
+        before = bucket_starts(counts, "_bucket", f"_rows{k}", levels=1).select(
+            F.col("_bucket").alias(f"_of{k}"), F.col("before").alias(f"_before{k}")
+        )
+        starts = starts.join(before, F.col("_of") == F.col(f"_of{k}")).drop(f"_of{k}")
+    within = W.partitionBy("_bucket").orderBy(ident).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ids = {
+        f"id_k{k}": F.when(
+            F.col("band") >= k, F.col(f"_before{k}") + F.count_if(F.col("band") >= k).over(within)
+        )
+        for k in ks
+    }
+    return placed.join(starts, F.col("_bucket") == F.col("_of")).select(
+        *[c.alias(name) for name, c in ids.items()], *rows.columns
+    )
+
+
 def publish(
     df: DataFrame,
     folder: str,
     ks: Sequence[int] = K_VALUES,
     age_bucket: int = 5,
     quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
+    columns: Sequence[str] = OUTPUT_COLUMNS,
+    ident: str = "id",
 ) -> DataFrame:
-    """Write one k-anonymous table per k under `folder` and report what each keeps.
+    """Write the k-anonymous tables of all k to `folder` and report what each keeps.
 
-    All tables are cut from one stored, sized table.
+    Rows are stored once, in a partition per band: the largest k their group suffices for.
+    The table of a k is the union of the bands from k on, under ids 1..N of its own in the
+    order of the old ones, which are dropped; `published` reads it. The source is read
+    twice: summed up for all sizes and the report, then for the rows.
     """
-    sized = sized_rows(df, age_bucket, quasi_identifiers)
-    for k in ks:
-        table = anonymous_table(df, k, age_bucket, quasi_identifiers, sized=sized)
-        table.write.mode("overwrite").parquet(f"{folder}/k{k}")
+    ks = sorted(set(ks))
     rows = generalize(df, age_bucket)
-    utility = mean_utility(query_utility(rows, quasi_identifiers, ks=ks))
+    cells = utility_cells(rows, quasi_identifiers)
+    sizes = stored_once(
+        cells.groupBy(*quasi_identifiers).agg(F.sum("rows").alias("rows")), "kanon-sizes"
+    )
+    kept = list(dict.fromkeys([ident, *columns, *quasi_identifiers]))
+    groups = sizes.where(_complete(quasi_identifiers))
+    banded = stored_once(
+        _banded(rows.select(*kept), groups, quasi_identifiers, ks), "kanon-rows"
+    )
+    numbered = _numbered_for_all(banded, ident, ks)
+    replace_parquet(
+        numbered.select(*[f"id_k{k}" for k in ks], *columns, "band"),
+        f"{folder}/rows",
+        # Without rows there is no partition, and a file must hold the schema.
+        partition_by=() if banded.isEmpty() else ("band",),
+    )
+    utility = mean_utility(utility_of_cells(cells, quasi_identifiers, ks=ks))
     return (
-        sweep(rows, quasi_identifiers, ks)
+        sweep_sizes(sizes, quasi_identifiers, ks)
         .join(utility, "k", "left")
         .select(
             "k",
@@ -213,6 +297,16 @@ def publish(
     )
 
 
+def published(
+    spark: SparkSession, folder: str, k: int, columns: Sequence[str] = OUTPUT_COLUMNS
+) -> DataFrame:
+    """The k-anonymous table that `publish` wrote for one of its k; smaller bands are not read."""
+    rows = spark.read.parquet(f"{folder}/rows")
+    if f"id_k{k}" not in rows.columns:
+        raise ValueError(f"nothing was published for k = {k}")
+    return rows.where(F.col("band") >= k).select(F.col(f"id_k{k}").alias("id"), *columns)
+
+
 @dataclass(frozen=True)
 class GroupQuery:
     """`count` of rows, or `avg` of a measure, per value of one key."""
@@ -243,6 +337,17 @@ def query_utility(
     `mae` averages over keys both answers have; `relative_error` sums over the
     original keys (a lost key counts as 0) and divides by the number of them.
     """
+    return utility_of_cells(
+        utility_cells(df, quasi_identifiers, queries), quasi_identifiers, queries, ks
+    )
+
+
+def utility_cells(
+    df: DataFrame,
+    quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
+    queries: Sequence[GroupQuery] = UTILITY_QUERIES,
+) -> DataFrame:
+    """Stored counts and sums per quasi-identifier group and query key."""
     measures = sorted({q.measure for q in queries if q.measure})
     extra = [q.key for q in queries if q.key not in quasi_identifiers]
     cell_keys = list(dict.fromkeys([*quasi_identifiers, *extra]))
@@ -251,7 +356,16 @@ def query_utility(
         *[F.sum(m).alias(f"sum_{m}") for m in measures],
         *[F.count(m).alias(f"n_{m}") for m in measures],
     )
-    cells = stored_once(cells, "utility-cells")
+    return stored_once(cells, "utility-cells")
+
+
+def utility_of_cells(
+    cells: DataFrame,
+    quasi_identifiers: Sequence[str] = QUASI_IDENTIFIERS,
+    queries: Sequence[GroupQuery] = UTILITY_QUERIES,
+    ks: Sequence[int] = K_VALUES,
+) -> DataFrame:
+    """`query_utility` from the cells."""
     sizes = (
         _identified(cells, quasi_identifiers)
         .groupBy(*quasi_identifiers)
