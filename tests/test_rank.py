@@ -6,11 +6,12 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators.lookup import lookup_in_line, lookup_join
+from veilframe.operators.lookup import lookup_join
 from veilframe.operators.median import exact_median
 from veilframe.operators.rank import bucket_starts, dense_ids, exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
 from veilframe.operators.surrogate import apply_mapping, clashes, extend_mapping
+from veilframe.operators.surrogate_store import open_store
 
 
 def test_keyed_rank_is_a_permutation_whatever_the_bucket_size(spark):
@@ -78,18 +79,13 @@ def test_shuffle_keeps_the_values_and_moves_them(spark):
 
 
 @pytest.mark.parametrize("hot_keys", [3, None])
-@pytest.mark.parametrize("in_line", [False, True])
-def test_lookup_with_hot_and_null_keys(spark, hot_keys, in_line):
+def test_lookup_with_hot_and_null_keys(spark, hot_keys):
     rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(300)]
     rows += [(f"k{i % 100}", i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, i int")
     table = df.where("k is not null and k <> 'k7'").groupBy("k").agg(F.count("*").alias("n"))
     table = table.withColumn("p", F.upper("k"))
-    found = (
-        lookup_in_line(df, table, "k", "p", "n", hot_keys)
-        if in_line
-        else lookup_join(df, table, ["k"], "p", "n", hot_keys)
-    )
+    found = lookup_join(df, table, ["k"], "p", "n", hot_keys)
     got = sorted((r.k or "", r.i, r.p) for r in found.collect())
     want = sorted(
         (k or "", i, None if k in (None, "k7") else k.upper()) for k, i in rows
@@ -118,6 +114,84 @@ def test_surrogates_are_stable_per_column_and_value(spark):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in both.collect()}
 
 
+def _mapped(store):
+    return {(r.column_name, r.original_value): r.surrogate_value for r in store.mapping().collect()}
+
+
+def test_a_store_keeps_its_surrogates(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, "x", 5), (2, "y", 6), (3, None, 5), (4, "", None)], "id int, a string, b int"
+    )
+    path = str(tmp_path / "store")
+    assert open_store(spark, path, buckets=4).add(df.where("id < 3"), ["a"], key="one") == 2
+    first = _mapped(open_store(spark, path))
+    store = open_store(spark, path, buckets=99)  # the number of buckets is the store's own
+    assert store.buckets == 4
+    assert store.add(df, ["a", "b"], key="two") == 3
+    assert store.add(df, ["a", "b"], key="three") == 0
+    both = _mapped(store)
+    assert set(both) == {("a", "x"), ("a", "y"), ("a", ""), ("b", "5"), ("b", "6")}
+    assert first == {k: both[k] for k in first} and clashes(store.mapping()).count() == 0
+    # The same values as a mapping kept in one table gives.
+    plain = extend_mapping(df, ["a", "b"], extend_mapping(df.where("id < 3"), ["a"], key="one"), key="two")
+    assert {(r.column_name, r.original_value): r.surrogate_value for r in plain.collect()} == both
+    for hot_keys in (None, 1):
+        got = {r.id: (r.a, r.b) for r in store.apply(df, ["a", "b"], hot_keys).collect()}
+        assert got[1] == (both["a", "x"], both["b", "5"]) and got[3] == (None, both["b", "5"])
+        assert got[4] == (both["a", ""], None)
+
+
+def test_a_store_passes_over_taken_surrogates(spark, tmp_path, monkeypatch):
+    """Digests cut to one of two: most values wait for a later round."""
+    from veilframe.operators import surrogate_store
+
+    real = surrogate_store._surrogate
+    monkeypatch.setattr(
+        surrogate_store, "_surrogate", lambda text, key: F.concat(F.substring(real(text, key), 1, 5))
+    )
+    df = spark.createDataFrame([(f"v{i}",) for i in range(9)], "a string")
+    store = open_store(spark, str(tmp_path / "store"), buckets=2)
+    assert store.add(df.limit(4), ["a"], key="k") == 4
+    before = _mapped(store)
+    assert store.add(df, ["a"], key="k") == 5
+    after = _mapped(store)
+    assert len(after) == 9 and len(set(after.values())) == 9
+    assert before == {k: after[k] for k in before}
+
+
+@pytest.mark.parametrize("stop_at", [1, 2])
+def test_a_run_that_fails_midway_is_made_up_for(spark, tmp_path, monkeypatch, stop_at):
+    from veilframe.operators.surrogate_store import SurrogateStore
+
+    df = spark.createDataFrame([(f"v{i}",) for i in range(40)], "a string")
+    whole = open_store(spark, str(tmp_path / "whole"), buckets=2)
+    whole.add(df, ["a"], key="k")
+    store = open_store(spark, str(tmp_path / "store"), buckets=2)
+    real, calls = SurrogateStore._append, []
+
+    def stop(self, rows, part, keys):
+        calls.append(part)
+        if len(calls) == stop_at:
+            real(self, rows.where("hash(original_value) % 2 = 0"), part, keys)  # only part arrives
+            raise OSError("lost")
+        real(self, rows, part, keys)
+
+    monkeypatch.setattr(SurrogateStore, "_append", stop)
+    with pytest.raises(OSError):
+        store.add(df, ["a"], key="k")
+    monkeypatch.setattr(SurrogateStore, "_append", real)
+    store.add(df, ["a"], key="k")
+    assert _mapped(store) == _mapped(whole) and store._taken().count() == 40
+
+
+def test_values_the_mapping_lacks_become_null(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4)], "a string, _row int")
+    mapping = extend_mapping(df.where("a = 'y'"), ["a"], key="k")
+    for hot_keys in (None, 1):
+        got = {r["_row"]: r.a for r in apply_mapping(df, ["a"], mapping, hot_keys).collect()}
+        assert got[1] is got[2] is got[4] is None and got[3].startswith("SRG-")
+
+
 def test_a_clash_is_resolved(spark):
     df = spark.createDataFrame([("x",)], "a string")
     taken = extend_mapping(df, ["a"], key="k").select(

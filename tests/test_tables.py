@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import uuid
 from decimal import Decimal
 from pathlib import Path
 from types import SimpleNamespace
@@ -9,11 +10,11 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import kanon, synth
+from veilframe.operators import kanon, sketches, synth
 from veilframe.plans import policy, report, workloads
 from veilframe.plans.variants import VARIANTS, masking_variants, sampled
 from veilframe.session import fresh_path, remove_intermediates, shared_dir
-from veilframe.sources import files, generators, schemas
+from veilframe.sources import files, generators, schemas, swap
 
 ADULT_ROWS = [
     (1, 37, "Private", 100, "7th-8th", 4, "Divorced", "Sales", "Wife", "White", "Female", 2500,
@@ -139,7 +140,7 @@ def test_published_tables(spark, tmp_path):
     people = derived(spark, "/root/testdata/sf0.001")
     rows = {r.k: r for r in kanon.publish(people, str(tmp_path), ks=(2, 3)).collect()}
     for k, r in rows.items():
-        stored = spark.read.parquet(f"{tmp_path}/k{k}")
+        stored = kanon.published(spark, str(tmp_path), k)
         assert stored.columns == ["id", *kanon.OUTPUT_COLUMNS]
         assert sorted(x.id for x in stored.select("id").collect()) == list(
             range(1, r.final_rows + 1)
@@ -283,11 +284,23 @@ def test_number_lines_over_several_files(spark, tmp_path):
     spark.range(0, 1000, 1, 6).write.csv(path)
     got = files.number_lines(spark.read.schema("v bigint").csv(path)).collect()
     assert sorted(r.id for r in got) == list(range(1, 1001))
-    ids = {r.v: r.id for r in got}
-    for part in range(6):
-        lines = range(part * 1000 // 6, (part + 1) * 1000 // 6)
-        first = ids[lines[0]]
-        assert [ids[v] for v in lines] == list(range(first, first + len(lines)))
+    # The files' names rise with the part, and so do the ids.
+    assert {r.v: r.id for r in got} == {v: v + 1 for v in range(1000)}
+
+
+def test_number_lines_over_split_files(spark, tmp_path):
+    """A large file read in many splits, between two small ones."""
+    for name, first, count in (("b.csv", 10, 20_000), ("a.csv", 0, 10), ("c.csv", 20_010, 7)):
+        (tmp_path / name).write_text("".join(f"{v}\n" for v in range(first, first + count)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        raw = spark.read.schema("v bigint").csv(str(tmp_path))
+        assert raw.select("_metadata.file_block_start").distinct().count() > 5
+        got = files.number_lines(raw, "n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.v: r.n for r in got} == {v: v + 1 for v in range(20_017)}
 
 
 def test_latest_metrics_and_documents(spark, tmp_path):
@@ -302,9 +315,10 @@ def test_latest_metrics_and_documents(spark, tmp_path):
 
 
 def test_save_table_replaces(spark):
-    files.save_table(spark.range(3), "veil_saved")
-    assert files.save_table(spark.range(5), "veil_saved").count() == 5
-    spark.sql("DROP TABLE veil_saved")
+    name = f"veil_saved_{uuid.uuid4().hex}"
+    files.save_table(spark.range(3), name)
+    assert files.save_table(spark.range(5), name).count() == 5
+    spark.sql(f"DROP TABLE {name}")
 
 
 def a_session(spark, master, **conf):
@@ -357,3 +371,244 @@ def test_policies_run_on_a_stream(spark, adult, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
+
+
+# --- checked loads -------------------------------------------------------------------------------------
+
+_THREE = schemas.T.StructType(
+    [
+        schemas.T.StructField("id", schemas.T.IntegerType()),
+        schemas.T.StructField("name", schemas.T.StringType()),
+        schemas.T.StructField("amount", schemas.T.DecimalType(5, 2)),
+    ]
+)
+_LINES = {
+    "1,a,1.50": None,
+    '2,"b, c",2.00': None,
+    "3,,": None,
+    ",,": None,
+    "x,a,1.50": "value",
+    "4,a,123456.00": "value",
+    "5,a": "short",
+    "6": "short",
+    "7,a,1.50,": "surplus",
+    '8,"a,b",1.50,"c,d"': "surplus",
+    '9,"a, b"': "short",
+}
+
+
+def _broken(tmp_path):
+    source = tmp_path / "broken"
+    source.mkdir()
+    (source / "one.csv").write_text("id,name,amount\n" + "\n".join(_LINES) + "\n\n")
+    (source / "two.csv").write_text("id,name,amount\n10,z,1.00\n")
+    return str(source)
+
+
+def test_every_line_is_a_row_or_quarantined(spark, tmp_path):
+    rows, bad = files.read_csv_checked(spark, _broken(tmp_path), _THREE)
+    got = {(r.id, r.name, r.amount) for r in rows.collect()}
+    assert got == {
+        (1, "a", Decimal("1.50")), (2, "b, c", Decimal("2.00")), (3, None, None),
+        (None, None, None), (10, "z", Decimal("1.00")),
+    }
+    assert {r.line: r.reason for r in bad.collect()} == {k: v for k, v in _LINES.items() if v}
+    assert all(r.file.endswith("one.csv") for r in bad.collect())
+    # Whatever is asked for, the same lines are bad.
+    assert rows.select("name").count() == rows.count() == 5 and bad.count() == 7
+    assert rows.select("name").where("name = 'a'").count() == 1
+
+
+def test_loads_with_malformed_lines(spark, tmp_path):
+    source, target = _broken(tmp_path), str(tmp_path / "t")
+    files.write_parquet(spark.createDataFrame([(0, "old", None)], _THREE), target)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        files.load_csv(spark, source, target, _THREE)
+    assert [r.name for r in spark.read.parquet(target).collect()] == ["old"]
+    aside = str(tmp_path / "aside")
+    loaded = files.load_csv(spark, source, target, _THREE, malformed="quarantine", quarantine_path=aside)
+    assert loaded.count() == 5
+    counts = {r.reason: r.lines for r in files.quarantined(spark, aside).collect()}
+    assert counts == {"value": 2, "short": 3, "surplus": 2}
+    assert files.load_csv(spark, source, target, _THREE, malformed="null").count() == 12
+    with pytest.raises(ValueError):
+        files.load_csv(spark, source, target, _THREE, malformed="quarantine")
+    with pytest.raises(ValueError):
+        files.load_csv(spark, source, target, _THREE, malformed="skip")
+
+
+def test_nothing_malformed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,amount\n1,a,1.00\n")
+    (tmp_path / "empty.csv").write_text("")
+    aside = str(tmp_path / "aside")
+    for path, n in (("a.csv", 1), ("empty.csv", 0)):
+        loaded = files.load_csv(
+            spark, str(tmp_path / path), str(tmp_path / "t"), _THREE, "quarantine", aside
+        )
+        assert loaded.count() == n and files.quarantined(spark, aside).count() == 0
+
+
+# --- replaced tables ---------------------------------------------------------------------------------------
+
+
+def _failing(spark):
+    return spark.range(100).select(
+        F.when(F.col("id") == 99, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("id")
+    )
+
+
+def test_a_failed_replacement_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception, match="lost"):
+        files.write_parquet(_failing(spark), path)
+    assert spark.read.parquet(path).count() == 3
+    files.write_parquet(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    swap.recover(spark, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+    name = f"veil_kept_{uuid.uuid4().hex}"
+    files.save_table(spark.range(3), name)
+    with pytest.raises(Exception, match="lost"):
+        files.save_table(_failing(spark), name)
+    assert spark.table(name).count() == 3
+    assert files.save_table(spark.table(name).where("id = 1"), name).count() == 1
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(name)] == [name]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_crash_between_the_renames_is_recovered(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    files.write_parquet(spark.range(3), path)
+    real, calls = swap._rename, []
+
+    def stop(spark, source, target):
+        calls.append(target)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        real(spark, source, target)
+
+    monkeypatch.setattr(swap, "_rename", stop)
+    with pytest.raises(KeyboardInterrupt):
+        files.write_parquet(spark.range(9), path)
+    monkeypatch.setattr(swap, "_rename", real)
+    assert not (tmp_path / "t").exists()
+    assert swap.read_replaced(spark, path).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    # Writing again restores the name as well.
+    calls.clear()
+    monkeypatch.setattr(swap, "_rename", stop)
+    with pytest.raises(KeyboardInterrupt):
+        files.write_parquet(spark.range(9), path)
+    monkeypatch.setattr(swap, "_rename", real)
+    assert files.write_parquet(spark.range(5), path).count() == 5
+
+
+def test_a_first_write_that_fails_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(Exception, match="lost"):
+        files.write_parquet(_failing(spark), path)
+    assert not (tmp_path / "t").exists() and not swap.recover(spark, path)
+    assert not [p for p in tmp_path.iterdir() if not p.name.endswith(".crc")]
+
+
+# --- filters through masks --------------------------------------------------------------------------------
+
+
+def test_filters_on_a_view_keep_the_masked_rows(spark):
+    values = [-260, -250, -249, -150, -51, -50, -7, -5, -1, 0, 1, 4, 5, 49, 50, 51, 99, 100, 149, 150, 250]
+    texts = ["Sales", "Sa", "S", "", "?", "Sal***", None, "Craft"]
+    levels = ["HS-grad", "Masters", "7th-8th", "Other", " HS-grad ", None, "unknown"]
+    rows = [
+        (i, v, Decimal(v) + Decimal("0.50"), float(v) + 0.25, texts[i % 8], levels[i % 7])
+        for i, v in enumerate([*values, *values, None])
+        for v in [v if v is not None else 0]
+    ] + [(1000, None, None, None, None, None)]
+    df = spark.createDataFrame(
+        rows, "id bigint, whole int, amount decimal(10,2), real double, job string, level string"
+    )
+    masked = policy.MaskingPolicy(
+        key="k",
+        rules={
+            "whole": policy.bucketed(5),
+            "amount": policy.rounded(100),
+            "real": policy.bucketed(50),
+            "job": policy.partial(2, keep=("?",)),
+            "level": policy.generalized(policy.taxonomy.VIEW_EDUCATION),
+        },
+    )
+    seen = masked.apply(df)
+    conditions = [policy.Between("whole", a, b) for a in (-8, -5, 0, 3, 50) for b in (-5, 0, 4, 50, 100)]
+    conditions += [policy.Between("amount", a, b) for a in (-300, -100, 0, 50) for b in (-100, 0, 100, 149, 300)]
+    conditions += [policy.Between("real", a, b) for a in (-260, -50, 0) for b in (-50, 0, 60)]
+    conditions += [policy.Equals("whole", v) for v in (-5, 0, 5, 7)]
+    conditions += [policy.Equals("job", v) for v in ("Sa***", "S***", "***", "?", "?***", "Sales", "Sal***")]
+    conditions += [policy.Equals("level", v) for v in ("HS-Some-College", "Some-School", "Masters", "unknown", "x")]
+    conditions += [policy.Equals("id", 3), policy.Between("id", 2, 9)]
+    for condition in conditions:
+        expected = sorted(r.id for r in seen.where(condition.on(F.col(condition.column))).collect())
+        found = masked.where(df, condition)
+        assert found.columns == seen.columns
+        assert sorted(r.id for r in found.collect()) == expected, condition
+    both = masked.where(df, policy.Between("whole", 0, 50), policy.Equals("job", "Sa***"), role="masked_user")
+    assert both.count() == seen.where("whole between 0 and 50 and job = 'Sa***'").count() > 0
+    open_role = masked.where(df, policy.Equals("job", "Sales"), role="owner")
+    assert open_role.count() == df.where("job = 'Sales'").count() and "whole" in open_role.columns
+
+
+# --- published tables and sketches -------------------------------------------------------------------------
+
+
+def test_publishing_without_rows_and_by_join(spark, tmp_path, monkeypatch):
+    from veilframe.catalog.base import adult as derived
+
+    people = derived(spark, "/root/testdata/sf0.001")
+    expected = {}
+    for k in (2, 4):
+        rows = kanon.anonymous_table(people, k).collect()
+        expected[k] = sorted(tuple(map(str, r)) for r in rows)
+    for name, keys in (("broadcast", 100_000), ("join", 5)):
+        monkeypatch.setattr(kanon, "HOT_KEYS", keys)
+        kanon.publish(people, str(tmp_path / name), ks=(4, 2))
+        for k in (2, 4):
+            got = kanon.published(spark, str(tmp_path / name), k).collect()
+            assert sorted(tuple(map(str, r)) for r in got) == expected[k]
+    with pytest.raises(ValueError):
+        kanon.published(spark, str(tmp_path / "join"), 3)
+    none = kanon.publish(people, str(tmp_path / "none"), ks=(1_000_000,)).first()
+    assert none.final_rows == 0
+    assert kanon.published(spark, str(tmp_path / "none"), 1_000_000).count() == 0
+    assert kanon.publish(people.limit(0), str(tmp_path / "empty"), ks=(2,)).first().final_rows == 0
+    assert kanon.published(spark, str(tmp_path / "empty"), 2).columns == ["id", *kanon.OUTPUT_COLUMNS]
+
+
+def test_sketches_of_parts_count_like_one(spark, tmp_path):
+    df = spark.range(60_000).select(
+        (F.col("id") % 3).alias("g"), (F.col("id") % 20_000).alias("v"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("n"), F.col("id") % 7)).alias("w"), "id",
+    )
+    path = str(tmp_path / "s")
+    for part in range(4):
+        sketches.store_part(df.where(F.col("id") % 4 == part), path, f"p{part}", ["g"], ["v", "w"])
+    sketches.store_part(df.where(F.col("id") % 4 == 2), path, "p2", ["g"], ["v", "w"])  # once more
+    again = sketches.stored(spark, path)
+    whole = sketches.sketch_by(df, ["g"], ["v", "w"])
+    bound = sketches.relative_error()
+    for parts in (again, whole):
+        for r in sketches.estimates(parts, ["g"], ["v", "w"]).collect():
+            exact = df.where(F.col("g") == r.g).agg(F.countDistinct("v"), F.countDistinct("w")).first()
+            assert r.rows == 20_000 and r.w == exact[1]
+            assert abs(r.v - exact[0]) <= bound * exact[0]
+    # Rolled up to the whole table.
+    total = sketches.estimates(again, [], ["v", "w"]).first()
+    assert total.rows == 60_000 and abs(total.v - 20_000) <= bound * 20_000 and total.w == 7
+    masked = sketches.sketch_by(df.withColumn("v", F.floor(F.col("v") / 10)), [], ["v", "w"])
+    ratios = {r.column: r.cardinality_ratio for r in sketches.distinct_ratios(again, masked, ["v", "w"]).collect()}
+    assert abs(ratios["v"] - 0.1) <= 0.1 * 2 * bound and ratios["w"] == 1.0
+    nothing = sketches.estimates(sketches.sketch_by(df.limit(0), ["g"], ["v"]), ["g"], ["v"])
+    assert nothing.count() == 0
+    nulls = df.withColumn("v", F.lit(None).cast("string"))
+    assert {r.v for r in sketches.estimates(sketches.sketch_by(nulls, ["g"], ["v"]), ["g"], ["v"]).collect()} == {0}
+    with pytest.raises(ValueError):
+        sketches.store_part(df, path, "a/b", ["g"], ["v"])

@@ -16,7 +16,10 @@ from veilframe.catalog.base import (
     with_adult,
     with_healthcare,
 )
+from veilframe.operators import sketches
 from veilframe.plans import policy, report, workloads
+from veilframe.session import fresh_path
+from veilframe.sources import layout
 
 DIGITS = 6
 
@@ -44,6 +47,47 @@ def range_count(spark, sf_dir):
     return workloads.range_count(adult(spark, sf_dir))
 
 
+# --- the same over a table laid out for key reads -----------------------------------------------
+
+
+def _clustered(spark, sf_dir, keys, lookups=(), interleave=False):
+    return layout.write_clustered(
+        adult(spark, sf_dir), fresh_path(spark, "adult-clustered"), keys, lookups, interleave,
+        rows_per_file=4_000, rows_per_group=500,
+    )
+
+
+@register("clustered_point", with_adult("SELECT * FROM adult WHERE id = 5000"))
+def clustered_point(spark, sf_dir):
+    """A lookup by a column the table is not clustered by: Bloom filters skip row groups."""
+    return workloads.point_lookup(_clustered(spark, sf_dir, ["age"], ["id"]), 5000)
+
+
+@register("clustered_range", with_adult("SELECT COUNT(*) AS cnt FROM adult WHERE age BETWEEN 25 AND 45"))
+def clustered_range(spark, sf_dir):
+    return workloads.range_count(_clustered(spark, sf_dir, ["age"]))
+
+
+@register("clustered_probe", with_adult("SELECT 1 AS found FROM adult WHERE id = 4999"))
+def clustered_probe(spark, sf_dir):
+    return workloads.existence_probe(_clustered(spark, sf_dir, ["id"]), 4999)
+
+
+@register(
+    "clustered_box",
+    with_adult(
+        "SELECT COUNT(*) AS cnt, CAST(SUM(fnlwgt) AS BIGINT) AS total FROM adult "
+        "WHERE age BETWEEN 30 AND 35 AND capital_gain BETWEEN 20000 AND 40000"
+    ),
+)
+def clustered_box(spark, sf_dir):
+    """A range on each of two keys, over rows clustered by both alike."""
+    people = _clustered(spark, sf_dir, ["age", "capital_gain"], interleave=True)
+    return people.where("age between 30 and 35 and capital_gain between 20000 and 40000").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum("fnlwgt").alias("total")
+    )
+
+
 @register(
     "range_avg",
     with_healthcare(
@@ -623,3 +667,66 @@ def masked_point_lookup(spark, sf_dir):
     return workloads.point_lookup(_masked_age(spark, sf_dir), 5000).select(
         "id", "age", "occupation"
     )
+
+
+# --- distinct counts from stored sketches -----------------------------------------------------------
+
+
+def _doctor_sketches(spark, sf_dir):
+    """Sketches of the doctors per hospital, one part per third of the admissions."""
+    patients, path = healthcare(spark, sf_dir), fresh_path(spark, "doctor-sketches")
+    for part in range(3):
+        rows = patients.where(F.col("id") % 3 == part)
+        sketches.store_part(rows, path, f"p{part}", ["hospital"], ["doctor", "name"])
+    return sketches.stored(spark, path)
+
+
+def _near(estimate, exact):
+    return F.abs(estimate - exact) <= F.ceil(exact * sketches.relative_error(deviations=4.0))
+
+
+@register(
+    "sketched_distinct",
+    with_healthcare(
+        "SELECT hospital, COUNT(*) AS rows, COUNT(DISTINCT doctor) AS doctors, "
+        "COUNT(DISTINCT name) AS names, TRUE AS near FROM healthcare GROUP BY hospital"
+    ),
+)
+def sketched_distinct(spark, sf_dir):
+    """Exact counts, and whether the merged sketches' estimates lie within the error bound."""
+    guess = sketches.estimates(_doctor_sketches(spark, sf_dir), ["hospital"], ["doctor", "name"])
+    exact = healthcare(spark, sf_dir).groupBy("hospital").agg(
+        F.countDistinct("doctor").alias("doctors"), F.countDistinct("name").alias("names")
+    )
+    near = _near(F.col("doctor"), F.col("doctors")) & _near(F.col("name"), F.col("names"))
+    return guess.join(exact, "hospital").select(
+        "hospital", "rows", "doctors", "names", near.alias("near")
+    )
+
+
+@register(
+    "sketched_cardinality_ratio",
+    with_adult(
+        "SELECT 'fnlwgt' AS column, TRUE AS near UNION ALL SELECT 'age', TRUE"
+    ),
+)
+def sketched_cardinality_ratio(spark, sf_dir):
+    """Ratios of raw and masked distinct values by sketches, compared with the exact ones."""
+    people, columns = adult(spark, sf_dir).select("id", "age", "fnlwgt"), ["age", "fnlwgt"]
+    masked = people.withColumn("age", F.col("age") - F.col("age") % 10).withColumn(
+        "fnlwgt", F.floor(F.col("fnlwgt") / 1000)
+    )
+    guess = sketches.distinct_ratios(
+        sketches.sketch_by(people, [], columns), sketches.sketch_by(masked, [], columns), columns
+    )
+
+    def counts(df, name):
+        cells = [F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias(name)) for c in columns]
+        return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+
+    exact = counts(people, "before").join(counts(masked, "after"), "column")
+    ratio = F.col("after") / F.col("before")
+    bound = ratio * (2 * sketches.relative_error(deviations=4.0)) + F.lit(0.001)
+    return guess.join(exact, "column").select(
+        "column", (F.abs(F.col("cardinality_ratio") - ratio) <= bound).alias("near")
+    )

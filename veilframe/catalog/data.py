@@ -290,20 +290,71 @@ def csv_inferred(spark, sf_dir):
 def csv_headerless_numbered(spark, sf_dir):
     """Text without header and with a blank after each comma; lines get ids 1..N."""
     path = fresh_path(spark, "adult-data")
-    # One file in the order of the old ids, so that each line's number is known.
-    people = adult(spark, sf_dir).repartition(1).sortWithinPartitions("id").select(
+    # Files in the order of the old ids, so that each line's number is known.
+    people = adult(spark, sf_dir).repartitionByRange(6, "id").sortWithinPartitions("id").select(
         schemas.ADULT_WITHOUT_ID.names
     )
-    line = F.concat_ws(
-        ", ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in people.columns]
-    )
-    people.select(line.alias("value")).write.text(path)
+    people.select(_line(people.columns, ", ").alias("value")).write.text(path)
     raw = files.read_csv(
         spark, path, schemas.ADULT_WITHOUT_ID, header=False, trim_leading=True
     )
     return files.number_lines(raw, "line").select("line", "age", "occupation", "income")
 
 
+def _line(columns, separator):
+    return F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def _loaded_in_part(spark, sf_dir):
+    """(rows, quarantine) of a load in which three of fifty lines are broken, each in its way."""
+    people = adult(spark, sf_dir)
+    kind, names = F.col("id") % 50, people.columns
+    line = (
+        F.when(kind == 1, F.concat(F.lit("x"), _line(names, ",")))
+        .when(kind == 2, _line(names[:-1], ","))
+        .when(kind == 3, F.concat(_line(names, ","), F.lit(",more")))
+        .otherwise(_line(names, ","))
+    )
+    source = fresh_path(spark, "adult-broken")
+    people.select(line.alias("value")).write.text(source)
+    aside = fresh_path(spark, "adult-quarantine")
+    rows = files.load_csv(
+        spark, source, fresh_path(spark, "adult-loaded"), schemas.ADULT,
+        malformed="quarantine", quarantine_path=aside, header=False,
+    )
+    return rows, aside
+
+
+@register("csv_quarantine", with_adult("SELECT * FROM adult WHERE id % 50 NOT IN (1, 2, 3)"))
+def csv_quarantine(spark, sf_dir):
+    """A load that sets lines aside which do not fit, and keeps the others whole."""
+    return _loaded_in_part(spark, sf_dir)[0]
+
+
+@register(
+    "csv_quarantined_lines",
+    with_adult(
+        "SELECT CASE id % 50 WHEN 1 THEN 'value' WHEN 2 THEN 'short' ELSE 'surplus' END AS reason, "
+        "COUNT(*) AS lines FROM adult WHERE id % 50 IN (1, 2, 3) GROUP BY ALL"
+    ),
+)
+def csv_quarantined_lines(spark, sf_dir):
+    """How many lines such a load sets aside, and why."""
+    _, aside = _loaded_in_part(spark, sf_dir)
+    return files.quarantined(spark, aside).groupBy("reason").agg(F.sum("lines").alias("lines"))
+
+
+@register(
+    "replaced_table",
+    with_adult("SELECT * FROM adult WHERE age >= 30"),
+)
+def replaced_table(spark, sf_dir):
+    """A stored table replaced by part of itself: it is read while its successor is written."""
+    path = fresh_path(spark, "adult-replaced")
+    people = files.write_parquet(adult(spark, sf_dir), path)
+    return files.write_parquet(people.where("age >= 30"), path)
+
+
 _RECORDS = T.StructType(
     [
         T.StructField("event_type", T.StringType()),

@@ -30,10 +30,12 @@ from veilframe.functions import fakes, masks, prf, taxonomy
 from veilframe.operators.rank import exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
 from veilframe.operators.surrogate import apply_mapping, clashes, extend_mapping
+from veilframe.operators.surrogate_store import open_store
 from veilframe.plans import policy, workloads
 from veilframe.plans.variants import masking_variant, sampled_variants
 from veilframe.session import fresh_path
 from veilframe.sources.files import write_parquet
+from veilframe.sources.layout import write_clustered
 
 KEY = "mask-key"
 DIGITS = 6
@@ -389,6 +391,35 @@ def mask_surrogate_four(spark, sf_dir):
     return apply_mapping(people, _FOUR, mapping, hot_keys=12)
 
 
+# Values of the first run have the key of that time, those of the second its own.
+_SEEN_FIRST = "{0} IN (SELECT {0} FROM adult WHERE id % 3 = 0)"
+
+
+@register(
+    "surrogate_two_runs",
+    with_adult(
+        "SELECT id, "
+        + ", ".join(
+            f"CASE WHEN {_SEEN_FIRST.format(c)} THEN {_surrogate(c, 'first-key')} "
+            f"ELSE {_surrogate(c, 'second-key')} END AS {c}"
+            for c in ("occupation", "fnlwgt")
+        )
+        + f", {_surrogate('native_country', 'second-key')} AS native_country FROM adult"
+    ),
+)
+def surrogate_two_runs(spark, sf_dir):
+    """A stored mapping: a third of the rows first, then all rows and one more column."""
+    people = adult(spark, sf_dir).select("id", "occupation", "fnlwgt", "native_country")
+    path = fresh_path(spark, "surrogate-store")
+    open_store(spark, path, buckets=8).add(
+        people.where("id % 3 = 0"), ["occupation", "fnlwgt"], key="first-key"
+    )
+    store = open_store(spark, path)
+    columns = ["occupation", "fnlwgt", "native_country"]
+    store.add(people, columns, key="second-key")
+    return store.apply(people, columns, hot_keys=100)
+
+
 @register(
     "surrogate_names",
     f"SELECT c_custkey, {_surrogate('c_name', 'srg-key')} AS c_name FROM customer",
@@ -516,6 +547,46 @@ _HEALTH_VIEW_SELECT = f"SELECT {projection(HEALTHCARE_COLUMNS, _HEALTH_VIEW)} FR
 _HEALTH_RULES_SELECT = f"SELECT {projection(HEALTHCARE_COLUMNS, _HEALTH_RULES)} FROM healthcare"
 
 
+@register(
+    "policy_where",
+    with_adult(
+        "SELECT * FROM view WHERE age BETWEEN 25 AND 45 AND education = 'Some-School' "
+        "AND occupation = 'Exe***' AND capital_gain <= 40000",
+        f"view AS ({ADULT_VIEW_SELECT})",
+    ),
+)
+def policy_where(spark, sf_dir):
+    """Filters on a masked view that reach the raw columns of a table laid out by age."""
+    people = write_clustered(
+        adult(spark, sf_dir), fresh_path(spark, "adult-by-age"), ["age"], rows_per_group=500
+    )
+    return policy.ADULT_VIEW.where(
+        people,
+        policy.Between("age", 25, 45),
+        policy.Equals("education", "Some-School"),
+        policy.Equals("occupation", "Exe***"),
+        policy.Between("capital_gain", 0, 40000),
+    )
+
+
+@register(
+    "policy_where_health",
+    with_healthcare(
+        "SELECT id, name, age, CAST(billing_amount AS DOUBLE) AS billing_amount FROM view "
+        "WHERE billing_amount BETWEEN 200 AND 4000 AND name = 'El***'",
+        f"view AS ({_HEALTH_VIEW_SELECT})",
+    ),
+)
+def policy_where_health(spark, sf_dir):
+    """A range of rounded amounts and a shown beginning of names."""
+    seen = policy.HEALTHCARE_VIEW.where(
+        healthcare(spark, sf_dir),
+        policy.Between("billing_amount", 200, 4000),
+        policy.Equals("name", "El***"),
+    )
+    return plain(seen.select("id", "name", "age", "billing_amount"))
+
+
 @register("policy_view", with_adult(ADULT_VIEW_SELECT))
 def policy_view(spark, sf_dir):
     policy.ADULT_VIEW.view(adult(spark, sf_dir), "adult_masked_view")
@@ -601,7 +672,7 @@ def _variant_query(name: str):
     return run
 
 
-_VARIANT_SAMPLE = 500
+_VARIANT_SAMPLE = 50_000
 
 
 @register(

@@ -296,7 +296,7 @@ def kanon_publish(spark, sf_dir):
     report = kanon.publish(adult(spark, sf_dir), folder)
     stored = None
     for k in kanon.K_VALUES:
-        rows = spark.read.parquet(f"{folder}/k{k}").agg(
+        rows = kanon.published(spark, folder, k).agg(
             F.lit(k).alias("k"), F.count(F.lit(1)).alias("stored_rows"), F.max("id").alias("last_id")
         )
         stored = rows if stored is None else stored.unionByName(rows)
