@@ -133,12 +133,30 @@ def test_edges(spark):
         ((r.doc_id, r.class_id, r.kept) for r in nd.near_duplicates(df).collect()), key=str
     )
     assert got == sorted(
-        [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True),
+        [(1, 1, True), (1, 1, False), (2, 1, False), (None, None, True), (None, None, True),
          (3, 3, True), (4, 3, False), (5, 5, True), (5, 5, True)], key=str)
     assert nd.near_duplicates(df.limit(0)).count() == 0
     once = nd.keep_one_each(df)
     assert once.columns == df.columns
-    assert sorted(r.doc_id or 0 for r in once.collect()) == [0, 0, 1, 3, 5]
+    assert sorted(r.doc_id or 0 for r in once.collect()) == [0, 0, 1, 3, 5, 5]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """60 rows of 40 texts under 7 ids: 40 rows survive, each text once."""
+    texts = [f"text number {i} " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
+    rows = [(i % 7, texts[i]) for i in range(40)] + [(i % 5, texts[i]) for i in range(20)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, nth int")
+    kept = nd.keep_one_each(df.repartition(5))
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    found = nd.near_duplicates(df).collect()
+    assert len(found) == 60 and sum(r.kept for r in found) == 40
+    lowest = {t: min(i for i, x in rows if x == t) for t in texts}
+    assert sorted((r.doc_id, r.class_id) for r in found) == sorted((i, lowest[t]) for i, t in rows)
+    # Near copies under one id, spelt alike or not, still leave one row.
+    base = " ".join(f"w{j}" for j in range(60))
+    near = [(1, base), (1, base.upper()), (1, base + " end"), (1, base + " end"), (2, "start " + base)]
+    one = nd.keep_one_each(spark.createDataFrame(near, "doc_id bigint, text string"))
+    assert [r.doc_id for r in one.collect()] == [1]
 
 
 def test_components(spark):

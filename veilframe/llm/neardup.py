@@ -169,8 +169,13 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool
     return aligned_matches(a, b, max(len(a), len(b)) - need) >= need
 
 
+def _spelling(text: str = "text"):
+    """A hash of the text as it stands; with the id it finds the row of a text again."""
+    return F.xxhash64(F.col(text))
+
+
 def sketches(docs: DataFrame, k: int = K, bands: int = BANDS, ell: int = ELL) -> DataFrame:
-    """doc_id, content (128-bit hash of the words), keys: one row per row of `docs`."""
+    """doc_id, spelling, content (128-bit hash of the words), keys: a row per row of `docs`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,18 +185,18 @@ def sketches(docs: DataFrame, k: int = K, bands: int = BANDS, ell: int = ELL) ->
                 contents.append(xxhash.xxh3_128_digest("\n".join(words)))
                 keys.append(band_keys(kmers(words, k), bands, ell))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(contents, pa.binary()),
+                [batch["doc_id"], batch["spelling"], pa.array(contents, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "content", "keys"],
+                ["doc_id", "spelling", "content", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, "doc_id bigint, content binary, keys array<bigint>"
+    return docs.select("doc_id", _spelling().alias("spelling"), "text").mapInArrow(
+        rows, "doc_id bigint, spelling bigint, content binary, keys array<bigint>"
     )
 
 
 def _with_kmers(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, kmers) of the wanted nodes; `nodes` has node and its content.
+    """(node, kmers) of the wanted nodes; `nodes` has node, content and its first row.
 
     32 bits of each k-mer's hash are kept: within a pair of texts that tells them apart.
     """
@@ -204,8 +209,7 @@ def _with_kmers(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 batch["node"].to_pylist(), batch["content"].to_pylist(), batch["text"], strict=True
             ):
                 words = words_of(text.as_py())
-                # An id may stand at several rows, which the join puts side by side; the
-                # node is one of their texts.
+                # A row may be repeated; the join puts its copies side by side.
                 if node != last and xxhash.xxh3_128_digest("\n".join(words)) == content:
                     last = node
                     kept.append(node)
@@ -214,9 +218,11 @@ def _with_kmers(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 [pa.array(kept, pa.int64()), pa.array(arrays, pa.binary())], ["node", "kmers"]
             )
 
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    texts = docs.select(F.col("doc_id").alias("_id"), _spelling().alias("_spelling"), "text")
+    first = nodes.select("node", "content", "first.doc_id", "first.spelling").hint("merge")
+    same = (F.col("_id") == F.col("doc_id")) & (F.col("_spelling") == F.col("spelling"))
     return (
-        texts.join(nodes, F.col("_id") == F.col("node"))
+        texts.join(first, same)
         .select("node", "content", "text")
         .mapInArrow(rows, "node bigint, kmers binary")
     )
@@ -319,7 +325,7 @@ def _blocks_linked(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(stream, "a bigint, b bigint")
 
 
-def near_duplicates(
+def _classed(
     docs: DataFrame,
     k: int = K,
     bands: int = BANDS,
@@ -327,21 +333,19 @@ def near_duplicates(
     similarity: float = SIMILARITY,
     block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, class_id, kept: one row per row of `docs`.
+    """doc_id, spelling, rows, class_id, survives: a row per id and text of `docs`.
 
-    class_id is the smallest id of the class, kept marks that document. Texts with equal
-    words are copies, so all null, empty and blank texts form one class. Rows with equal
-    ids are one document, compared by one of their texts. A row with a null id stands alone: class_id null, kept true. An
-    empty table gives no rows. Uses doc_id and text; other columns are not read.
+    `rows` is how often they stand together, `survives` marks one of them per class: the
+    smallest id, and of texts under the same id one fixed by its hash. Rows with a null id
+    have a null class and survive.
     """
     sketched = stored_once(sketches(docs, k, bands, ell), "neardup-sketches")
-    known = (
-        sketched.where(F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("content").alias("content"), F.min_by("keys", "content").alias("keys"))
-    )
+    # A node is a text, whichever and however many ids it has. Its number is written with it.
     nodes = stored_once(
-        known.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")),
+        sketched.where(F.col("doc_id").isNotNull())
+        .groupBy("content")
+        .agg(F.min(F.struct("doc_id", "spelling")).alias("first"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "neardup-nodes",
     )
     rows = nodes.select("node", F.explode("keys").alias("key"))
@@ -349,7 +353,8 @@ def near_duplicates(
     buckets = stored_once(rows.join(sizes, "key"), "neardup-buckets")
     wanted = buckets.select("node").distinct()
     arrays = stored_once(
-        _with_kmers(docs, nodes.select("node", "content").join(wanted, "node"), k), "neardup-kmers"
+        _with_kmers(docs, nodes.select("node", "content", "first").join(wanted, "node"), k),
+        "neardup-kmers",
     )
 
     # 1. Each node against the most central node of its buckets.
@@ -404,31 +409,66 @@ def near_duplicates(
 
     merged = components(first.union(second))
     of_node = nodes.join(merged, F.col("node") == F.col("id"), "left").select(
-        "content", F.coalesce("component", "node").alias("class_id")
+        "content", "first", F.coalesce("component", "node").alias("class")
     )
-    contents = sketched.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.min("content").alias("content"), F.count(F.lit(1)).alias("_rows")
+    heads = of_node.groupBy(F.col("class").alias("_class")).agg(F.min("first").alias("head"))
+    of_content = of_node.join(heads, F.col("class") == F.col("_class")).select("content", "head")
+    rows = (
+        sketched.where(F.col("doc_id").isNotNull())
+        .groupBy("content", "doc_id", "spelling")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    classes = contents.join(of_node, "content").select(
-        "doc_id", "class_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))
+    known = rows.join(of_content, "content").select(
+        "doc_id",
+        "spelling",
+        "rows",
+        F.col("head.doc_id").alias("class_id"),
+        (F.col("head") == F.struct("doc_id", "spelling")).alias("survives"),
     )
     alone = sketched.where(F.col("doc_id").isNull()).select(
-        "doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept")
+        "doc_id",
+        "spelling",
+        F.lit(1).cast("bigint").alias("rows"),
+        F.lit(None).cast("bigint").alias("class_id"),
+        F.lit(True).alias("survives"),
+    )
+    return known.union(alone)
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, class_id, kept: one row per row of `docs`.
+
+    class_id is the smallest id of the class, kept marks one row of it: of that id, and if rows
+    of the class repeat it, one of those. Texts with equal words are copies, so all null,
+    empty and blank texts form one class. Rows with equal ids and different texts are documents
+    of their own, each with the class of its text. A row with a null id stands alone: class_id
+    null, kept true. An empty table gives no rows. Uses doc_id and text; other columns are
+    not read. `settings` are k, bands, ell, similarity and block.
+    """
+    classed = _classed(docs, **settings)
+    nth = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("nth")
+    return classed.select("doc_id", "class_id", "survives", nth).select(
+        "doc_id", "class_id", (F.col("survives") & (F.col("nth") == 1)).alias("kept")
     )
-    return classes.select(
-        "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")
-    ).union(alone)
 
 
 def keep_one_each(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with one document of each class: the smallest id; rows with null ids stay."""
-    one, nth = unused(docs, "_kept", "_nth")
-    kept = near_duplicates(docs, **settings).where("kept and doc_id is not null")
-    once = kept.select(F.col("doc_id").alias(one)).distinct()
+    """`docs` with one row of each class, as `near_duplicates` keeps it.
+
+    No text is lost because its id stands at another one too. Rows with null ids stay, all
+    columns unchanged.
+    """
+    one, hashed, nth = unused(docs, "_kept", "_hashed", "_nth")
+    survivors = (
+        _classed(docs, **settings)
+        .where("survives and doc_id is not null")
+        .select(F.col("doc_id").alias(one), F.col("spelling").alias(hashed))
+    )
+    same = (F.col("doc_id") == F.col(one)) & (_spelling() == F.col(hashed))
     numbered = (
         docs.where(F.col("doc_id").isNotNull())
-        .join(once, F.col("doc_id") == F.col(one), "left_semi")
-        .withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+        .join(survivors, same)
+        .withColumn(nth, F.row_number().over(W.partitionBy(one, hashed).orderBy(one)))
         .where(F.col(nth) == 1)
         .select(*docs.columns)
     )
