@@ -1,27 +1,34 @@
-"""Toxicity by class-conditional Kneser-Ney models of word heads.
+"""Toxicity by class-conditional Kneser-Ney models of spelt words.
 
 Each word is spelt character by character after a start mark; the context of a character is
-the word so far, up to `order` - 1 characters (insults are inflected, so their heads carry
-more than their whole forms). Two models, of toxic and of ordinary text, are estimated with
-absolute discounting from counts by class, in documents, so that one text repeating a word
-counts once. Both back off to one shared model of the pooled counts, which in turn backs
-off to continuation counts: over the last two characters, a context counts once for each
-different word head it ends. Rare expressions thus cost both classes nearly the same.
-
-A text's score is the difference of its two log-likelihoods per word. Words whose own
-difference is under `evidence` nats add nothing: there the classes differ by chance, and
-such words are many. A logistic curve fitted on labelled texts that were not counted
-turns the difference into a probability.
-
-Counts cover every labelled document that may be learnt from, and scoring uses all of their
-conditional log-ratios: they stay a table, which is joined to the distinct heads of the
-corpus and then to the texts. A head neither class has seen costs what the classes leave to
-such heads. Frequent heads are broadcast with their values, so that no join key is hot;
-that changes where a value is looked up, not which values count.
+the word so far, or its last `order` characters where it is longer (insults are inflected,
+so parts of a word carry more than its whole form). Two models, of toxic and of ordinary text, are
+estimated with absolute discounting from counts by class, in documents, so that one text
+repeating a word counts once. Both back off to one shared model of the pooled counts, which in
+turn backs off to continuation counts: over the last two characters, a context counts once
+for each different spelling it ends. Discounts follow from how many spellings occur once
+and twice. Rare expressions thus cost both classes nearly the same.
+
+The log-ratio of a word is the difference of its two log-likelihoods, all characters
+included. Ratios of rare words are noisy, and one word tells little of its neighbours'. Hence
+* ratios are calibrated by labelled texts that were not counted: among words of about the
+  same ratio and the same support (counts of the word's rarest spelling), how much more often
+  do toxic texts hold one than ordinary ones;
+* toxic text is ordinary text with toxic expressions in it, so its likelihood mixes both
+  models: a word adds log(1 - e + e * calibrated ratio), e the share of `expressions`.
+Every word counts, mild ones a little. A text's score is the sum over its different words
+divided by their number (and a little more, so that one word cannot decide a text of
+a few); a logistic curve turns it into a probability.
+
+Counts cover every labelled document that may be learnt from, and scoring uses all spellings:
+the model stays a table, which is joined to the different words of the corpus, and their values
+to the texts. Frequent contexts and words are broadcast with their values, so that no join
+key is hot; that changes where a value is looked up, not which values count.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,26 +40,30 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import stored_once
 
 ORDER = 7
-DISCOUNT = 2.0
-SHARED_DISCOUNT = 0.75
-EVIDENCE = 3.0
+# Share of a toxic text's words that are toxic expressions.
+EXPRESSIONS = 0.01
 # Words added to a length, so that one word cannot decide a text of a few words.
-_PADDING = 5
+_PADDING = 50
 THRESHOLD = 0.7
 _START, _END = "\x02", "\x03"
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”„‘’…"
 _HELD_ENTRIES = 300_000
-# A head with at least this share of all words is looked up in place: at most 100,000 are.
-_HOT_SHARE = 1e-5
+# A context with at least this share of all spelt characters is looked up in place, and a word
+# with at least this share of all words: there are at most 50,000 and 500,000 of them.
+_HOT_CONTEXTS, _HOT_WORDS = 2e-5, 2e-6
 # Values are added as whole billionths of a nat, so sums do not depend on their order.
 _UNIT = 1e-9
 _OUT_ROWS = 50_000
+# Calibration: bins of half a nat, and of doubled support; what smooths a bin's counts.
+_BIN = 0.5
+_LOWEST, _HIGHEST = -20, 40
+_POOLED_TEXTS, _ORDINARY_TEXTS = 100.0, 0.5
 
 
 def heads(word: str, order: int = ORDER) -> list[str]:
-    """The spelt prefixes of a word: start mark and up to `order` characters, end mark last."""
+    """The spellings of a word: each character but the start mark after its context."""
     spelt = _START + word + _END
-    return [spelt[:k] for k in range(2, min(len(spelt), order + 1) + 1)]
+    return [spelt[max(0, k - order - 1) : k] for k in range(2, len(spelt) + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,7 +72,9 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in words if w]
 
 
-def _counted(order: int):
+def _counted(spell):
+    """A function over batches that counts `spell(word)` for each text's different words."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: dict[str, list[int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -79,7 +92,7 @@ def _counted(order: int):
                     if given == label:
                         words.update(set(words_of(text.as_py())))
                 for word, n in words.items():
-                    for head in heads(word, order):
+                    for head in spell(word):
                         table.setdefault(head, [0, 0])[label] += n
             if len(table) > _HELD_ENTRIES:
                 yield out(table)
@@ -90,40 +103,55 @@ def _counted(order: int):
     return count
 
 
-def head_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """head, ordinary, toxic: words of a text, each once, that begin so, by the text's label."""
+def _label_counts(labelled: DataFrame, spell) -> DataFrame:
     rows = labelled.select("text", "label").mapInArrow(
-        _counted(order), "head string, ordinary bigint, toxic bigint"
+        _counted(spell), "head string, ordinary bigint, toxic bigint"
     )
     return rows.groupBy("head").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _spelt(counts: DataFrame) -> DataFrame:
-    return counts.select(
-        "head",
-        "ordinary",
-        "toxic",
-        (F.col("ordinary") + F.col("toxic")).alias("pooled"),
-        F.expr("substring(head, 1, length(head) - 1)").alias("context"),
-        F.expr("right(head, 3)").alias("tail"),
-    )
+def head_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """head, ordinary, toxic: different words of a text spelt so, by the text's label."""
+    return _label_counts(labelled, lambda word: heads(word, order))
 
 
-def _contexts(spelt: DataFrame, discounts: dict[str, float]) -> DataFrame:
-    """context and, for each count, its sum and what discounting takes off."""
-    return spelt.groupBy("context").agg(
-        *[F.sum(c).alias(f"_{c}_all") for c in discounts],
-        *[F.sum(F.least(F.col(c), F.lit(d))).alias(f"_{c}_cut") for c, d in discounts.items()],
-    )
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """entry, ordinary, toxic: how many texts of each label have the word."""
+    return _label_counts(labelled, lambda word: [word]).withColumnRenamed("head", "entry")
+
+
+def discounts(counts: DataFrame) -> dict[str, float]:
+    """What each model takes off a count: n1 / (n1 + 2 n2), of spellings that occur once and twice."""
+    columns = {"ordinary": F.col("ordinary"), "toxic": F.col("toxic"), "pooled": F.col("ordinary") + F.col("toxic")}
+    row = counts.agg(
+        *[F.count_if(c == n).alias(f"{name}{n}") for name, c in columns.items() for n in (1, 2)]
+    ).first()
+    out = {}
+    for name in columns:
+        once, twice = row[f"{name}1"], row[f"{name}2"]
+        # Without spellings that occur once the estimate is 0, which would leave no mass.
+        out[name] = max(0.1, once / (once + 2 * twice)) if once + twice else 0.5
+    return out
 
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """head, ratio, weight: log p_toxic - log p_ordinary of its last character given the rest.
+def model(counts: DataFrame) -> DataFrame:
+    """context, uses, backoff, chars: per context, its characters' ratio and pooled count.
 
-    `weight` is how much the head moves the score of a word of either class on average.
+    A ratio is log p_toxic - log p_ordinary of the character given the context; `backoff` is
+    that of a character neither class has seen there: both back off to one shared model, so only
+    the masses they leave to it differ. Both in billionths of a nat. A context has at most as
+    many characters as there are in the alphabet.
     """
-    spelt = _spelt(counts)
-    # Continuation counts: distinct heads by their last three characters.
+    taken = discounts(counts)
+    spelt = counts.select(
+        "ordinary",
+        "toxic",
+        (F.col("ordinary") + F.col("toxic")).alias("pooled"),
+        F.expr("substring(head, 1, length(head) - 1)").alias("context"),
+        F.expr("right(head, 1)").alias("char"),
+        F.expr("right(head, 3)").alias("tail"),
+    )
+    # Continuation counts: distinct spellings by their last three characters.
     tails = (
         spelt.groupBy("tail")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -131,126 +159,198 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     )
     befores = tails.groupBy("_before").agg(F.sum("_n").alias("_of"))
     continued = tails.join(befores, "_before").select(
-        "tail", (F.col("_n") / F.col("_of")).alias("_continued")
+        "tail", (F.col("_n") / F.col("_of")).alias("continued")
+    )
+    grouped = (
+        spelt.join(continued, "tail")
+        .groupBy("context")
+        .agg(
+            F.collect_list(F.struct("char", *taken, "continued")).alias("rows"),
+            *[F.sum(c).alias(f"_{c}_all") for c in taken],
+            *[F.sum(F.least(F.col(c), F.lit(d))).alias(f"_{c}_cut") for c, d in taken.items()],
+        )
     )
-    discounts = {"ordinary": discount, "toxic": discount, "pooled": SHARED_DISCOUNT}
-    contexts = _contexts(spelt, discounts)
 
-    def p(name: str, lower: Column) -> Column:
-        seen = F.greatest(F.col(name) - discounts[name], F.lit(0.0))
+    def p(row: Column, name: str, lower: Column) -> Column:
+        seen = F.greatest(row[name] - taken[name], F.lit(0.0))
         known = (seen + F.col(f"_{name}_cut") * lower) / F.col(f"_{name}_all")
         return F.when(F.col(f"_{name}_all") > 0, known).otherwise(lower)
 
-    first = F.length("head") == 2
-    words = {
-        label: F.greatest(counts.where(first).agg(F.sum(label)).scalar(), F.lit(1))
-        for label in ("ordinary", "toxic")
-    }
-    ratio = F.log(p("toxic", F.col("_shared"))) - F.log(p("ordinary", F.col("_shared")))
-    use = F.col("toxic") / words["toxic"] + F.col("ordinary") / words["ordinary"]
-    return (
-        spelt.join(contexts, "context")
-        .join(continued, "tail")
-        .withColumn("_shared", p("pooled", F.col("_continued")))
-        .select("head", ratio.alias("ratio"), (F.abs(ratio) * use).alias("weight"))
-    )
-
+    def in_units(value: Column) -> Column:
+        return F.round(value / _UNIT).cast("bigint")
 
-def backoffs(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """context, backoff: the log-ratio of a character neither class has seen after it.
-
-    Both classes back off to one shared model, so only the masses they leave to it differ.
-    """
-    contexts = _contexts(_spelt(counts), {"ordinary": discount, "toxic": discount})
+    def entry(row: Column) -> Column:
+        shared = p(row, "pooled", row["continued"])
+        ratio = F.log(p(row, "toxic", shared)) - F.log(p(row, "ordinary", shared))
+        return F.struct(row["char"], F.struct(in_units(ratio).alias("ratio"), row["pooled"].alias("n")))
 
     def left(name: str) -> Column:
         mass = F.log(F.col(f"_{name}_cut") / F.col(f"_{name}_all"))
         return F.when(F.col(f"_{name}_all") > 0, mass).otherwise(F.lit(0.0))
 
-    return contexts.select("context", (left("toxic") - left("ordinary")).alias("backoff"))
-
-
-def strongest(ratios: DataFrame, max_entries: int) -> dict[str, float]:
-    """The `max_entries` heads of largest weight, to look at; ties go by head."""
-    rows = ratios.where("weight > 0").orderBy(F.desc("weight"), "head").limit(max_entries)
-    table = rows.select("head", "ratio").toArrow()
-    return dict(zip(table["head"].to_pylist(), table["ratio"].to_pylist(), strict=True))
-
-
-def _longest_heads(text: str | None, order: int) -> Counter[str]:
-    """How many words of a text have each longest head, from which all their heads follow."""
-    return Counter((_START + w + _END)[: order + 1] for w in words_of(text))
+    return grouped.select(
+        "context",
+        F.col("_pooled_all").alias("uses"),
+        in_units(left("toxic") - left("ordinary")).alias("backoff"),
+        F.map_from_entries(F.transform("rows", entry)).alias("chars"),
+    )
 
 
-def corpus_heads(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """entry, words: every longest head in `docs` and how many words have it."""
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """entry, texts: every different word in `docs` and how many texts have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())],
-                ["entry", "words"],
+                ["entry", "texts"],
             )
 
         table: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                table.update(_longest_heads(text.as_py(), order))
+                table.update(set(words_of(text.as_py())))
                 if len(table) > _HELD_ENTRIES:
                     yield out()
                     table.clear()
         if table:
             yield out()
 
-    rows = docs.select("text").mapInArrow(count, "entry string, words bigint")
-    return rows.groupBy("entry").agg(F.sum("words").alias("words"))
+    rows = docs.select("text").mapInArrow(count, "entry string, texts bigint")
+    return rows.groupBy("entry").agg(F.sum("texts").alias("texts"))
 
 
-def entry_values(
-    entries: DataFrame, ratios: DataFrame, backoff: DataFrame, evidence: float = EVIDENCE
+def word_ratios(
+    entries: DataFrame, spellings: DataFrame, order: int = ORDER, hot_share: float = _HOT_CONTEXTS
 ) -> DataFrame:
-    """entry, words, value: the log-ratio of a word with this longest head, in `_UNIT`s."""
-    model = (
-        ratios.select(F.col("head").alias("_head"), "ratio")
-        .join(backoff.select(F.col("context").alias("_head"), "backoff"), "_head", "full")
-        .select("_head", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), "backoff")
+    """entry, texts, ratio, support: log-ratio of each word, and the count of its rarest spelling.
+
+    `spellings` is a stored `model`. A character after a context that no labelled text has adds
+    nothing; a spelling none has gives a support of 0. Characters after frequent contexts are
+    added up in place, the others by a join.
+    """
+    total = spellings.agg(F.sum("uses")).first()[0] or 0
+    is_hot = F.col("uses") >= F.lit(hot_share * total)
+    hot: dict[str, tuple[int, dict[str, tuple[int, int]]]] = {}
+    found = spellings.where(is_hot).select(
+        "context", "backoff", F.map_keys("chars").alias("chars"), F.map_values("chars").alias("values")
     )
-    size = F.explode(F.sequence(F.lit(1), F.length("entry"))).alias("_size")
-    spelt = entries.select("entry", "words", size).withColumn(
-        "_head", F.expr("substring(entry, 1, _size)")
+    for row in found.toArrow().to_pylist():
+        values = [(v["ratio"], v["n"]) for v in row["values"]]
+        hot[row["context"]] = row["backoff"], dict(zip(row["chars"], values, strict=True))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = ["entry", "_context", "_char", "texts", "sum", "least"]
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names
+            )
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for word, texts in zip(batch["entry"].to_pylist(), batch["texts"].to_pylist(), strict=True):
+                place, least = 0, None
+                for head in heads(word, order):
+                    known = hot.get(head[:-1])
+                    if known is None:
+                        rows.append((word, head[:-1], head[-1], None, None, None))
+                        continue
+                    ratio, n = known[1].get(head[-1], (known[0], 0))
+                    place += ratio
+                    least = n if least is None else min(least, n)
+                # A row for the word itself, under a name that spreads and no context has.
+                rows.append((word, "\n" + word, "", texts, place, least))
+                if len(rows) >= _OUT_ROWS:
+                    yield out()
+                    rows.clear()
+        if rows:
+            yield out()
+
+    rows = entries.mapInArrow(
+        spell, "entry string, _context string, _char string, texts bigint, sum bigint, least bigint"
     )
-    # The seen heads of a word are its first ones; the masses after the last seen one count.
-    found = (
-        spelt.join(model, "_head", "left")
-        .groupBy("entry", "words")
+    rest = spellings.where(~is_hot).select("context", "backoff", "chars")
+    known = F.col("chars")[F.col("_char")]
+    own = F.col("texts").isNotNull()
+    return (
+        rows.join(rest.hint("merge"), F.col("_context") == F.col("context"), "left")
+        .groupBy("entry")
         .agg(
-            F.sum("ratio").alias("_seen"),
-            F.max(F.when(F.col("ratio").isNotNull(), F.struct("_size", "backoff"))).alias("_last"),
+            F.max("texts").alias("texts"),
+            F.sum(F.coalesce("sum", known["ratio"], "backoff", F.lit(0))).alias("ratio"),
+            F.min(F.when(own, F.col("least")).otherwise(F.coalesce(known["n"], F.lit(0)))).alias("support"),
         )
     )
-    unseen = F.when(
-        F.col("_last._size") < F.length("entry"), F.coalesce(F.col("_last.backoff"), F.lit(0.0))
-    ).otherwise(F.lit(0.0))
-    value = F.coalesce("_seen", F.lit(0.0)) + unseen
-    kept = F.when(F.abs(value) >= evidence, value).otherwise(F.lit(0.0))
-    return found.select("entry", "words", F.round(kept / _UNIT).cast("bigint").alias("value"))
 
 
-def with_ratio(
-    docs: DataFrame, values: DataFrame, order: int = ORDER, hot_share: float = _HOT_SHARE
+def _bins() -> tuple[Column, Column]:
+    ratio = F.round(F.col("ratio") * F.lit(_UNIT / _BIN))
+    ratio = F.greatest(F.lit(_LOWEST), F.least(F.lit(_HIGHEST), ratio)).cast("int")
+    return ratio.alias("ratio_bin"), F.ceil(F.log2(F.col("support") + 1)).cast("int").alias("support_bin")
+
+
+def calibrated(
+    bins: list[tuple[int, int, int, int]], expressions: float = EXPRESSIONS
+) -> dict[tuple[int, int], float]:
+    """What a word of each bin adds to a text, from (ratio bin, support bin, ordinary, toxic).
+
+    The counts are of held-out texts that have such a word, summed over the words. A bin
+    without texts adds nothing, nor does any if one class has no texts.
+    """
+    ordinary, toxic = sum(b[2] for b in bins), sum(b[3] for b in bins)
+    out = {}
+    for ratio, support, no, yes in bins:
+        value = 0.0
+        if ordinary and toxic and no + yes:
+            share = (no + yes) / (ordinary + toxic)
+            often = (yes + _POOLED_TEXTS * share) / (toxic + _POOLED_TEXTS)
+            seldom = (no + _ORDINARY_TEXTS) / (ordinary + _POOLED_TEXTS)
+            value = math.log(1 - expressions + expressions * often / seldom)
+        out[ratio, support] = value
+    return out
+
+
+def word_values(
+    ratios: DataFrame, held_out: DataFrame, expressions: float = EXPRESSIONS
 ) -> DataFrame:
-    """doc_id, ratio: log-likelihood difference per word of every row; 0 without words.
+    """entry, texts, value: what each word adds to a text, in billionths of a nat.
 
-    `values` holds all longest heads of `docs`. Those with `hot_share` of all words are added
-    up in place, the others by a join in which no key is hot.
+    `ratios` is a stored `word_ratios`, `held_out` the `word_counts` of texts not counted before.
+    There are as many bins as half nats in 30 and doublings of a count: a few thousand at most.
     """
-    total = values.agg(F.sum("words")).first()[0] or 0
-    often = values.where(F.col("words") >= F.lit(hot_share * total)).select("entry", "value").toArrow()
+    rows = (
+        ratios.join(held_out, "entry")
+        .groupBy(*_bins())
+        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    )
+    found = calibrated(sorted(tuple(r) for r in rows.collect()), expressions)
+    schema = "_ratio_bin int, _support_bin int, value bigint"
+    table = [(r, s, round(v / _UNIT)) for (r, s), v in sorted(found.items())]
+    values = ratios.sparkSession.createDataFrame(table, schema)
+    same = (F.col("ratio_bin") == F.col("_ratio_bin")) & (F.col("support_bin") == F.col("_support_bin"))
+    return (
+        ratios.select("entry", "texts", *_bins())
+        .join(F.broadcast(values), same, "left")
+        .select("entry", "texts", F.coalesce("value", F.lit(0)).alias("value"))
+    )
+
+
+def with_ratio(docs: DataFrame, values: DataFrame, hot_share: float = _HOT_WORDS) -> DataFrame:
+    """doc_id, ratio: the mean value of a row's different words; 0 without words.
+
+    `values` holds all words of `docs`. Those with `hot_share` of all words are added up in
+    place, the others by a join in which no key is hot. A task looks at equal texts once.
+    """
+    total = values.agg(F.sum("texts")).first()[0] or 0
+    often = values.where(F.col("texts") >= F.lit(hot_share * total)).select("entry", "value").toArrow()
     hot = dict(zip(often["entry"].to_pylist(), often["value"].to_pylist(), strict=True))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        names = ["key", "entry", "n", "words", "sum"]
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64())
+        names = ["key", "entry", "words", "sum"]
 
         def out() -> pa.RecordBatch:
             columns = zip(*rows, strict=True)
@@ -259,34 +359,41 @@ def with_ratio(
             )
 
         rows: list[tuple] = []
+        seen: set[bytes] = set()
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
-                if key is None:
+                if key is None or key in seen:
                     continue
-                counted = _longest_heads(text.as_py(), order)
-                place = sum(hot[e] * n for e, n in counted.items() if e in hot)
-                # One row for the text itself, under a name that spreads and no head has.
-                rows.append((key, key.hex(), 0, sum(counted.values()), place))
-                for entry, n in counted.items():
-                    if entry not in hot:
-                        rows.append((key, entry, n, None, None))
-                        if len(rows) >= _OUT_ROWS:
-                            yield out()
-                            rows.clear()
+                if len(seen) >= _HELD_ENTRIES:
+                    seen.clear()
+                seen.add(key)
+                words = set(words_of(text.as_py()))
+                place = 0
+                for word in words:
+                    value = hot.get(word)
+                    if value is None:
+                        rows.append((key, word, None, None))
+                    else:
+                        place += value
+                # One row for the text itself, under a name that spreads and no word has.
+                rows.append((key, "\n" + key.hex(), len(words), place))
+                if len(rows) >= _OUT_ROWS:
+                    yield out()
+                    rows.clear()
         if rows:
             yield out()
 
-    # Equal texts share a key; `copies` undoes that their parts are added up.
+    # Equal texts share a key; `copies` undoes that several tasks add their parts up.
     keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
     rows = keyed.select("key", "text").mapInArrow(
-        parts, "key binary, entry string, n bigint, words bigint, sum bigint"
+        parts, "key binary, entry string, words bigint, sum bigint"
     )
-    rest = values.where(F.col("words") < F.lit(hot_share * total)).select("entry", "value")
+    rest = values.where((F.col("texts") < F.lit(hot_share * total)) & (F.col("value") != 0))
     sums = (
-        rows.join(rest.hint("merge"), "entry", "left")
+        rows.join(rest.select("entry", "value").hint("merge"), "entry", "left")
         .groupBy("key")
         .agg(
-            F.sum(F.coalesce(F.col("n") * F.col("value"), F.lit(0)) + F.coalesce("sum", F.lit(0))).alias("_sum"),
+            F.sum(F.coalesce("value", "sum", F.lit(0))).alias("_sum"),
             F.sum("words").alias("_words"),
             F.count("words").alias("_copies"),
         )
@@ -326,8 +433,8 @@ def score_toxicity(
 ) -> DataFrame:
     """doc_id, score, predicted of every row of `docs`; labels learnt from `allowed` rows only.
 
-    `allowed` is an expression over doc_id. Of those, three quarters are counted and one
-    quarter fits the curve. Null and empty texts score as texts without evidence. Rows keep
+    `allowed` is an expression over doc_id. Of those, three quarters are counted, and one
+    quarter calibrates the words' ratios and fits the curve. Null and empty texts score as texts without evidence. Rows keep
     null and repeated ids; a label counts for every row with its id. Without labels of both
     kinds every score is the share of toxic labels, or 0.5. An empty table gives no rows.
     """
@@ -339,15 +446,18 @@ def score_toxicity(
     texts = docs.select("doc_id", "text")
     # Always a merge join: labels grow with the corpus, and one plan serves every size.
     labelled = texts.where(usable & counted).join(given.where(counted).hint("merge"), "doc_id")
+    checked = texts.where(usable & ~counted).join(given.where(~counted).hint("merge"), "doc_id")
     counts = stored_once(head_counts(labelled, order), "toxicity-counts")
-    values = stored_once(
-        entry_values(corpus_heads(texts, order), log_ratios(counts), backoffs(counts)),
-        "toxicity-values",
+    spellings = stored_once(model(counts), "toxicity-model")
+    ratios = stored_once(
+        word_ratios(corpus_words(texts), spellings, order), "toxicity-words"
+    )
+    scored = stored_once(
+        with_ratio(texts, word_values(ratios, word_counts(checked))), "toxicity-ratios"
     )
-    scored = stored_once(with_ratio(texts, values, order), "toxicity-ratios")
     fitted = scored.where(usable & ~counted).join(given.where(~counted), "doc_id")
-    # Bins of a thousandth between -5 and 5: at most 10,001 rows reach the driver.
-    place = F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("ratio"))), 3)
+    # Bins of a hundred-thousandth; beyond 0.2 the curve is flat: at most 25,001 rows.
+    place = F.round(F.greatest(F.lit(-0.05), F.least(F.lit(0.2), F.col("ratio"))), 5)
     bins = fitted.groupBy(place.alias("x")).agg(
         F.sum(1 - F.col("label")).alias("no"), F.sum("label").alias("yes")
     )
