@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from veilframe.llm.html_text import extract_pages, main_lines, main_text
+from veilframe.llm.html_text import Line, extract_pages, lines_of, main_lines, main_text, weights
 
 CASES = [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<div>1 < 2 &amp; 3</div>", "1 < 2 & 3"),
@@ -23,7 +23,7 @@ CASES = [
     ("<article>a<p>b &lt;i&gt; &#233;&eacute;</p><form><input><p>x</p></form>", "a\nb <i> éé"),
     ("<div id='readerComments'><p>c</p></div><p>body of the page</p>", "body of the page"),
     ("<div><a href=/>Home</a></div><div><a>News</a></div><h1>T</h1><p>See <a>this</a> and the "
-     "rest of it.</p><p><a>More</a></p>", "T\nSee this and the rest of it."),
+     "rest of it.</p><p><a>More</a></p>", "T\nSee this and the rest of it.\nMore"),
     ("<p>cut off in a <b", "cut off in a"), ("<p>cut &am", "cut &am"),
     ("<article><table><tr><td>1</td><td>2</td></tr></table></article>", "1\n2"),
 ]
@@ -48,15 +48,28 @@ def test_given_pages_equal_their_articles(spark):
 
 
 def test_surge_and_dive():
-    gap = [("", False, False)] * 3
-    lines = [("menu", False, False), *gap, ("x" * 30, False, False), ("link", False, True),
-             ("y", False, False), *gap, ("end", False, False)]
-    assert main_lines(lines) == ["x" * 30, "link", "y"]
-    assert main_lines([("ab", False, False), *gap, ("abc", False, False)]) == ["abc"]
+    gap = [Line("")] * 3
+    text, link = Line("x" * 30), Line("link", linked=True)
+    lines = [Line("menu"), *gap, text, link, Line("y", prose=True), text, *gap, Line("end")]
+    assert main_lines(lines) == ["x" * 30, "link", "y", "x" * 30]
+    assert main_lines([Line("ab"), *gap, Line("abc")]) == ["abc"]
     assert main_lines([]) == []
-    links = [("one", False, True), ("two", False, True)]
-    assert main_lines([*links, *lines[4:5], *links]) == ["x" * 30]
+    links = [Line("one", linked=True), Line("two", linked=True)]
+    assert main_lines([*links, text, *links]) == ["x" * 30]
     assert main_lines(links) == ["one", "two"]
+    # Short lines: many bare ones are a menu, one is part of the text, prose always is.
+    short = [Line(f"item {i}") for i in range(5)]
+    assert main_lines([*short, text, *short]) == ["x" * 30]
+    assert main_lines([short[0], text]) == ["item 0", "x" * 30]
+    prose = [x._replace(prose=True) for x in short]
+    assert main_lines([*prose, text]) == [x.text for x in [*prose, text]]
+    # What weighs nothing is left out wherever it stands, and parts no text.
+    advert = Line("z" * 50, weighs=False)
+    assert main_lines([advert, text, advert, text, advert]) == ["x" * 30] * 2
+    # The level follows the page: lines that would surge on a page of titles do not here.
+    long = Line("w" * 900)
+    assert main_lines([Line("About our company and us")] * 4 + [long]) == ["w" * 900]
+    assert len(main_lines([Line("About our company and us")] * 4)) == 4
 
 
 def test_table_edges(spark):
@@ -95,3 +108,77 @@ def test_story_outside_the_named_elements():
     teaser = "<article><p>Teaser</p></article>"
     got = main_text(f"<div class='story'>{body}</div>{teaser}{teaser}").split("\n")
     assert got[:4] == story
+
+
+STORY = [f"Paragraph {i} of the story, which is long enough to make the text surge." for i in range(4)]
+
+
+def page_of(before="", after="", wrap="<div>{}</div>", tag="p"):
+    return "<body>" + before + wrap.format("".join(f"<{tag}>{x}</{tag}>" for x in STORY)) + after + "</body>"
+
+
+@pytest.mark.parametrize("tag", ["p", "div", "section"])
+def test_menus_and_footers_of_plain_elements(tag):
+    """Nothing but the lengths of the lines tells these from the article."""
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "News", "Sports", "About us", "Contact"))
+    foot = "".join(f"<div>{x}</div>" for x in ("Imprint", "Privacy", "Terms", "Jobs"))
+    page = page_of(menu + "<h1>Title</h1>", foot, tag=tag)
+    lines = lines_of(page)
+    assert len(lines) == 14 and all(weights(lines, 3, 20))  # the markup has decided nothing
+    assert main_text(page).split("\n") == ["Title", *STORY]
+
+
+def test_blocks_and_markup_disagree():
+    """An article element with a teaser; the story stands in plain elements beside it."""
+    teaser = "<article><div>Read more</div></article>"
+    page = page_of(teaser + "<div>a</div><div>b</div><div>c</div>", "", tag="div")
+    assert main_text(page).split("\n") == ["Read more", *STORY]
+    inside = page_of("<div>Site name</div>", "<div>Imprint</div>", "<article>{}</article>")
+    assert main_text(inside).split("\n") == STORY
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<section class='related-work'><p>Earlier papers.</p></section>", "<p class='legal'>By law.</p>",
+     "<p id='search'>The search.</p>", "<div class='side by side'><p>Two views.</p></div>",
+     "<ul class='toc'><li>One</li><li>Two</li></ul>", "<div class='search'><p>They searched.</p></div>"],
+)
+def test_names_do_not_lose_content(part):
+    words = re.sub("<[^>]*>", "\n", part).split("\n")
+    expected = [w for w in words if w]
+    for wrap in ("<article>{}</article>",):
+        page = wrap.format("".join(f"<p>{x}</p>" for x in STORY[:2]) + part + f"<p>{STORY[2]}</p>")
+        assert main_text(page).split("\n") == [*STORY[:2], *expected, STORY[2]]
+    if "class='search'" not in part and "related" not in part:
+        page = f"<div><p>{STORY[0]}</p>{part}<p>{STORY[1]}</p></div>"
+        assert main_text(page).split("\n") == [STORY[0], *expected, STORY[1]]
+
+
+def test_links_that_are_text():
+    head = "<h1><a href=/x>The title</a></h1>"
+    single = "<p><a href=/y>A sentence that is one link.</a></p>"
+    page = page_of(head, "", "<div>" + "<p>{}</p>".format(STORY[0]) + single + "{}</div>")
+    assert main_text(page).split("\n") == ["The title", STORY[0], "A sentence that is one link.", *STORY]
+    links = "<p><a>one</a></p><p><a>two</a></p><p><a>three</a></p>"
+    assert main_text(page_of("", links + "<p>End.</p>")).split("\n") == [*STORY, "End."]
+
+
+def test_boilerplate_weighs_nothing_on_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()
+    for r in rows:
+        lines = lines_of(r.html)
+        kept = main_lines(lines)
+        assert 0 < len(kept) < len(lines)  # menus, adverts and footers are lines, left out by weight
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    for tag in ("div", "b", "a", "li", "p"):
+        started = time.perf_counter()
+        page = f"<{tag}>" * 16_000 + "some text" + f"</{tag}>" * 16_000
+        assert main_text(page) == "some text"
+        assert time.perf_counter() - started < 2
+    started = time.perf_counter()
+    main_text("<div><i>x" * 20_000 + "</b></p>" * 20_000)
+    assert time.perf_counter() - started < 4
