@@ -99,3 +99,77 @@ def test_empty_table(spark):
     placed, pieces = mixing.mix_plan(docs)
     assert mixing.taken_words(placed, pieces).count() == 0
     assert mixing.mixed_documents(docs).count() == 0
+
+
+def test_counts_per_shard_are_multinomial(spark):
+    """Draws of three sources with shares 1/6, 2/6, 3/6 in shards of 120 slots."""
+    sequences = spark.createDataFrame([(0, 4_000), (1, 8_000), (2, 12_000)], "source_no int, slots bigint")
+    drawn = mixing.drawn_slots(sequences, 120, seed=5).cache()
+    assert drawn.count() == 24_000
+    # Every slot of every sequence once, every place of every shard once.
+    for no, n in ((0, 4_000), (1, 8_000), (2, 12_000)):
+        slots = [r.slot for r in drawn.where(F.col("source_no") == no).select("slot").collect()]
+        assert sorted(slots) == list(range(n))
+    assert drawn.select("shard", "place").distinct().count() == 24_000
+    per = drawn.groupBy("shard").pivot("source_no", [0, 1, 2]).count().na.fill(0).collect()
+    assert len(per) == 200 and all(r["0"] + r["1"] + r["2"] == 120 for r in per)
+    # Mean and variance of a multinomial: n p and n p (1 - p); the last shards are corrected.
+    for no, p in ((0, 1 / 6), (1, 2 / 6), (2, 3 / 6)):
+        counts = [r[str(no)] for r in per if r.shard < 190]
+        mean = sum(counts) / len(counts)
+        variance = sum((c - mean) ** 2 for c in counts) / len(counts)
+        assert mean == pytest.approx(120 * p, abs=1.5)
+        assert 0.7 < variance / (120 * p * (1 - p)) < 1.4
+    # A source's slots rise with the shards, but for the corrected end.
+    early = drawn.where("shard < 150").groupBy("source_no", "shard").agg(
+        F.min("slot").alias("a"), F.max("slot").alias("b")).orderBy("source_no", "shard").collect()
+    for x, y in zip(early, early[1:]):
+        assert x.source_no != y.source_no or x.b + 1 == y.a
+    again = mixing.drawn_slots(sequences.repartition(3), 120, seed=5)
+    assert drawn.exceptAll(again).count() == 0
+    other = mixing.drawn_slots(sequences, 120, seed=6)
+    assert drawn.exceptAll(other).count() > 10_000
+
+
+def test_sequences_are_as_long_as_their_words(spark):
+    """Slots counted in advance are those that take words, whatever the target's remainder."""
+    for rest in (0, 1, 15, 16, 17, 40, 150, 163, 164):
+        target = spark.createDataFrame(
+            [(0, 164, 11, 1, rest, 4), (1, 176, 11, 0, rest, 16)],
+            "source_no int, source_size bigint, blocks bigint, epochs bigint, rest bigint, last_block bigint",
+        )
+        for seed in range(4):
+            for row in mixing._with_slots(target, 16, seed).join(target, "source_no").collect():
+                one = target.where(F.col("source_no") == row.source_no)
+                key = F.xxhash64(F.lit(seed), "source_no", F.col("epochs").alias("epoch"))
+                order = one.select(F.posexplode(F.transform(
+                    F.sequence(F.lit(0), F.lit(10)), lambda i: mixing.permuted(i, F.lit(11), key)))).collect()
+                left, used = rest, 0
+                for _, block in sorted(order):
+                    if left <= 0:
+                        break
+                    left -= row.last_block if block == 10 else 16
+                    used += 1
+                assert row.slots == row.epochs * 11 + used
+
+
+def test_the_mixed_corpus_comes_by_shards(spark):
+    rows = [(i, f"t{i} " + "w " * (20 + i % 50), f"s{i % 3}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, first int")
+    mixed = mixing.mixed_documents(docs, shard="shard", block_words=16, shard_slots=128)
+    assert mixed.columns == [*docs.columns, "shard"]
+    got = mixed.withColumn("part", F.spark_partition_id()).collect()
+    assert len({(r.shard, r.part) for r in got}) == len({r.shard for r in got}) > 5
+    placed, pieces = mixing.mix_plan(docs, block_words=16, shard_slots=128)
+    first = {}
+    for r in pieces.collect():
+        key = (r.doc_id, r.epoch)
+        first[key] = min(first.get(key, (r.shard, r.place, r.lo)), (r.shard, r.place, r.lo))
+    assert sorted((r.doc_id, r.shard) for r in got) == sorted((d, f[0]) for (d, _), f in first.items())
+    order = {}
+    for r in got:
+        order.setdefault(r.shard, []).append(r.doc_id)
+    for shard, ids in order.items():
+        assert ids == [d for (d, _), f in sorted(first.items(), key=lambda x: (x[1], x[0][0])) if f[0] == shard]
+    sizes = pieces.groupBy("shard").agg(F.countDistinct("place").alias("n")).collect()
+    assert sorted(r.n for r in sizes)[1:] == [128] * (len(sizes) - 1)  # all but the last are full

@@ -6,9 +6,12 @@ times the source, and the excess is shared again among the others (water filling
 level L a source gets min(weight * L, cap)). A source gives out its stream in epochs: each
 epoch visits all blocks in a pseudorandom order of their indexes (a swap-or-not
 permutation, computed per slot, nothing is sorted), and the last one stops at the target.
-Each slot of that sequence draws its output shard by a keyed hash, so the sources' counts
-per shard are a multinomial draw given the totals, and the totals meet the targets
-exactly. Slots and document pieces are joined by (source, block index).
+The mix is written in output shards of `shard_slots` slots. For each shard the sources' counts
+are a multinomial draw with the targets' shares: every slot draws its source by a keyed hash.
+A source's draws, shard after shard, take the slots of its sequence in turn. What a
+source is drawn more often than its sequence has slots, at the end of the mix, goes to sources
+drawn too seldom, so the totals meet the targets. Slots and document pieces are joined by
+(source, block index).
 
 Sums run in two levels: within buckets of some thousand documents, then over the buckets
 of a source, so a source with most rows does not end in one task.
@@ -25,8 +28,10 @@ from veilframe.llm.common import stored_once, unused
 # Fixed value: what separates words, ASCII white space as the mix counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-# Slots made from one row of the plan before they are dealt to tasks.
-_SLOTS_PER_ROW = 1024
+# Slots of an output shard; the last one may have fewer.
+SHARD_SLOTS = 1024
+# Cells of a table of ranges: a number is looked up in its cell, where few ranges are.
+_CELLS = 4096
 _ROUNDS = 16
 
 
@@ -40,8 +45,9 @@ def source_targets(
 ) -> DataFrame:
     """(source, source_no, source_size, weight, target) per source.
 
-    Sources by code point, null last, take the weights in turn. The table has one row a
-    source, so its windows are small whatever the corpus is.
+    Sources by code point, null last, take the weights in turn. The windows here and in
+    `drawn_slots` run over one row a source in one task: right for any number of sources, and
+    cheap up to some millions.
     """
     numbered = (
         sizes.groupBy("source")
@@ -112,6 +118,118 @@ def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Co
     return F.aggregate(rounds, index.cast("bigint"), swap)
 
 
+def _with_slots(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """(source_no, slots) of the sources that are taken from: the length of their sequences."""
+    key = F.xxhash64(F.lit(seed), "source_no", F.col("epochs").alias("epoch"))
+    # Where the short block comes in the last epoch; later slots begin that much earlier.
+    short = permuted(F.col("blocks") - 1, F.col("blocks"), key, inverse=True)
+    full = F.ceil(F.col("rest") / F.lit(block_words))
+    beyond = F.ceil((F.col("rest") + block_words - F.col("last_block")) / F.lit(block_words))
+    through = F.col("_short") + 1
+    last = F.least(full, through) + F.greatest(F.lit(0), F.least(beyond, F.col("blocks")) - through)
+    return (
+        targets.where("blocks > 0")
+        .withColumn("_short", short)
+        .select(
+            "source_no",
+            (F.col("epochs") * F.col("blocks") + F.when(F.col("rest") > 0, last).otherwise(F.lit(0)))
+            .cast("bigint")
+            .alias("slots"),
+        )
+        .where("slots > 0")
+    )
+
+
+def _looked_up(rows: DataFrame, value: str, ranges: DataFrame, total: int) -> DataFrame:
+    """`rows` with the columns of the range [_lo, _hi) that holds `value`, which is below `total`.
+
+    A join by cell: a range stands in the cells it touches, at most `_CELLS` more rows in all.
+    """
+    width = F.lit(max(1, -(-total // _CELLS)))
+    cells = ranges.where(F.col("_lo") < F.col("_hi")).withColumn(
+        "_cell",
+        F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))),
+    )
+    return (
+        rows.withColumn("_cell", F.floor(F.col(value) / width))
+        .join(cells, "_cell")
+        .where((F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi")))
+        .drop("_cell")
+    )
+
+
+def drawn_slots(sequences: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """shard, place, source_no, slot: every slot of the mix, and which of a source's it is.
+
+    `sequences` has source_no and slots. There are as many slots as sequences hold in all,
+    dealt to shards of `shard_slots`. Each draws its source with the chance of the source's
+    share, so the sources' counts in a shard are multinomial.
+    """
+    spark = sequences.sparkSession
+    total = sequences.agg(F.sum("slots")).first()[0] or 0
+    earlier = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)
+
+    def ranges(table: DataFrame, count: str) -> DataFrame:
+        low = F.coalesce(F.sum(count).over(earlier), F.lit(0))
+        return table.withColumn("_lo", low).withColumn("_hi", F.col("_lo") + F.col(count))
+
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    # A stated number of tasks: by their bytes these few rows would be put into one.
+    shards = spark.range(0, -(-total // shard_slots), 1, tasks).withColumnRenamed("id", "shard")
+    filled = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots)
+    places = shards.withColumn(
+        "place", F.explode(F.sequence(F.lit(0).cast("bigint"), filled - 1))
+    ).withColumn(
+        "_draw", F.pmod(F.xxhash64(F.lit(seed + 1), "shard", "place"), F.lit(max(1, total)))
+    )
+    drawn = stored_once(
+        _looked_up(places, "_draw", ranges(sequences, "slots"), total).select(
+            "shard", "place", "source_no", "slots"
+        ),
+        "mix-draws",
+    )
+    counts = drawn.groupBy("source_no", "shard").agg(F.count(F.lit(1)).alias("_count"))
+    before = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select(
+        F.col("source_no").alias("_source"),
+        F.col("shard").alias("_shard"),
+        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"),
+    )
+    within = W.partitionBy("shard", "source_no").orderBy("place")
+    ranked = (
+        drawn.withColumn("_nth", F.row_number().over(within) - 1)
+        .join(bases, (F.col("source_no") == F.col("_source")) & (F.col("shard") == F.col("_shard")))
+        .select("shard", "place", "source_no", "slots", (F.col("_base") + F.col("_nth")).alias("slot"))
+    )
+    # Draws beyond a source's sequence, numbered over all sources, fill the sequences not full.
+    found = counts.groupBy(F.col("source_no").alias("_source")).agg(F.sum("_count").alias("_drawn"))
+    balance = sequences.join(found, F.col("source_no") == F.col("_source"), "left").select(
+        "source_no", "slots", F.coalesce("_drawn", F.lit(0)).alias("_drawn")
+    )
+    surplus = ranges(
+        balance.withColumn("_over", F.greatest(F.lit(0), F.col("_drawn") - F.col("slots"))), "_over"
+    ).select(F.col("source_no").alias("_source"), F.col("_lo").alias("_first"))
+    lacking = ranges(
+        balance.withColumn("_under", F.greatest(F.lit(0), F.col("slots") - F.col("_drawn"))), "_under"
+    ).select(F.col("source_no").alias("_to"), "_lo", "_hi", F.col("_drawn").alias("_had"))
+    over = (
+        ranked.where(F.col("slot") >= F.col("slots"))
+        .join(surplus, F.col("source_no") == F.col("_source"))
+        .withColumn("_draw", F.col("_first") + F.col("slot") - F.col("slots"))
+    )
+    moved = _looked_up(over, "_draw", lacking, total).select(
+        "shard",
+        "place",
+        F.col("_to").alias("source_no"),
+        (F.col("_had") + F.col("_draw") - F.col("_lo")).alias("slot"),
+    )
+    return ranked.where(F.col("slot") < F.col("slots")).select(
+        "shard", "place", "source_no", "slot"
+    ).unionByName(moved)
+
+
 def row_key(seed: int) -> Column:
     """Keyed hash of a row: its place in its source's stream, wherever the row is stored."""
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
@@ -123,15 +241,16 @@ def mix_plan(
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     max_repeats: int = 3,
     block_words: int = 256,
-    shards: int = 64,
+    shard_slots: int = SHARD_SLOTS,
     bucket_rows: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, pieces).
 
     placed: doc_id, size, source_no, source_size, target, row, start: each row of `docs` at
     its place in its source's stream; `row` tells apart rows with equal ids.
-    pieces: doc_id, source_no, row, start, size, epoch, lo, hi, slot, shard: words [lo, hi) of a
-    document that a slot of the mix takes.
+    pieces: doc_id, source_no, row, start, size, epoch, lo, hi, slot, shard, place: words
+    [lo, hi) of a document that a slot of the mix takes. `slot` is its rank in the source's
+    sequence, `place` where it stands in its output shard.
 
     Uses doc_id, text and source. Null text has no words; such rows are placed, without
     pieces. Null sources form a source of their own. Equal rows are rows of their own. An
@@ -195,36 +314,15 @@ def mix_plan(
         "mix-placed",
     )
 
-    # Slots: (source, epoch, rank) -> block, and the words of it that the slot takes.
+    # Slots: shard and place there -> source and rank in its sequence -> epoch, block, words.
     key = F.xxhash64(F.lit(seed), "source_no", "epoch")
     short_rank = permuted(F.col("blocks") - 1, F.col("blocks"), key, inverse=True)
-    last_epoch = F.col("epochs") - F.when(F.col("rest") > 0, 0).otherwise(1)
-    tasks = max(
-        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        docs.sparkSession.sparkContext.defaultParallelism,
-    )
+    drawn = drawn_slots(_with_slots(targets, block_words, seed), shard_slots, seed)
     ranked = (
-        targets.where((F.col("source_size") > 0) & (last_epoch >= 0))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last_epoch)))
+        drawn.join(targets.drop("source", "weight", "target"), "source_no")
+        .withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
+        .withColumn("rank", F.col("slot") - F.col("epoch") * F.col("blocks"))
         .withColumn("_short_rank", short_rank)
-        .withColumn(
-            "_part",
-            F.explode(
-                F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / F.lit(_SLOTS_PER_ROW)))
-            ),
-        )
-        # A stated number of tasks: by their bytes these few rows would be put into one.
-        .repartition(tasks, "source_no", "epoch", "_part")
-        .withColumn(
-            "rank",
-            F.explode(
-                F.sequence(
-                    F.col("_part") * _SLOTS_PER_ROW,
-                    F.least((F.col("_part") + 1) * _SLOTS_PER_ROW, F.col("blocks")) - 1,
-                )
-            ),
-        )
-        .withColumn("slot", F.col("epoch") * F.col("blocks") + F.col("rank"))
         .withColumn("block", permuted(F.col("rank"), F.col("blocks"), key))
     )
     before = F.col("rank") * F.lit(block_words) - F.when(
@@ -238,15 +336,8 @@ def mix_plan(
     )
     # Written, so that joins know how many there are.
     slots = stored_once(
-        ranked.withColumn("taken", taken)
-        .where(F.col("taken") > 0)
-        .select(
-            "source_no",
-            "block",
-            "epoch",
-            "slot",
-            "taken",
-            F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "slot"), F.lit(shards)).alias("shard"),
+        ranked.withColumn("taken", taken).select(
+            "source_no", "block", "epoch", "slot", "taken", "shard", "place"
         ),
         "mix-slots",
     )
@@ -279,6 +370,7 @@ def mix_plan(
             (stop - F.col("start")).alias("hi"),
             "slot",
             "shard",
+            "place",
         )
     )
     facts = targets.select("source_no", "source_size", "target")
@@ -286,7 +378,10 @@ def mix_plan(
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken per row of the corpus."""
+    """doc_id, size, source_size, target, taken per row of the corpus; `mix_plan` has the cases.
+
+    Rows without words, null texts among them, have a taken of 0. Empty tables give no rows.
+    """
     counts = pieces.groupBy("source_no", "start", "row").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("_taken")
     )
@@ -304,22 +399,28 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, seed: int = 0, shard: str | None = None, **settings
+) -> DataFrame:
     """The mixed corpus, with the columns of `docs`: a row per document and epoch it is taken in.
 
+    Rows come shard by shard, in the order of their first words there; a column `shard` is added
+    if a name for it is given. So each stretch of the output has the drawn mix of sources.
+
     A document taken whole keeps its text; one taken in part keeps the words of the parts,
     each with the white space that follows it. `n_chars`, where there is one, is counted
     anew. Rows not taken are left out, and so are rows without words.
     """
     _, pieces = mix_plan(docs, seed, **settings)
     spans = pieces.groupBy("row", "doc_id", "start", "epoch", "size").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")
+        F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"),
+        F.min(F.struct("shard", "place", "lo")).alias("first"),
     )
-    row, copy, use_row, use_id, uses, start, use = unused(
-        docs, "_row", "_copy", "_use_row", "_use_id", "_uses", "_start", "_use"
+    row, copy, use_row, use_id, uses, start, use, first = unused(
+        docs, "_row", "_copy", "_use_row", "_use_id", "_uses", "_start", "_use", "_first"
     )
     found = spans.groupBy(F.col("row").alias(use_row), F.col("doc_id").alias(use_id)).agg(
-        F.collect_list(F.struct("start", "epoch", "size", "spans")).alias(uses)
+        F.collect_list(F.struct("start", "epoch", "size", "spans", "first")).alias(uses)
     )
     starts = F.array_sort(F.array_distinct(F.col(f"{uses}.start")))
     # Equal rows have one key and different starts: the n-th such row takes the n-th start.
@@ -348,4 +449,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out.select(*docs.columns)
+    own = docs.columns if shard is None else [*docs.columns, shard]
+    placed = out.withColumn(first, F.col(f"{use}.first"))
+    if shard is not None:
+        placed = placed.withColumn(shard, F.col(f"{first}.shard"))
+    return (
+        placed.select(*own, first)
+        .repartition(F.col(f"{first}.shard"))
+        .sortWithinPartitions(first, F.col("doc_id"))
+        .select(*own)
+    )
