@@ -111,7 +111,11 @@ def with_statistics(docs: DataFrame, name: str = "_stats") -> DataFrame:
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, max_labelled: int
 ) -> DataFrame:
-    """label and statistics of at most `max_labelled` labelled rows, stored as one file."""
+    """label and statistics of at most `max_labelled` labelled rows, stored as one file.
+
+    A null text counts as empty. A label counts for every row with its id, rows with a null id or
+    label never. Empty tables, or none allowed, give no rows.
+    """
     usable = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = (
         usable.select("doc_id", F.col(label).cast("double").alias("label"))
@@ -190,7 +194,11 @@ def learn(
     allowed: Column | None = None,
     max_labelled: int = MAX_LABELLED,
 ) -> RuleEnsemble:
-    """Ensemble from labelled documents; `allowed` says which rows of `labels` may be used."""
+    """Ensemble from labelled documents; `allowed` says which rows of `labels` may be used.
+
+    Nulls and repeats as in `training_rows`; other columns are not read. Without labels of both
+    kinds the ensemble has no rules, and every score is the share of good labels, or 0.5.
+    """
     usable = F.lit(True) if allowed is None else allowed
     return fit_ensemble(training_rows(docs, labels, label, usable, max_labelled))
 
@@ -212,7 +220,11 @@ def score_documents(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:
-    """Rows of `docs` that the ensemble does not reject, with the columns of `docs`."""
+    """Rows of `docs` that the ensemble does not reject, with the columns of `docs`.
+
+    Null and empty texts are judged by their statistics, all 0; rows with equal texts share their
+    fate, whatever their ids. An empty table gives no rows.
+    """
     (stats,) = unused(docs, "_stats")
     scored = with_statistics(docs, stats)
     return scored.where(ensemble.score(F.col(stats)) >= F.lit(THRESHOLD)).select(*docs.columns)

@@ -41,7 +41,12 @@ RULES = (
     # Runs are matched whole, so a least length inside the pattern finds the same runs.
     Rule("access", r"AKIA[A-Z0-9]{16,}", least=20, base=True),
     Rule("hex", r"[0-9a-f]{24,}", least=24, base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # The whole key: up to its end line, or without one as far as the encoded lines go.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x20\x09\x0D\x0A-]*?"
+        r"-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\x0D\x0A]*)",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -113,7 +118,9 @@ def scan_unseen(
 ) -> DataFrame:
     """New ledger rows (blob, rules_version, findings): blobs of `docs` the ledger lacks.
 
-    Blobs without findings get a row too, with an empty array, so that they count as seen.
+    Blobs without findings get a row too, with an empty array, so that they count as seen. A
+    null text is the empty one. Repeated texts, and equal texts under any ids, give one row; an
+    empty table none. Other columns than `text` are not read.
     """
     version = rules_version(rules)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -184,7 +191,11 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """`docs` with secrets replaced in `text`, same rows and columns; `n_chars` counted anew."""
+    """`docs` with secrets replaced in `text`, same rows and columns; `n_chars` counted anew.
+
+    Null texts stay null, texts without secrets as they are, repeated rows are each redacted.
+    Columns of any name pass through. An empty table gives no rows.
+    """
     (found,) = unused(docs, "findings")
     scanned, _ = scan_documents(docs, rules, name=found)
     out = scanned.withColumn("text", redacted(F.col("text"), F.col(found)))
@@ -199,7 +210,11 @@ def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFram
 
 
 def digests(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, one count per base kind, digest of the base spans, and all spans as text."""
+    """doc_id, one count per base kind, digest of the base spans, and all spans as text.
+
+    One row per row of `scan_documents`; a null or empty text has counts of 0, the digest of
+    the empty string and no spans. Spans that start together go by the order of the rules.
+    """
 
     def joined(found: Column) -> Column:
         return F.array_join(
