@@ -81,3 +81,19 @@ def test_differencing():
         assert max(sums) - min(sums) <= 20
     # 3 + 3 + 3 does not fit two bins of 5, so the count rises to three.
     assert sorted(map(len, balanced(np.array([3, 3, 3]), 5, 2))) == [1, 1, 1]
+
+
+def test_tails_of_many_splits_are_packed_together(spark):
+    """211 splits with a tail each: short sequences are as few as the second pass has tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = pack_documents(docs.repartition(211, "doc_id"), JSON, RANKS).collect()
+    lengths = check(rows, texts, 2048)
+    tokens = sum(lengths.values())
+    assert sum(n < 1024 for n in lengths.values()) <= 22
+    assert len(lengths) <= 1.02 * -(-tokens // 2048) + 22
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in lengths.values())
+    assert padding < 0.01 * tokens
+    # Layout and retries: the same splits give the same windows.
+    again = pack_documents(docs.repartition(211, "doc_id"), JSON, RANKS).collect()
+    assert len(again) == len(rows) and len({r.sequence_id for r in again}) == len(lengths)

@@ -1,15 +1,19 @@
 """Pack token streams into near-full windows by Karmarkar-Karp multiway differencing.
 
 A task packs the documents of its own input split, a block of windows at a time, so
-nothing is shuffled and a task holds one block whatever the split's size. Whole
+only tails are shuffled and a task holds one block whatever the split's size. Whole
 windows of a long document are cut off first. What is left is cut into pieces of at
 most `piece` tokens until a block is full: `windows` times the capacity less a small
 slack. Differencing then keeps merging the two partial partitions with the largest
 imbalances, largest bins against smallest, until one partition into `windows` bins is
 left. If a bin exceeds the capacity, the block is packed again with pieces half as long, a
 few times, as smaller pieces leave smaller imbalances; if that does not help, the number
-of bins is raised by one. Neighbouring pieces in one window are one piece again. The last block of a split gives up its tail to sequences whose
-lengths are powers of two, which need no padding.
+of bins is raised by one. Neighbouring pieces in one window are one piece again.
+
+What is left at the end of a split, less than a window, is its tail. The tails of about as many
+splits as a block has windows go to one task of a second pass, which packs them in the same
+way. Only what is left there is cut into sequences whose lengths are powers of two, which need
+no padding: at most eleven for a capacity of 2048, and so few short ones in all.
 
 A retried task reads the same split and gives the same windows and ids.
 """
@@ -25,10 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilframe.llm.common import stored_once
 
 END_OF_DOCUMENT = 1
 # How often pieces are halved before the number of windows is raised.
 _FINER = 3
+# Added to the task's number in sequence ids of the second pass.
+_SECOND = 1 << 28
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
@@ -139,26 +148,36 @@ def joined(pieces: list[tuple]) -> list[tuple]:
     The ids of neighbours are views of one document's ids, which tells apart documents with
     equal ids.
     """
-    out: list[tuple] = []
-    for doc, start, ids, tokens in pieces:
-        if out:
-            _, before, held, _ = out[-1]
+    groups: list[list[tuple]] = []
+    for piece in pieces:
+        _, start, ids, _ = piece
+        if groups:
+            _, before, held, _ = groups[-1][-1]
             if ids.base is held.base and ids.base is not None and before + len(held) == start:
-                out[-1] = (doc, before, ids.base[before : start + len(ids)], tokens)
+                groups[-1].append(piece)
                 continue
-        out.append((doc, start, ids, tokens))
-    return out
+        groups.append([piece])
+    return [
+        (doc, start, group[0][2] if len(group) == 1 else np.concatenate([x[2] for x in group]), tokens)
+        for group in groups
+        for doc, start, _, tokens in group[:1]
+    ]
 
 
 def packed(
-    documents: Iterator[tuple[int | None, np.ndarray]],
+    documents: Iterator[tuple[int | None, int, np.ndarray, int]],
     capacity: int,
     windows: int,
     piece: int,
     slack: int,
     first_sequence: int,
+    last_pass: bool,
 ) -> Iterator[tuple]:
-    """(doc_id, start, ids, doc_tokens, sequence_id, offset) for each piece."""
+    """(doc_id, start, ids, doc_tokens, sequence_id, offset) for each piece.
+
+    Takes (doc_id, start, ids, doc_tokens) of documents or parts of them. The tail has no
+    sequence, unless this is the last pass.
+    """
     sequence = first_sequence
     held: list[tuple[int | None, int, np.ndarray, int]] = []
     total, full = 0, windows * (capacity - slack)
@@ -185,35 +204,43 @@ def packed(
             members = balanced(sizes, capacity, count + 1)
         return laid([joined([parts[i] for i in m]) for m in members if m])
 
-    for doc, ids in documents:
-        at, tokens = 0, len(ids)
-        while tokens - at >= capacity:
-            yield from laid([[(doc, at, ids[at : at + capacity], tokens)]])
+    def taken(room: int) -> list[tuple]:
+        """The last `room` tokens of what is held, in order."""
+        members = []
+        while room:
+            doc, start, ids, tokens = held.pop()
+            keep = max(0, len(ids) - room)
+            members.append((doc, start + keep, ids[keep:], tokens))
+            room -= len(ids) - keep
+            if keep:
+                held.append((doc, start, ids[:keep], tokens))
+        return joined(members[::-1])
+
+    for doc, begin, ids, tokens in documents:
+        at, size = 0, len(ids)
+        while size - at >= capacity:
+            yield from laid([[(doc, begin + at, ids[at : at + capacity], tokens)]])
             at += capacity
-        for end in [*range(at + piece, tokens, piece), tokens] if at < tokens else []:
+        for end in [*range(at + piece, size, piece), size] if at < size else []:
             while total + end - at >= full:
                 cut = at + full - total
-                held.append((doc, at, ids[at:cut], tokens))
+                held.append((doc, begin + at, ids[at:cut], tokens))
                 yield from closed(windows)
                 held, total, at = [], 0, cut
             if end > at:
-                held.append((doc, at, ids[at:end], tokens))
+                held.append((doc, begin + at, ids[at:end], tokens))
                 total, at = total + end - at, end
     count = total // (capacity - slack)
     spare = total - count * (capacity - slack)
+    if not last_pass:
+        for member in taken(spare):
+            yield *member, None, None
+        spare = 0
     tail: list[list[tuple]] = []
     while spare:  # cut the end of the stream into sequences of 2^k tokens
         room = 1 << (spare.bit_length() - 1)
         spare -= room
-        members = []
-        while room:
-            doc, start, ids, tokens = held.pop()
-            keep = max(0, len(ids) - room)
-            members.append((doc, start + keep, ids[keep:], tokens))
-            room -= len(ids) - keep
-            if keep:
-                held.append((doc, start, ids[:keep], tokens))
-        tail.append(members[::-1])
+        tail.append(taken(room))
     if held:
         yield from closed(count)
     yield from laid(tail)
@@ -240,18 +267,11 @@ def pack_documents(
     if capacity < 1 or piece < 1 or windows < 1 or not 0 <= slack < capacity:
         raise ValueError("capacity, piece and windows must be positive, slack below capacity")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, ranks)
-
-        def documents():
-            for batch in batches:
-                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                    ids = encode(text.as_py() or "")
-                    ids.append(END_OF_DOCUMENT)
-                    yield doc, np.array(ids, dtype="<u4")
-
+    def packer(documents: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], last_pass: bool):
         def out(rows: list[tuple]) -> pa.RecordBatch:
             doc, start, ids, tokens, sequence, offset = zip(*rows, strict=True)
+            # The ids of a tail go on to the second pass.
+            carried = [x.tobytes() if keep_ids or s is None else None for x, s in zip(ids, sequence, strict=True)]
             columns = {
                 "doc_id": pa.array(doc, pa.int64()),
                 "start": pa.array(start, pa.int64()),
@@ -260,20 +280,65 @@ def pack_documents(
                 "doc_tokens": pa.array(tokens, pa.int64()),
                 "sequence_id": pa.array(sequence, pa.int64()),
                 "offset": pa.array(offset, pa.int64()),
+                "raw": pa.array(carried, pa.binary()),
+                "split": pa.array([split] * len(rows), pa.int64()),
             }
-            if keep_ids:
-                columns["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
             return pa.RecordBatch.from_pydict(columns)
 
-        first = TaskContext.get().partitionId() << 33
-        rows: list[tuple] = []
-        for row in packed(documents(), capacity, windows, piece, slack, first):
-            rows.append(row)
-            if len(rows) >= 2000:
+        split = 0
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal split
+            split = TaskContext.get().partitionId()
+            # Sequences of the second pass are numbered apart from those of the first.
+            first = (split + (_SECOND if last_pass else 0)) << 33
+            rows: list[tuple] = []
+            found = packed(documents(batches), capacity, windows, piece, slack, first, last_pass)
+            for row in found:
+                rows.append(row)
+                if len(rows) >= 2000:
+                    yield out(rows)
+                    rows = []
+            if rows:
                 yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
 
-    schema = SCHEMA + (", ids array<int>" if keep_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(pack, schema)
+        return pack
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encode = encoder(tokenizer, ranks)
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                ids = encode(text.as_py() or "")
+                ids.append(END_OF_DOCUMENT)
+                yield doc, 0, np.array(ids, dtype="<u4"), len(ids)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield row["doc_id"], row["start"], np.frombuffer(row["raw"], dtype="<u4"), row["doc_tokens"]
+
+    schema = SCHEMA + ", raw binary, split bigint"
+    first = stored_once(
+        docs.select("doc_id", "text").mapInArrow(packer(encoded, False), schema), "packing"
+    )
+    left = first.where("sequence_id is null")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-tokens // (windows * capacity)))
+    second = (
+        left.repartition(tasks, "split")
+        .sortWithinPartitions("split", "doc_id", "start", "ids_crc32", "length")
+        .mapInArrow(packer(tails, True), schema)
+    )
+    result = first.where("sequence_id is not null").unionByName(second)
+    columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    if not keep_ids:
+        return result.select(*columns)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in batch["raw"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in columns), pa.array(ids, pa.list_(pa.int32()))], [*columns, "ids"]
+            )
+
+    return result.select(*columns, "raw").mapInArrow(listed, SCHEMA + ", ids array<int>")
