@@ -127,3 +127,51 @@ def test_search_prunes_and_keeps_huge_scores(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(big, every=1).collect()}
     assert got[0, 1] == (1, 2**63 - 1)
     assert topk.search(big.limit(0)).count() == 0
+
+
+def test_rounds_cover_all_trees_once():
+    for trees in (0, 1, 2, 5, 6, 30, 1000):
+        rounds = topk.rounds_of(trees)
+        assert rounds[0][0] == 0.0 and rounds[-1][1] == 1.0
+        assert all(a[1] == b[0] for a, b in zip(rounds, rounds[1:])) and len(rounds) <= 6
+
+
+def test_floors_spare_products_and_rows(monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 16)) * 6
+    rows = np.floor(64 * (centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))))
+    trees = [topk.build_tree(np.arange(i, 4000, 8), rows[i::8], page=16) for i in range(8)]
+    ids, queries = np.arange(0, 4000, 100), rows[::100]
+    products, real = [], topk._products
+    monkeypatch.setattr(
+        topk, "_products", lambda a, b, e: (products.append(a.shape[0] * b.shape[0]), real(a, b, e))[1]
+    )
+    alone = [topk.search_tree(t, queries, ids, 10) for t in trees]
+    without = sum(products)
+    products.clear()
+    shared, floors = [], np.full(len(ids), topk._LOW, dtype=np.int64)
+    for tree in trees:
+        shared.append(topk.search_tree(tree, queries, ids, 10, floors))
+        best = {}
+        for q, v, s in (x for found in shared for x in found):
+            best.setdefault(q, []).append((-s, v))
+        floors = np.array([-sorted(best[q])[9][0] if len(best[q]) >= 10 else topk._LOW for q in ids])
+    assert sum(products) < 0.9 * without and sum(map(len, shared)) < 0.6 * sum(map(len, alone))
+    scores = queries.astype(np.int64) @ rows.astype(np.int64).T
+    for n, q in enumerate(ids):
+        expected = sorted((-s, v) for v, s in enumerate(scores[n].tolist()) if v != q)[:10]
+        assert sorted(best[q])[:10] == expected
+
+
+@pytest.mark.parametrize("block_rows", [16, 40])
+def test_many_rounds_equal_brute_force(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    vectors = np.round(rng.standard_normal((400, 4)), 1)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = topk.search(df.repartition(5), every=9, block_rows=block_rows).collect()
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    for q in range(0, 400, 9):
+        scores = whole @ whole[q]
+        expected = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert mine == [(n + 1, v, -s) for n, (s, v) in enumerate(expected)]

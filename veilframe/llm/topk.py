@@ -11,8 +11,9 @@ before its own is computed; entries of a leaf are dropped by their stored distan
 Nodes are opened by the best bound any query of the block has. A bound equal to the k-th
 score is followed, since ties go to the smaller id.
 
-Query blocks meet index blocks by an explicit key; each pair returns k rows a query at most,
-and the k best of all are taken per query.
+Query blocks meet index blocks by an explicit key. Trees are searched in rounds, each over
+four times as many trees as all before; a round starts from every query's k-th score so far, so
+only rows that reach it leave a task, about 4 k a query and round, however many trees there are.
 """
 
 from __future__ import annotations
@@ -117,16 +118,27 @@ def _products(a: np.ndarray, b: np.ndarray, exact_in_double: bool) -> np.ndarray
 
 
 def search_tree(
-    tree: MTree, queries: np.ndarray, query_ids: np.ndarray, k: int
+    tree: MTree,
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    k: int,
+    floors: np.ndarray | None = None,
 ) -> list[tuple[int, int, int]]:
-    """(query_id, id, score) of the k best rows of the tree for each query, without its own row."""
+    """(query_id, id, score) of the k best rows of the tree for each query, without its own row.
+
+    Of a query with a floor, only rows that reach it are wanted.
+    """
     count = len(queries)
     real = queries.astype(np.float64)
     norms = np.sqrt((real * real).sum(axis=1))
     top_norm = float(np.abs(tree.rows.astype(np.float64)).max(initial=0.0))
     widest = float(np.abs(real).max(initial=0.0))
     exact = top_norm * widest * max(1, queries.shape[1]) < 2**52
-    worst = np.full(count, -np.inf)  # k-th score so far
+    worst = np.full(count, -np.inf)  # k-th score so far, or the floor
+    if floors is not None:
+        # Beyond 2^53 a double may lie above the score it stands for.
+        worst = floors.astype(np.float64) if exact else np.nextafter(floors.astype(np.float64), -np.inf)
+        worst[floors == _LOW] = -np.inf
     best_scores = [np.zeros(0, dtype=np.int64)] * count
     best_ids = [np.zeros(0, dtype=np.int64)] * count
     slack = 1e-9 * (norms * (np.sqrt((tree.route**2).sum(axis=1)).max() + tree.radius.max()) + 1)
@@ -173,9 +185,8 @@ def search_tree(
             order = np.lexsort((names, -merged.astype(np.float64) if exact else -merged.clip(_LOW + 1)))[:k]
             best_scores[q], best_ids[q] = merged[order], names[order]
             if len(order) == k:
-                worst[q] = float(merged[order[-1]]) if exact else np.nextafter(
-                    float(merged[order[-1]]), -np.inf
-                )
+                last_score = float(merged[order[-1]])
+                worst[q] = max(worst[q], last_score if exact else np.nextafter(last_score, -np.inf))
     return [
         (int(query_ids[q]), int(i), int(s))
         for q in range(count)
@@ -267,37 +278,37 @@ def _tree(row: dict) -> MTree:
 
 
 def query_blocks(queries: DataFrame, scale: int = 1024, size: int = 512) -> DataFrame:
-    """query_dim, query_ids, query_rows: at most `size` queries a row."""
+    """query_dim, query_ids, query_rows, query_floors: at most `size` queries a row.
+
+    `queries` has id, vector and floor, the score a row must reach; null for any.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in integer_rows(batch, scale))
-        for dim, ids, values in _chunked(rows, size):
+        floors: dict[int, int] = {}
+
+        def rows() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                for ident, floor in zip(batch["id"].to_pylist(), batch["floor"].to_pylist(), strict=True):
+                    floors[ident] = _LOW if floor is None else floor
+                yield from integer_rows(batch, scale)
+
+        for dim, ids, values in _chunked(rows(), size):
+            least = np.array([floors.pop(i, _LOW) for i in ids.tolist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
-                 pa.array([_packed(values)], pa.binary())],
-                ["query_dim", "query_ids", "query_rows"],
+                 pa.array([_packed(values)], pa.binary()), pa.array([least.tobytes()], pa.binary())],
+                ["query_dim", "query_ids", "query_rows", "query_floors"],
             )
 
-    return queries.select("id", "vector").mapInArrow(
-        pack, "query_dim int, query_ids binary, query_rows binary"
+    return queries.select("id", "vector", "floor").mapInArrow(
+        pack, "query_dim int, query_ids binary, query_rows binary, query_floors binary"
     )
 
 
-def top_k(
-    index: DataFrame, queries: DataFrame, k: int = 10, lanes: int | None = None
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of the index for every query.
-
-    A query's own row, known by its id, is left out; vectors of another length are no
-    candidates. Ties go to the smaller id. Fewer than k candidates give fewer rows, an
-    empty table on either side none.
-    """
-    spark = index.sparkSession
-    lanes = lanes or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+def _found(index: DataFrame, blocks: DataFrame, k: int, lanes: int) -> DataFrame:
+    """query_id, vec_id, score: per query and tree its k best rows that reach its floor."""
     # Every query block goes to every lane, every index block to one.
-    asked = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    asked = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     pairs = index.withColumn("_lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).join(
         asked, (F.col("_lane") == F.col("lane")) & (F.col("dim") == F.col("query_dim"))
     )
@@ -310,21 +321,73 @@ def top_k(
                 if row["block"] != current:
                     current, tree = row["block"], _tree(row)
                 asked_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
-                found = search_tree(tree, _unpacked(row["query_rows"], row["dim"]), asked_ids, k)
+                floors = np.frombuffer(row["query_floors"], dtype=np.int64)
+                vectors = _unpacked(row["query_rows"], row["dim"])
+                found = search_tree(tree, vectors, asked_ids, k, floors)
                 q, v, s = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in (q, v, s)], ["query_id", "vec_id", "score"]
                 )
 
-    found = pairs.drop("lane", "_lane", "query_dim").mapInArrow(
+    return pairs.drop("lane", "_lane", "query_dim").mapInArrow(
         search, "query_id bigint, vec_id bigint, score bigint"
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+
+
+def rounds_of(trees: int, first: int = 1) -> list[tuple[float, float]]:
+    """Shares of the trees searched in each round: `first` of them, then four times as many as
+    before in all."""
+    ends = []
+    end = first
+    while end < trees:
+        ends.append(end / trees)
+        end *= 5
+    ends.append(1.0)
+    return list(zip([0.0, *ends[:-1]], ends, strict=True))
+
+
+def top_k(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    lanes: int | None = None,
+    scale: int = 1024,
+    size: int = 512,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of the index for every query.
+
+    `index` is a stored `index_blocks`, `queries` has unique id and vector. A query's own row,
+    known by its id, is left out; vectors of another length are no candidates. Ties go to the
+    smaller id. Fewer than k candidates give fewer rows, an empty table on either side none.
+    """
+    spark = index.sparkSession
+    lanes = lanes or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
+    tasks = max(1, -(-queries.count() // size))
+    asked = queries.select("id", "vector")
+    best = None
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = F.pmod(F.xxhash64("block", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    for low, high in rounds_of(index.count()):
+        if best is None:
+            known = asked.withColumn("floor", F.lit(None).cast("bigint"))
+        else:
+            floors = best.where(F.col("rank") == k).select(
+                F.col("query_id").alias("_id"), F.col("score").alias("floor")
+            )
+            known = asked.join(floors, F.col("id") == F.col("_id"), "left")
+        blocks = stored_once(
+            query_blocks(known.repartition(tasks, "id"), scale, size), "mtree-queries"
+        )
+        found = _found(index.where((place >= low) & (place < high)), blocks, k, lanes)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = stored_once(
+            found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k),
+            "mtree-best",
+        )
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def search(
@@ -344,8 +407,4 @@ def search(
     """
     given = embeddings.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("vector"))
     index = stored_once(index_blocks(given, scale, block_rows), "mtree-index")
-    asked = given.where(F.pmod("id", F.lit(every)) == 0)
-    size = 512
-    tasks = max(1, -(-asked.count() // size))
-    blocks = stored_once(query_blocks(asked.repartition(tasks, "id"), scale, size), "mtree-queries")
-    return top_k(index, blocks, k)
+    return top_k(index, given.where(F.pmod("id", F.lit(every)) == 0), k, scale=scale)
