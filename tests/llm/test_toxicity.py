@@ -16,8 +16,14 @@ def test_heads_and_words():
     assert tox.heads("abcd", 2) == ["\x02a", "\x02ab", "abc", "bcd", "cd\x03"]
     long = tox.heads("x" * 50)
     assert len(long) == 51 and {len(h) for h in long[7:]} == {tox.ORDER + 1}
-    assert tox.words_of(" Ab!! ... ¡c? ") == ["ab", "c"]
-    assert tox.words_of(None) == []
+    assert tox.words_of(" Ab!! ... ¡c? AB") == {"ab", "c"}
+    assert tox.words_of(None) == tox.words_of("") == set()
+
+
+def test_hashes_are_sparks(spark):
+    texts = ["", "a", "\x02ab", "ñandú…", "x" * 100]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h"))
+    assert {r.t: r.h % 2**64 for r in rows.collect()} == {t: tox._hash(t) for t in texts}
 
 
 TEXTS = [("the cat sat", 0), ("the dog the", 0), ("the idiot sat", 1), ("idiot cats", 1),

@@ -31,9 +31,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +52,8 @@ _START, _END = "\x02", "\x03"
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”„‘’…"
 _HELD_ENTRIES = 300_000
 # A context with at least this share of all spelt characters is looked up in place, and a word
-# with at least this share of all words: there are at most 50,000 and 500,000 of them.
-_HOT_CONTEXTS, _HOT_WORDS = 2e-5, 2e-6
+# with at least this share of all words: there are at most 500,000 of each.
+_HOT_CONTEXTS, _HOT_WORDS = 2e-6, 2e-6
 # Values are added as whole billionths of a nat, so sums do not depend on their order.
 _UNIT = 1e-9
 _OUT_ROWS = 50_000
@@ -66,10 +69,11 @@ def heads(word: str, order: int = ORDER) -> list[str]:
     return [spelt[max(0, k - order - 1) : k] for k in range(2, len(spelt) + 1)]
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words without punctuation at their edges."""
-    words = (w.strip(_EDGES) for w in (text or "").lower().split())
-    return [w for w in words if w]
+def words_of(text: str | None) -> set[str]:
+    """The different lower-case words, without punctuation at their edges."""
+    words = {w.strip(_EDGES) for w in set((text or "").lower().split())}
+    words.discard("")
+    return words
 
 
 def _counted(spell):
@@ -90,7 +94,7 @@ def _counted(spell):
                 words: Counter[str] = Counter()
                 for text, given in zip(batch["text"], batch["label"].to_pylist(), strict=True):
                     if given == label:
-                        words.update(set(words_of(text.as_py())))
+                        words.update(words_of(text.as_py()))
                 for word, n in words.items():
                     for head in spell(word):
                         table.setdefault(head, [0, 0])[label] += n
@@ -209,7 +213,7 @@ def corpus_words(docs: DataFrame) -> DataFrame:
         table: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                table.update(set(words_of(text.as_py())))
+                table.update(words_of(text.as_py()))
                 if len(table) > _HELD_ENTRIES:
                     yield out()
                     table.clear()
@@ -220,6 +224,46 @@ def corpus_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("entry").agg(F.sum("texts").alias("texts"))
 
 
+@dataclass(frozen=True)
+class _Hot:
+    """Frequent contexts with all their spellings, by 64-bit hashes in order."""
+
+    spellings: np.ndarray
+    ratios: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    backoffs: np.ndarray
+
+
+def _hash(text: str) -> int:
+    """What Spark's xxhash64 gives for a string, unsigned."""
+    return xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def _hot_spellings(spellings: DataFrame) -> _Hot:
+    """The table of contexts that hold a stated share of all characters, so a bounded one."""
+
+    def columns(rows: DataFrame) -> list[np.ndarray]:
+        table = rows.toArrow()
+        found = [table[c].to_numpy() for c in table.column_names]
+        order = np.argsort(found[0].view(np.uint64))
+        return [found[0].view(np.uint64)[order], *(x[order] for x in found[1:])]
+
+    each = spellings.select("context", F.explode("chars").alias("char", "value"))
+    hashed = F.xxhash64(F.concat("context", "char"))
+    known, ratios, counts = columns(each.select(hashed.alias("h"), "value.ratio", "value.n"))
+    contexts, backoffs = columns(spellings.select(F.xxhash64("context").alias("h"), "backoff"))
+    return _Hot(known, ratios, counts, contexts, backoffs)
+
+
+def _places(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the ordered table, whether it is there) of each wanted hash."""
+    if len(table) == 0:
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
 def word_ratios(
     entries: DataFrame, spellings: DataFrame, order: int = ORDER, hot_share: float = _HOT_CONTEXTS
 ) -> DataFrame:
@@ -231,59 +275,60 @@ def word_ratios(
     """
     total = spellings.agg(F.sum("uses")).first()[0] or 0
     is_hot = F.col("uses") >= F.lit(hot_share * total)
-    hot: dict[str, tuple[int, dict[str, tuple[int, int]]]] = {}
-    found = spellings.where(is_hot).select(
-        "context", "backoff", F.map_keys("chars").alias("chars"), F.map_values("chars").alias("values")
-    )
-    for row in found.toArrow().to_pylist():
-        values = [(v["ratio"], v["n"]) for v in row["values"]]
-        hot[row["context"]] = row["backoff"], dict(zip(row["chars"], values, strict=True))
+    hot = spellings.sparkSession.sparkContext.broadcast(_hot_spellings(spellings.where(is_hot)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        names = ["entry", "_context", "_char", "texts", "sum", "least"]
-
-        def out() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names
-            )
-
-        rows: list[tuple] = []
+        table = hot.value
         for batch in batches:
-            for word, texts in zip(batch["entry"].to_pylist(), batch["texts"].to_pylist(), strict=True):
-                place, least = 0, None
-                for head in heads(word, order):
-                    known = hot.get(head[:-1])
-                    if known is None:
-                        rows.append((word, head[:-1], head[-1], None, None, None))
-                        continue
-                    ratio, n = known[1].get(head[-1], (known[0], 0))
-                    place += ratio
-                    least = n if least is None else min(least, n)
-                # A row for the word itself, under a name that spreads and no context has.
-                rows.append((word, "\n" + word, "", texts, place, least))
-                if len(rows) >= _OUT_ROWS:
-                    yield out()
-                    rows.clear()
-        if rows:
-            yield out()
+            idents = batch["id"].to_numpy()
+            spelt = [heads(word, order) for word in batch["entry"].to_pylist()]
+            lengths = np.array([len(x) for x in spelt], dtype=np.int64)
+            flat = [head for word in spelt for head in word]
+            owner = np.repeat(np.arange(len(spelt)), lengths)
+            at, found = _places(table.spellings, np.fromiter(map(_hash, flat), np.uint64, len(flat)))
+            ratios = np.where(found, table.ratios[at] if len(table.ratios) else 0, 0)
+            counts = np.where(found, table.counts[at] if len(table.counts) else 0, 0)
+            missed = np.flatnonzero(~found)
+            hashes = np.fromiter((_hash(flat[i][:-1]) for i in missed.tolist()), np.uint64, len(missed))
+            at, known = _places(table.contexts, hashes)
+            if known.any():
+                ratios[missed[known]] = table.backoffs[at[known]]
+            is_open = missed[~known]
+            counts[is_open] = np.iinfo(np.int64).max  # the join has its count
+            sums = np.zeros(len(spelt), dtype=np.int64)
+            np.add.at(sums, owner, ratios)
+            least = np.full(len(spelt), np.iinfo(np.int64).max, dtype=np.int64)
+            np.minimum.at(least, owner, counts)
+            none = [None] * len(is_open)
+            # A row for each open spelling, and one for each word under a name that spreads and
+            # no context has.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([idents, idents[owner[is_open]]])),
+                 pa.array([*(f"\n{i}\n" for i in idents.tolist()), *(flat[i] for i in is_open.tolist())], pa.string()),
+                 pa.array([*sums.tolist(), *none], pa.int64()),
+                 pa.array([*least.tolist(), *none], pa.int64())],
+                ["id", "_spelling", "sum", "least"],
+            )
 
-    rows = entries.mapInArrow(
-        spell, "entry string, _context string, _char string, texts bigint, sum bigint, least bigint"
+    numbered = stored_once(
+        entries.withColumn("id", F.monotonically_increasing_id()), "toxicity-corpus-words"
+    )
+    rows = numbered.select("id", "entry").mapInArrow(
+        spell, "id bigint, _spelling string, sum bigint, least bigint"
     )
     rest = spellings.where(~is_hot).select("context", "backoff", "chars")
-    known = F.col("chars")[F.col("_char")]
-    own = F.col("texts").isNotNull()
-    return (
-        rows.join(rest.hint("merge"), F.col("_context") == F.col("context"), "left")
-        .groupBy("entry")
+    context = F.expr("substring(_spelling, 1, length(_spelling) - 1)")
+    known = F.col("chars")[F.expr("right(_spelling, 1)")]
+    own = F.col("sum").isNotNull()
+    sums = (
+        rows.join(rest.hint("merge"), context == F.col("context"), "left")
+        .groupBy(F.col("id").alias("_of"))
         .agg(
-            F.max("texts").alias("texts"),
             F.sum(F.coalesce("sum", known["ratio"], "backoff", F.lit(0))).alias("ratio"),
             F.min(F.when(own, F.col("least")).otherwise(F.coalesce(known["n"], F.lit(0)))).alias("support"),
         )
     )
+    return numbered.join(sums, F.col("id") == F.col("_of")).select("entry", "texts", "ratio", "support")
 
 
 def _bins() -> tuple[Column, Column]:
@@ -349,8 +394,8 @@ def with_ratio(docs: DataFrame, values: DataFrame, hot_share: float = _HOT_WORDS
     hot = dict(zip(often["entry"].to_pylist(), often["value"].to_pylist(), strict=True))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64())
-        names = ["key", "entry", "words", "sum"]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        names = ["id", "entry", "words", "sum", "key"]
 
         def out() -> pa.RecordBatch:
             columns = zip(*rows, strict=True)
@@ -360,6 +405,7 @@ def with_ratio(docs: DataFrame, values: DataFrame, hot_share: float = _HOT_WORDS
 
         rows: list[tuple] = []
         seen: set[bytes] = set()
+        ident = TaskContext.get().partitionId() << 33
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
                 if key is None or key in seen:
@@ -367,39 +413,42 @@ def with_ratio(docs: DataFrame, values: DataFrame, hot_share: float = _HOT_WORDS
                 if len(seen) >= _HELD_ENTRIES:
                     seen.clear()
                 seen.add(key)
-                words = set(words_of(text.as_py()))
+                words = words_of(text.as_py())
                 place = 0
                 for word in words:
                     value = hot.get(word)
                     if value is None:
-                        rows.append((key, word, None, None))
+                        rows.append((ident, word, None, None, None))
                     else:
                         place += value
                 # One row for the text itself, under a name that spreads and no word has.
-                rows.append((key, "\n" + key.hex(), len(words), place))
+                rows.append((ident, f"\n{ident}", len(words), place, key))
+                ident += 1
                 if len(rows) >= _OUT_ROWS:
                     yield out()
                     rows.clear()
         if rows:
             yield out()
 
-    # Equal texts share a key; `copies` undoes that several tasks add their parts up.
+    # A text has a number where its words are looked up, numbers being smaller than hashes.
+    # Equal texts share a key, and sums that several tasks have found for one are equal.
     keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
     rows = keyed.select("key", "text").mapInArrow(
-        parts, "key binary, entry string, words bigint, sum bigint"
+        parts, "id bigint, entry string, words bigint, sum bigint, key binary"
     )
     rest = values.where((F.col("texts") < F.lit(hot_share * total)) & (F.col("value") != 0))
     sums = (
         rows.join(rest.select("entry", "value").hint("merge"), "entry", "left")
-        .groupBy("key")
+        .groupBy("id")
         .agg(
             F.sum(F.coalesce("value", "sum", F.lit(0))).alias("_sum"),
-            F.sum("words").alias("_words"),
-            F.count("words").alias("_copies"),
+            F.max("words").alias("_words"),
+            F.max("key").alias("key"),
         )
+        .groupBy("key")
+        .agg(F.max("_sum").alias("_sum"), F.max("_words").alias("_words"))
     )
-    each = F.col("_sum") / F.col("_copies") * F.lit(_UNIT)
-    ratio = each / (F.col("_words") / F.col("_copies") + F.lit(_PADDING))
+    ratio = F.col("_sum") * F.lit(_UNIT) / (F.col("_words") + F.lit(_PADDING))
     return keyed.select("doc_id", "key").join(sums.hint("merge"), "key", "left").select(
         "doc_id", F.coalesce(ratio, F.lit(0.0)).alias("ratio")
     )
