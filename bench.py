@@ -22,6 +22,7 @@ from veilframe.catalog import REGISTRY
 from veilframe.catalog.base import adult, healthcare, table
 from veilframe.plans import policy, workloads
 from veilframe.session import build_session, fresh_path, remove_intermediates
+from veilframe.sources.layout import write_clustered
 
 RUNS = 5
 WARM_UPS = 4
@@ -31,10 +32,12 @@ TABLES = ("customer", "part", "orders", "lineitem", "events")
 # Registered queries timed from the given tables to the fetched answer.
 OPERATORS = (
     "self_join_olap", "distinct_orders_per_part", "param_sweep", "mask_hmac", "mask_fpe",
-    "mask_surrogate", "mask_surrogate_four", "mask_shuffle", "kanon_publish", "synthetic_adult", "policy_static", "exact_sample", "kanon_sweep_lines",
+    "mask_surrogate", "mask_surrogate_four", "surrogate_two_runs", "mask_shuffle", "kanon_publish",
+    "synthetic_adult", "policy_static", "policy_where", "exact_sample", "kanon_sweep_lines",
     "kanon_suppress_lines", "kanon_query_utility", "kanon_cardinality_loss", "linkage_attack",
     "linkage_sweep", "dp_accuracy", "dp_count_lines", "mask_comparison", "synthetic_scale",
-    "exact_median", "measurement_summary", "csv_round_trip",
+    "exact_median", "measurement_summary", "csv_round_trip", "csv_quarantine",
+    "csv_headerless_numbered", "sampled_variants", "sketched_distinct",
 )
 
 
@@ -72,12 +75,11 @@ def staged(spark: SparkSession, sf_dir: str) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """The table as files ordered by id, as many as there are cores."""
-    path = fresh_path(spark, label)
-    df.repartitionByRange(spark.sparkContext.defaultParallelism, "id").sortWithinPartitions(
-        "id"
-    ).write.parquet(path)
-    return spark.read.parquet(path)
+    """The table clustered by id, as many files as there are cores."""
+    rows = -(-df.count() // spark.sparkContext.defaultParallelism)
+    return write_clustered(
+        df, fresh_path(spark, label), ["id"], rows_per_file=max(1, rows), rows_per_group=10_000
+    )
 
 
 def workload_queries(people: DataFrame, patients: DataFrame) -> dict[str, Callable[[], DataFrame]]:

@@ -132,6 +132,11 @@ def test_a_store_keeps_its_surrogates(spark, tmp_path):
     both = _mapped(store)
     assert set(both) == {("a", "x"), ("a", "y"), ("a", ""), ("b", "5"), ("b", "6")}
     assert first == {k: both[k] for k in first} and clashes(store.mapping()).count() == 0
+    # A session that knows nothing of the store finds it by its folder.
+    for part in ("values", "taken"):
+        spark.sql(f"DROP TABLE {store._table(part)}")
+    found = open_store(spark, path)
+    assert found.buckets == 4 and _mapped(found) == both and found.add(df, ["a", "b"], key="four") == 0
     # The same values as a mapping kept in one table gives.
     plain = extend_mapping(df, ["a", "b"], extend_mapping(df.where("id < 3"), ["a"], key="one"), key="two")
     assert {(r.column_name, r.original_value): r.surrogate_value for r in plain.collect()} == both
@@ -169,12 +174,12 @@ def test_a_run_that_fails_midway_is_made_up_for(spark, tmp_path, monkeypatch, st
     store = open_store(spark, str(tmp_path / "store"), buckets=2)
     real, calls = SurrogateStore._append, []
 
-    def stop(self, rows, part, keys):
+    def stop(self, rows, part):
         calls.append(part)
         if len(calls) == stop_at:
-            real(self, rows.where("hash(original_value) % 2 = 0"), part, keys)  # only part arrives
+            real(self, rows.where("hash(original_value) % 2 = 0"), part)  # only part arrives
             raise OSError("lost")
-        real(self, rows, part, keys)
+        real(self, rows, part)
 
     monkeypatch.setattr(SurrogateStore, "_append", stop)
     with pytest.raises(OSError):
@@ -184,6 +189,22 @@ def test_a_run_that_fails_midway_is_made_up_for(spark, tmp_path, monkeypatch, st
     assert _mapped(store) == _mapped(whole) and store._taken().count() == 40
 
 
+def test_a_compacted_store_answers_as_before(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = open_store(spark, path, buckets=2)
+    for n in range(4):
+        df = spark.createDataFrame([(f"v{i}",) for i in range(n * 10, n * 10 + 15)], "a string")
+        store.add(df, ["a"], key=f"k{n}")
+    before, files_before = _mapped(store), len(store.mapping().inputFiles())
+    store.compact()
+    assert _mapped(store) == before and len(before) == 45
+    assert len(store.mapping().inputFiles()) == 2 < files_before
+    assert store.add(df, ["a"], key="other") == 0 and store._taken().count() == 45
+    assert store.add(spark.createDataFrame([("new",)], "a string"), ["a"], key="k") == 1
+    assert len(_mapped(open_store(spark, path))) == 46
+    assert {p.name for p in (tmp_path / "store").iterdir() if not p.name.endswith(".crc")} == {"layout", "values", "taken"}
+
+
 def test_values_the_mapping_lacks_become_null(spark):
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4)], "a string, _row int")
     mapping = extend_mapping(df.where("a = 'y'"), ["a"], key="k")

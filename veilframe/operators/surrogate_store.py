@@ -13,6 +13,7 @@ adds what is missing and gives the same surrogates. One writer at a time.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.surrogate import _cells, _surrogate, apply_mapping
 from veilframe.session import stored_once
+from veilframe.sources.swap import recover, switch
 
 BUCKETS = 256
 _NAMES = ("column_name", "original_value")
 _COLUMNS = (*_NAMES, "surrogate_value")
+_KEYS = {"values": _NAMES, "taken": ("surrogate_value",)}
 
 
 @dataclass(frozen=True)
@@ -39,14 +42,18 @@ class SurrogateStore:
     def _table(self, part: str) -> str:
         return f"veilframe_{part}_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
 
+    def _create(self, table: str, keys: Sequence[str], place: str) -> None:
+        quoted = place.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} "
+            f"({', '.join(f'{c} STRING' for c in _COLUMNS)}) USING parquet "
+            f"CLUSTERED BY ({', '.join(keys)}) INTO {self.buckets} BUCKETS LOCATION '{quoted}'"
+        )
+
     def _attach(self) -> None:
-        for part, keys in (("values", _NAMES), ("taken", ("surrogate_value",))):
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self._table(part)} "
-                f"({', '.join(f'{c} STRING' for c in _COLUMNS)}) USING parquet "
-                f"CLUSTERED BY ({', '.join(keys)}) INTO {self.buckets} BUCKETS "
-                f"LOCATION '{self.path}/{part}'"
-            )
+        for part, keys in _KEYS.items():
+            recover(self.spark, f"{self.path}/{part}")
+            self._create(self._table(part), keys, f"{self.path}/{part}")
 
     def mapping(self) -> DataFrame:
         """(column_name, original_value, surrogate_value) of every value seen so far."""
@@ -57,8 +64,8 @@ class SurrogateStore:
         self.spark.catalog.refreshTable(self._table("taken"))
         return self.spark.table(self._table("taken"))
 
-    def _append(self, rows: DataFrame, part: str, keys: Sequence[str]) -> None:
-        dealt = rows.select(*_COLUMNS).repartition(self.buckets, *keys)
+    def _append(self, rows: DataFrame, part: str) -> None:
+        dealt = rows.select(*_COLUMNS).repartition(self.buckets, *_KEYS[part])
         dealt.write.insertInto(self._table(part))
 
     def unseen(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,12 +102,30 @@ class SurrogateStore:
                 "surrogate-round",
             )
             given = decided.where("given")
-            self._append(given.where("not entered"), "taken", ["surrogate_value"])
-            self._append(given, "values", _NAMES)
+            self._append(given.where("not entered"), "taken")
+            self._append(given, "values")
             waiting = decided.where("not given").select(*_NAMES)
             left, attempt = waiting.count(), attempt + 1
         return added
 
+    def compact(self) -> None:
+        """Write each bucket as one file again, after many runs have added to it.
+
+        The files are written beside the old ones and take their place when complete. A store
+        must hold something.
+        """
+        for part, keys in _KEYS.items():
+            fresh = f"{self.path}/.fresh-{part}-{uuid.uuid4().hex}"
+            table = f"{self._table(part)}_fresh"
+            # Read as plain files: a bucketed table would count as dealt already.
+            rows = self.spark.read.parquet(f"{self.path}/{part}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self._create(table, keys, fresh)
+            rows.repartition(self.buckets, *keys).write.insertInto(table)
+            self.spark.sql(f"DROP TABLE {table}")  # the files stay: the table is external
+            switch(self.spark, f"{self.path}/{part}", fresh)
+            self.spark.catalog.refreshTable(self._table(part))
+
     def apply(
         self, df: DataFrame, columns: Sequence[str], hot_keys: int | None = None
     ) -> DataFrame:
