@@ -52,8 +52,8 @@ _START, _END = "\x02", "\x03"
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”„‘’…"
 _HELD_ENTRIES = 300_000
 # A context with at least this share of all spelt characters is looked up in place, and a word
-# with at least this share of all words: there are at most 500,000 of each.
-_HOT_CONTEXTS, _HOT_WORDS = 2e-6, 2e-6
+# with at least this share of all words: there are at most a million of each.
+_HOT_CONTEXTS, _HOT_WORDS = 1e-6, 1e-6
 # Values are added as whole billionths of a nat, so sums do not depend on their order.
 _UNIT = 1e-9
 _OUT_ROWS = 50_000
