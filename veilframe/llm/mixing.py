@@ -28,8 +28,10 @@ from veilframe.llm.common import stored_once, unused
 # Fixed value: what separates words, ASCII white space as the mix counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+BLOCK_WORDS = 256
 # Slots of an output shard; the last one may have fewer.
 SHARD_SLOTS = 1024
+_SHARDS_PER_TASK = 64
 # Cells of a table of ranges: a number is looked up in its cell, where few ranges are.
 _CELLS = 4096
 _ROUNDS = 16
@@ -240,7 +242,7 @@ def mix_plan(
     seed: int = 0,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     max_repeats: int = 3,
-    block_words: int = 256,
+    block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     bucket_rows: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
@@ -411,7 +413,12 @@ def mixed_documents(
     each with the white space that follows it. `n_chars`, where there is one, is counted
     anew. Rows not taken are left out, and so are rows without words.
     """
-    _, pieces = mix_plan(docs, seed, **settings)
+    plan, pieces = mix_plan(docs, seed, **settings)
+    # Tasks get some shards each, about a hundred megabytes of text, however large the mix is.
+    slot_words = settings.get("block_words", BLOCK_WORDS) * settings.get("shard_slots", SHARD_SLOTS)
+    shards = -(-(plan.agg(F.sum("size")).first()[0] or 0) // slot_words)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(shards, least), -(-shards // _SHARDS_PER_TASK))
     spans = pieces.groupBy("row", "doc_id", "start", "epoch", "size").agg(
         F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"),
         F.min(F.struct("shard", "place", "lo")).alias("first"),
@@ -455,7 +462,7 @@ def mixed_documents(
         placed = placed.withColumn(shard, F.col(f"{first}.shard"))
     return (
         placed.select(*own, first)
-        .repartition(F.col(f"{first}.shard"))
+        .repartition(tasks, F.col(f"{first}.shard"))
         .sortWithinPartitions(first, F.col("doc_id"))
         .select(*own)
     )
