@@ -84,6 +84,17 @@ def test_length_preserving(spark):
     assert got == [None if v is None else fpe(v, masks.FPE_KEY) for v in values]
 
 
+def test_length_preserving_digests_a_block_once(spark):
+    values = spark.createDataFrame([("y" * 70,)], "x string")
+    masked = values.select(masks.length_preserving(F.col("x")).alias("x"))
+    # Two digests for the first block, two in the lambda for the others, none per character.
+    tree = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("sha2(") == 4 and tree.count("lambdafunction(") == 1
+    every = [chr(i) * n for i in (33, 233, 0x4E2D, 0x1F600) for n in (1, 31, 32, 33, 64, 65, 97)]
+    want = [fpe(v, "k") for v in every]
+    assert one(spark, every, "string", lambda c: masks.length_preserving(c, "k")) == want
+
+
 def test_sha256_of_a_number_is_of_its_text(spark):
     got = one(spark, [42, None], "int", masks.sha256_hex)
     assert got == [hashlib.sha256(b"42").hexdigest(), None]

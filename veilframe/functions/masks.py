@@ -18,6 +18,9 @@ FPE_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _SHA_BLOCK = 64
 _SHA_BYTES = 32
+# Every byte as a character, and the character of the alphabet it stands for.
+_FPE_BYTES = bytes(range(256)).decode("latin-1")
+_FPE_CODES = "".join(FPE_ALPHABET[b % len(FPE_ALPHABET)] for b in range(256))
 
 
 # --- generalization ---------------------------------------------------------
@@ -115,15 +118,11 @@ def length_preserving(value: Column, key: str = FPE_KEY) -> Column:
         ),
         "",
     )
-    hexes = F.when(length > _SHA_BYTES, F.concat(head, tail)).otherwise(head)
-    base = len(FPE_ALPHABET)
-
-    def character(position: Column) -> Column:
-        byte = F.conv(F.substring(hexes, position * 2 - 1, F.lit(2)), 16, 10).cast("int")
-        return F.substring(F.lit(FPE_ALPHABET), byte % base + 1, F.lit(1))
-
-    text = F.array_join(F.transform(F.sequence(F.lit(1), length), character), "")
-    return F.when(length == 0, F.lit("")).otherwise(text)
+    hexes = F.concat(head, F.when(length > _SHA_BYTES, tail).otherwise(F.lit("")))
+    # All bytes are translated at once. A lambda over the characters would compute the
+    # digests anew for each of them.
+    codes = F.decode(F.unhex(hexes), "ISO-8859-1")
+    return F.substring(F.translate(codes, _FPE_BYTES, _FPE_CODES), F.lit(1), length)
 
 
 # --- noise ------------------------------------------------------------------------
