@@ -9,7 +9,7 @@ from veilframe.catalog import REGISTRY
 from veilframe.catalog.base import adult
 from veilframe.functions.masks import bucket_between
 from veilframe.operators import kanon, synth
-from veilframe.operators.rank import exact_sample, keyed_rank
+from veilframe.operators.rank import dense_ids, exact_sample, keyed_rank
 from veilframe.operators.shuffle import shuffle_columns
 from veilframe.operators.surrogate import apply_mapping, extend_mapping
 from veilframe.operators.surrogate_store import open_store
@@ -74,6 +74,19 @@ def test_rank_windows_are_partitioned(people):
             assert "_bucket" in window.split("windowspecdefinition(")[1].split(",")[0]
 
 
+def test_ranked_rows_are_not_broadcast(spark):
+    path = fresh_path(spark, "few")
+    spark.range(100).write.parquet(path)
+    # The files look small; an explode makes many rows of them.
+    many = spark.read.parquet(path).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    many = many.select((F.col("id") * 200 + F.col("n")).alias("id"))
+    for ranked in (keyed_rank(many, "id", "k", "l"), dense_ids(many, "id", "rank", 1_000)):
+        text = plan(ranked)
+        assert "BuildLeft" not in text
+        assert text.index("Join") < text.index("row_number"), "numbered before the join"
+        assert sorted(r["rank"] for r in ranked.select("rank").collect()) == list(range(1, 20_001))
+
+
 def test_numbering_lines_moves_no_line(spark, people):
     path = fresh_path(spark, "lines")
     people.select("age", "income").write.csv(path)
