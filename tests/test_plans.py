@@ -184,6 +184,15 @@ def test_a_hot_key_is_spread_over_files(spark):
     assert {tuple(r) for r in kept.collect()} == {(None, 1), (2, None), (1, 5)}
 
 
+def test_a_clustered_file_has_a_bounded_number_of_row_groups(spark):
+    rows = spark.range(0, 6000, 1, 2).withColumn("k", F.col("id") % 7)
+    path = fresh_path(spark, "small-groups")
+    laid = write_clustered(rows, path, ["k"], rows_per_group=2)
+    sizes = [r["count"] for r in laid.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 3 and max(sizes) <= 2 * 1_300
+    assert laid.exceptAll(rows.select(*laid.columns)).count() == 0 and laid.count() == 6000
+
+
 def test_filters_on_a_view_reach_the_scan(spark, people):
     seen = policy.ADULT_VIEW.where(
         people, policy.Between("age", 25, 45), policy.Equals("education", "Some-School"),

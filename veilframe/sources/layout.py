@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 ROWS_PER_FILE = 5_000_000
 ROWS_PER_GROUP = 100_000
+# A writer holds the statistics of all row groups of its file, and every reader parses them.
+_GROUPS_PER_FILE = 1_000
 # Bits per key of an interleaved order: 2^6 slices of each key.
 _SLICE_BITS = 6
 # Accuracy of the slices' borders: their ranks are off by 1/10,000 of the rows at most.
@@ -75,10 +77,13 @@ def write_clustered(
     composite index. Columns in `lookups` get Bloom filters for equality. A value that fills
     several files is spread over them by the rest of its row, so no task gets more than its
     share. Null keys come first. The rows are counted first, to choose the number of files.
+    A file has at most `rows_per_file` rows and about a thousand row groups, so what a task
+    sorts and writes does not grow with the table.
     """
     if not keys:
         raise ValueError("name at least one key to cluster by")
-    files = max(1, math.ceil(df.count() / rows_per_file))
+    most = min(rows_per_file, rows_per_group * _GROUPS_PER_FILE)
+    files = max(1, math.ceil(df.count() / most))
     order = list(keys)
     placed = df
     if interleave and len(keys) > 1:
