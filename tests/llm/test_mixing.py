@@ -131,6 +131,15 @@ def test_counts_per_shard_are_multinomial(spark):
     assert drawn.exceptAll(other).count() > 10_000
 
 
+def test_draws_are_numbered_once_and_written(spark):
+    sequences = spark.createDataFrame([(0, 700), (1, 300)], "source_no int, slots bigint")
+    drawn = mixing.drawn_slots(sequences, 120, seed=5)
+    text = drawn._jdf.queryExecution().executedPlan().toString()
+    # Left are the running sums of what sources have too many and too few of.
+    assert "row_number" not in text and len(re.findall(r"Window \[", text)) == 2
+    assert {r[0]: r[1] for r in drawn.groupBy("source_no").count().collect()} == {0: 700, 1: 300}
+
+
 def test_sequences_are_as_long_as_their_words(spark):
     """Slots counted in advance are those that take words, whatever the target's remainder."""
     for rest in (0, 1, 15, 16, 17, 40, 150, 163, 164):

@@ -194,21 +194,31 @@ def drawn_slots(sequences: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     )
     counts = drawn.groupBy("source_no", "shard").agg(F.count(F.lit(1)).alias("_count"))
     before = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(
-        F.col("source_no").alias("_source"),
-        F.col("shard").alias("_shard"),
-        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"),
+    # Both are read several times below. Written, they keep the plans, which the driver holds and
+    # plans anew after every stage, small.
+    bases = stored_once(
+        counts.select(
+            F.col("source_no").alias("_source"),
+            F.col("shard").alias("_shard"),
+            "_count",
+            F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"),
+        ),
+        "mix-bases",
     )
     within = W.partitionBy("shard", "source_no").orderBy("place")
-    ranked = (
+    ranked = stored_once(
         drawn.withColumn("_nth", F.row_number().over(within) - 1)
         .join(bases, (F.col("source_no") == F.col("_source")) & (F.col("shard") == F.col("_shard")))
-        .select("shard", "place", "source_no", "slots", (F.col("_base") + F.col("_nth")).alias("slot"))
+        .select("shard", "place", "source_no", "slots", (F.col("_base") + F.col("_nth")).alias("slot")),
+        "mix-ranked",
     )
     # Draws beyond a source's sequence, numbered over all sources, fill the sequences not full.
-    found = counts.groupBy(F.col("source_no").alias("_source")).agg(F.sum("_count").alias("_drawn"))
-    balance = sequences.join(found, F.col("source_no") == F.col("_source"), "left").select(
-        "source_no", "slots", F.coalesce("_drawn", F.lit(0)).alias("_drawn")
+    found = bases.groupBy("_source").agg(F.sum("_count").alias("_drawn"))
+    balance = stored_once(
+        sequences.join(found, F.col("source_no") == F.col("_source"), "left").select(
+            "source_no", "slots", F.coalesce("_drawn", F.lit(0)).alias("_drawn")
+        ),
+        "mix-balance",
     )
     surplus = ranges(
         balance.withColumn("_over", F.greatest(F.lit(0), F.col("_drawn") - F.col("slots"))), "_over"
