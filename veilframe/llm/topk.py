@@ -11,16 +11,21 @@ before its own is computed; entries of a leaf are dropped by their stored distan
 Nodes are opened by the best bound any query of the block has. A bound equal to the k-th
 score is followed, since ties go to the smaller id.
 
-Query blocks meet index blocks by an explicit key. Trees are searched in rounds, each over
-four times as many trees as all before; a round starts from every query's k-th score so far, so
-only rows that reach it leave a task, about 4 k a query and round, however many trees there are.
+Trees are dealt into lanes and queries into groups; a task holds the queries of a group and
+reads the trees of a lane one after the other, carrying each query's k best rows along. Nothing
+is joined, so nothing is ever broadcast, and copies of queries weigh about as much as the trees.
+Trees are searched in rounds, each over four times as many trees as all before; a round starts
+from every query's k-th score so far, so only rows that reach it leave a task, about 4 k a query
+and round, however many trees there are.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,10 @@ from veilframe.llm.common import stored_once
 
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
+# Products taken at once, and bytes of queries and their answers that a task holds.
+_PRODUCTS = 1 << 20
+_HELD = 64 << 20
+
 
 @dataclass
 class MTree:
@@ -48,6 +57,25 @@ class MTree:
     first: np.ndarray
     last: np.ndarray
 
+    @cached_property
+    def norm(self) -> float:
+        """Of the longest row."""
+        real = self.rows.astype(np.float64)
+        return float(np.sqrt(np.einsum("ij,ij->i", real, real).max(initial=0.0)))
+
+    @cached_property
+    def singles(self) -> np.ndarray:
+        return self.rows.astype(np.float32)
+
+    @cached_property
+    def doubles(self) -> np.ndarray:
+        return self.rows.astype(np.float64)
+
+    @cached_property
+    def reach(self) -> float:
+        """No row lies farther from the origin, by routing vectors and radii."""
+        return float(np.sqrt((self.route**2).sum(axis=1)).max() + self.radius.max())
+
 
 def _distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
     gap = rows - point
@@ -109,12 +137,158 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, page: int = 64, fan_out: in
     )
 
 
-def _products(a: np.ndarray, b: np.ndarray, exact_in_double: bool) -> np.ndarray:
-    """Exact a @ b.T of integer vectors; beyond 64 bits the nearest 64-bit number."""
-    if exact_in_double:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, _LOW, _HIGH).astype(np.int64)
+def _products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
+    """a @ b.T of integer vectors, in their type if that is exact; beyond 64 bits the nearest
+    64-bit number."""
+    if exact:
+        return a @ b.T
+    whole = a.astype(object) @ b.astype(object).T
+    return np.clip(whole, _LOW, _HIGH).astype(np.int64)
+
+
+def _at_most(score: np.ndarray) -> np.ndarray:
+    """Doubles not above the scores; beyond 2^53 a double may lie above the score it stands for."""
+    real = score.astype(np.float64)
+    return np.where(np.abs(real) < 2**53, real, np.nextafter(real, -np.inf))
+
+
+def _where(mask: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+    return arrays if mask.all() else tuple(x[mask] for x in arrays)
+
+
+class Asked:
+    """A block of queries with the k best rows found so far, over any number of trees.
+
+    Of a query with a floor, only rows that reach it are wanted; its own row, known by its id,
+    is left out.
+    """
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None):
+        real = rows.astype(np.float64)
+        self.rows, self.ids, self.k = rows, ids, k
+        self.norms = np.sqrt((real * real).sum(axis=1))
+        self.worst = np.full(len(ids), -np.inf)  # k-th score so far, or the floor
+        if floors is not None:
+            self.worst = np.where(floors == _LOW, -np.inf, _at_most(floors))
+        self.count = np.zeros(len(ids), dtype=np.int64)
+        self.best_scores = np.zeros((len(ids), k), dtype=np.int64)
+        self.best_ids = np.zeros((len(ids), k), dtype=np.int64)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query ids, ids and scores."""
+        filled = np.arange(self.k) < self.count[:, None]
+        return np.repeat(self.ids, self.count), self.best_ids[filled], self.best_scores[filled]
+
+    def _take(self, asked: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merge the scores (queries x rows) that reach what is wanted."""
+        least = self.worst[asked]
+        if scores.dtype == np.float32:  # scores are below 2^24, so rounding decides nothing
+            least = least.astype(np.float32)
+        some = np.flatnonzero(scores.max(axis=1) >= least)
+        if len(some) == 0:
+            return
+        row, column = np.nonzero(scores[some] >= least[some, None])
+        row = some[row]
+        other = ids[column] != self.ids[asked[row]]
+        row, column = row[other], column[other]
+        if len(row) == 0:
+            return
+        values, names = scores[row, column].astype(np.int64), ids[column]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+            q = asked[row[at]]
+            held = self.count[q]
+            merged = np.concatenate([self.best_scores[q, :held], values[at:end]])
+            named = np.concatenate([self.best_ids[q, :held], names[at:end]])
+            order = np.lexsort((named, ~merged))[: self.k]
+            held = self.count[q] = len(order)
+            self.best_scores[q, :held], self.best_ids[q, :held] = merged[order], named[order]
+            if held == self.k:
+                self.worst[q] = max(self.worst[q], _at_most(merged[order[-1]]))
+
+    def search(self, tree: MTree) -> None:
+        """Best-first search of one more tree."""
+        real, norms, worst = self.rows.astype(np.float64), self.norms, self.worst
+        # No partial sum exceeds the product of the norms.
+        most = float(norms.max(initial=0.0)) * tree.norm
+        exact = most < 2**52
+        if most < 2**24 - 1:
+            left, right = self.rows.astype(np.float32), tree.singles
+        elif exact:
+            left, right = real, tree.doubles
+        else:
+            left, right = self.rows, tree.rows
+        slack = 1e-9 * (norms * tree.reach + 1)
+        per = np.maximum(norms, 1e-300)
+
+        def open_leaves(leaves: list[tuple[int, np.ndarray, np.ndarray]]) -> int:
+            """Takes the products of leaves; how many these were."""
+            kept = []
+            for node, some, to_node in leaves:
+                # Stored distances to the routing vector rule out entries without a product.
+                gain = ((worst[some] - to_node - slack[some]) / per[some]).min()
+                first, last = tree.first[node], tree.last[node]
+                keep = np.flatnonzero(tree.own[first:last] >= gain) + first
+                if len(keep):
+                    kept.append((some, keep))
+            if not kept:
+                return 0
+            any_of = np.zeros(len(norms), dtype=bool)
+            for some, _ in kept:
+                any_of[some] = True
+            asked, rows = np.flatnonzero(any_of), np.concatenate([keep for _, keep in kept])
+            apart = sum(len(some) * len(keep) for some, keep in kept)
+            together = len(asked) * len(rows)
+            for some, keep in [(asked, rows)] if together < 2 * apart else kept:
+                self._take(some, _products(left[some], right[keep], exact), tree.ids[keep])
+            return apart
+
+        everyone = np.arange(len(norms))
+        to_root = real @ tree.route[0]
+        bounds = to_root + norms * tree.radius[0] + slack
+        heap = [(-float(bounds.max(initial=-np.inf)), 0, everyone, to_root, bounds)]
+        # Leaves are opened one by one at first, since the best raise what the others must
+        # reach, then ever more at a time.
+        leaves, waiting, limit = [], 0, 1
+        while heap:
+            _, node, some, to_node, bounds = heapq.heappop(heap)
+            some, to_node = _where(bounds >= worst[some], some, to_node)
+            if len(some):
+                low, high = tree.kids[node]
+                if high > low:
+                    self._open(tree, (low, high), real, slack, some, to_node, heap)
+                else:
+                    leaves.append((node, some, to_node))
+                    waiting += len(some) * int(tree.last[node] - tree.first[node])
+            if leaves and (waiting >= limit or not heap):
+                limit = min(max(limit, 2 * open_leaves(leaves)), _PRODUCTS)
+                leaves, waiting = [], 0
+
+    def _open(
+        self,
+        tree: MTree,
+        kids: tuple[int, int],
+        real: np.ndarray,
+        slack: np.ndarray,
+        some: np.ndarray,
+        to_node: np.ndarray,
+        heap: list,
+    ) -> None:
+        """Push the children that some query can gain from."""
+        low, high = kids
+        norms, slack, worst = self.norms[some], slack[some], self.worst[some]
+        far = (tree.parent[low:high] + tree.radius[low:high])[:, None]
+        can = to_node + norms * far + slack >= worst
+        near = np.flatnonzero(can.any(axis=1))
+        if len(near) == 0:
+            return
+        can, near = can[near], near + low
+        to = tree.route[near] @ real[some].T
+        reach = to + norms * tree.radius[near, None] + slack
+        can &= reach >= worst
+        for j in np.flatnonzero(can.any(axis=1)).tolist():
+            mine, to_child, bounds = _where(can[j], some, to[j], reach[j])
+            heapq.heappush(heap, (-float(bounds.max()), int(near[j]), mine, to_child, bounds))
 
 
 def search_tree(
@@ -128,70 +302,9 @@ def search_tree(
 
     Of a query with a floor, only rows that reach it are wanted.
     """
-    count = len(queries)
-    real = queries.astype(np.float64)
-    norms = np.sqrt((real * real).sum(axis=1))
-    top_norm = float(np.abs(tree.rows.astype(np.float64)).max(initial=0.0))
-    widest = float(np.abs(real).max(initial=0.0))
-    exact = top_norm * widest * max(1, queries.shape[1]) < 2**52
-    worst = np.full(count, -np.inf)  # k-th score so far, or the floor
-    if floors is not None:
-        # Beyond 2^53 a double may lie above the score it stands for.
-        worst = floors.astype(np.float64) if exact else np.nextafter(floors.astype(np.float64), -np.inf)
-        worst[floors == _LOW] = -np.inf
-    best_scores = [np.zeros(0, dtype=np.int64)] * count
-    best_ids = [np.zeros(0, dtype=np.int64)] * count
-    slack = 1e-9 * (norms * (np.sqrt((tree.route**2).sum(axis=1)).max() + tree.radius.max()) + 1)
-
-    to_root = real @ tree.route[0]
-    bounds = to_root + norms * tree.radius[0] + slack
-    heap = [(-float(bounds.max()), 0, to_root, bounds)]
-    while heap:
-        _, node, to_node, bounds = heapq.heappop(heap)
-        active = np.flatnonzero(bounds >= worst)
-        if len(active) == 0:
-            continue
-        low, high = tree.kids[node]
-        if high > low:
-            for child in range(low, high):
-                cheap = to_node[active] + norms[active] * (
-                    tree.parent[child] + tree.radius[child]
-                ) + slack[active]
-                some = active[cheap >= worst[active]]
-                if len(some) == 0:
-                    continue
-                to_child = np.full(count, -np.inf)
-                to_child[some] = real[some] @ tree.route[child]
-                reach = np.full(count, -np.inf)
-                reach[some] = to_child[some] + norms[some] * tree.radius[child] + slack[some]
-                if (reach[some] >= worst[some]).any():
-                    heapq.heappush(heap, (-float(reach.max()), int(child), to_child, reach))
-            continue
-        first, last = int(tree.first[node]), int(tree.last[node])
-        # Stored distances to the routing vector rule out entries without a product.
-        gain = (worst[active] - to_node[active] - slack[active]) / np.maximum(norms[active], 1e-300)
-        keep = np.flatnonzero(tree.own[first:last] >= gain.min()) + first
-        if len(keep) == 0:
-            continue
-        scores = _products(queries[active], tree.rows[keep], exact)
-        ids = tree.ids[keep]
-        for row, q in enumerate(active.tolist()):
-            mine = scores[row]
-            good = np.flatnonzero((mine >= worst[q]) & (ids != query_ids[q]))
-            if len(good) == 0:
-                continue
-            merged = np.concatenate([best_scores[q], mine[good]])
-            names = np.concatenate([best_ids[q], ids[good]])
-            order = np.lexsort((names, -merged.astype(np.float64) if exact else -merged.clip(_LOW + 1)))[:k]
-            best_scores[q], best_ids[q] = merged[order], names[order]
-            if len(order) == k:
-                last_score = float(merged[order[-1]])
-                worst[q] = max(worst[q], last_score if exact else np.nextafter(last_score, -np.inf))
-    return [
-        (int(query_ids[q]), int(i), int(s))
-        for q in range(count)
-        for i, s in zip(best_ids[q].tolist(), best_scores[q].tolist(), strict=True)
-    ]
+    asked = Asked(queries, query_ids, k, floors)
+    asked.search(tree)
+    return list(zip(*(x.tolist() for x in asked.found()), strict=True))
 
 
 def integer_rows(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -224,8 +337,8 @@ def _packed(x: np.ndarray) -> bytes:
     return (b"s" + x.astype("<i2").tobytes()) if small else (b"d" + x.astype("<f8").tobytes())
 
 
-def _unpacked(raw: bytes, dim: int) -> np.ndarray:
-    values = np.frombuffer(raw, dtype="<i2" if raw[:1] == b"s" else "<f8", offset=1)
+def _unpacked(raw: bytes | memoryview, dim: int) -> np.ndarray:
+    values = np.frombuffer(raw, dtype="<i2" if bytes(raw[:1]) == b"s" else "<f8", offset=1)
     return values.reshape(-1, dim) if dim else values.reshape(0, 0)
 
 
@@ -305,33 +418,76 @@ def query_blocks(queries: DataFrame, scale: int = 1024, size: int = 512) -> Data
     )
 
 
-def _found(index: DataFrame, blocks: DataFrame, k: int, lanes: int) -> DataFrame:
-    """query_id, vec_id, score: per query and tree its k best rows that reach its floor."""
-    # Every query block goes to every lane, every index block to one.
-    asked = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = index.withColumn("_lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).join(
-        asked, (F.col("_lane") == F.col("lane")) & (F.col("dim") == F.col("query_dim"))
+def dealt(
+    trees: int, tree_bytes: int, blocks: int, asked_bytes: int, held: int, tasks: int, cores: int
+) -> tuple[int, int]:
+    """(lanes, groups): into how many lanes trees go and into how many groups blocks of queries.
+
+    Every tree goes to each group, every block to each lane. A task holds the queries of a
+    group, `held` bytes for all of them. There are at most `tasks` tasks, and, beyond three a
+    core, no more than let the copies of the queries weigh as much as the trees.
+    """
+    share = max(1, tree_bytes) / max(1, asked_bytes)
+    tasks = max(1, min(tasks, max(3 * cores, math.ceil(share))))
+    spread = max(math.ceil(math.sqrt(tasks / share)), -(-tasks // max(1, trees)))
+    groups = max(1, min(blocks, max(-(-held // _HELD), spread)))
+    return max(1, min(trees, -(-tasks // groups))), groups
+
+
+def _found(index: DataFrame, blocks: DataFrame, k: int, lanes: int, groups: int) -> DataFrame:
+    """query_id, vec_id, score: per query and lane its k best rows that reach its floor."""
+    key = ("dim", "lane", "grp")
+    trees = index.select(
+        "*",
+        F.lit(None).cast("binary").alias("floors"),
+        F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
+    )
+    asked = blocks.where("query_dim > 0").select(
+        F.lit(None).cast("bigint").alias("block"),
+        F.col("query_dim").alias("dim"),
+        F.col("query_ids").alias("ids"),
+        F.col("query_rows").alias("rows"),
+        *(F.lit(None).cast("binary").alias(name) for name in _PARTS),
+        F.col("query_floors").alias("floors"),
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        F.pmod(F.xxhash64("query_ids"), F.lit(groups)).cast("int").alias("grp"),
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tree = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if row["block"] != current:
-                    current, tree = row["block"], _tree(row)
-                asked_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
-                floors = np.frombuffer(row["query_floors"], dtype=np.int64)
-                vectors = _unpacked(row["query_rows"], row["dim"])
-                found = search_tree(tree, vectors, asked_ids, k, floors)
-                q, v, s = zip(*found, strict=True) if found else ((), (), ())
+        current, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for asked in held:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in (q, v, s)], ["query_id", "vec_id", "score"]
+                    [pa.array(c, pa.int64()) for c in asked.found()], ["query_id", "vec_id", "score"]
                 )
 
-    return pairs.drop("lane", "_lane", "query_dim").mapInArrow(
-        search, "query_id bigint, vec_id bigint, score bigint"
+        for batch in batches:
+            keys = zip(*(batch[c].to_pylist() for c in key), batch["block"].to_pylist(), strict=True)
+            for i, (*now, block) in enumerate(keys):
+                if now != current:
+                    yield from found()
+                    current, held = now, []
+                if block is None:
+                    parts = [memoryview(batch[c][i].as_buffer()) for c in ("rows", "ids", "floors")]
+                    rows = _unpacked(parts[0], now[0]).copy()
+                    ids, floors = (np.frombuffer(x, dtype=np.int64).copy() for x in parts[1:])
+                    held.append(Asked(rows, ids, k, floors))
+                elif held:
+                    raw = {c: memoryview(batch[c][i].as_buffer()) for c in ("rows", "ids", *_PARTS)}
+                    tree = _tree(raw | {"dim": now[0]})
+                    for asked in held:
+                        asked.search(tree)
+        yield from found()
+
+    # Blocks of queries, without a tree, come first within a key.
+    together = (
+        trees.unionByName(asked)
+        .repartition(2 * lanes * groups, *key)
+        .sortWithinPartitions(*key, F.asc_nulls_first("block"))
     )
+    return together.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
 
 
 def rounds_of(trees: int, first: int = 1) -> list[tuple[float, float]]:
@@ -361,15 +517,19 @@ def top_k(
     smaller id. Fewer than k candidates give fewer rows, an empty table on either side none.
     """
     spark = index.sparkSession
-    lanes = lanes or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    tasks = max(1, -(-queries.count() // size))
-    asked = queries.select("id", "vector")
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    asked = stored_once(queries.select("id", "vector"), "mtree-asked")
+    count = asked.count()
+    # Several blocks a task, so that few are left half full.
+    packing = max(1, -(-count // (8 * size)))
+    trees, tree_bytes = index.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.length("rows")), F.lit(0))
+    ).first()
     best = None
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     place = F.pmod(F.xxhash64("block", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for low, high in rounds_of(index.count()):
+    for low, high in rounds_of(trees):
         if best is None:
             known = asked.withColumn("floor", F.lit(None).cast("bigint"))
         else:
@@ -378,9 +538,17 @@ def top_k(
             )
             known = asked.join(floors, F.col("id") == F.col("_id"), "left")
         blocks = stored_once(
-            query_blocks(known.repartition(tasks, "id"), scale, size), "mtree-queries"
+            query_blocks(known.repartition(packing, "id"), scale, size), "mtree-queries"
+        )
+        some, asked_bytes = blocks.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.length("query_rows")), F.lit(0))
+        ).first()
+        held = asked_bytes + count * (16 * k + 64)
+        now = math.ceil(trees * (high - low)), math.ceil(tree_bytes * (high - low))
+        across, groups = dealt(*now, some, asked_bytes, held, tasks, cores)
+        found = _found(
+            index.where((place >= low) & (place < high)), blocks, k, lanes or across, groups
         )
-        found = _found(index.where((place >= low) & (place < high)), blocks, k, lanes)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = stored_once(
